@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from querybook import changes  # noqa: F401
+    from querybook import changes, tiers  # noqa: F401

@@ -94,3 +94,52 @@ classified AS (
     o.deleted_at AS old_deleted_at, n.product_key IS NOT NULL AS active, o.product_key IS NOT NULL AS stored
   FROM old_run o FULL OUTER JOIN new_run n ON o.product_key = n.product_key)
 """
+
+
+# -- nested product documents --------------------------------------------------
+# A product is a part. Its flat pricing comes from its line items: print method =
+# return flag, shape = line status, and one price per (method, shape, quantity), the
+# first by (price, order). That pre-aggregation runs map-side, so the list a product
+# collects is bounded by the number of distinct methods, shapes and quantities.
+
+def price_rows(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "lineitem")
+    cents = F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("bigint")
+    return items.groupBy("l_partkey", F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("shape"),
+                         F.col("l_quantity").cast("bigint").alias("quantity")).agg(F.min(cents).alias("cents"))
+
+
+PRICE_SQL = """price_rows AS (
+  SELECT l_partkey, l_returnflag AS method, l_linestatus AS shape, CAST(l_quantity AS BIGINT) AS quantity,
+         min(CAST(round(l_extendedprice / l_quantity * 100) AS BIGINT)) AS cents
+  FROM lineitem GROUP BY ALL)"""
+
+METHODS = {"A": "Foil Stamp", "N": "", "R": "Full/Color Print"}
+METHOD_SQL = "CASE method WHEN 'A' THEN 'Foil Stamp' WHEN 'N' THEN '' ELSE 'Full/Color Print' END"
+
+
+def method_name() -> Column:
+    return F.when(F.col("method") == "A", "Foil Stamp").when(F.col("method") == "N", "").otherwise("Full/Color Print")
+
+
+def priced_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts with ``pricing`` as a nested list ordered by (method, shape, quantity)."""
+    entry = F.struct("method", "shape", "quantity", "cents")
+    lists = price_rows(spark, sf).groupBy("l_partkey").agg(F.array_sort(F.collect_list(entry)).alias("raw"))
+    name = lambda m: F.when(m == "A", "Foil Stamp").when(m == "N", "").otherwise("Full/Color Print")
+    pricing = F.transform("raw", lambda e: F.struct(
+        name(e["method"]).alias("print_method"), e["shape"].alias("shape"),
+        F.lit("4 in").alias("size"), e["quantity"].alias("quantity"), (e["cents"] / 100.0).alias("unit_price")))
+    parts = table(spark, sf, "part")
+    return parts.join(lists, parts["p_partkey"] == lists["l_partkey"], "left").select(
+        "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice",
+        F.concat(F.lit("https://shop.example.com/product/"), F.lower("p_type"), F.lit("/"),
+                 F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"))
+         .alias("product_url"), pricing.alias("pricing"))
+
+
+URL_SQL = ("'https://shop.example.com/product/' || lower(p_type) || '/' || replace(p_name, ' ', '-') "
+           "|| '-' || p_partkey")
+SLUG_SQL = "replace(p_name, ' ', '-') || '-' || p_partkey"
+# A dollar amount of whole cents, as the sheet prints it.
+DOLLAR_SQL = "CAST({c} / 100.0 AS DOUBLE)"

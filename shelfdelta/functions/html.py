@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from shelfdelta.functions.binding import let
 from shelfdelta.functions.text import blank_to_null, strip
 
 # The entities that occur in practice; ``&amp;`` must come last.
@@ -82,8 +83,7 @@ def element(html: Column, tag: str, attrs: str) -> Column:
             depth.alias("depth"), (acc["taken"] + 1).alias("taken"),
             (closing & (depth <= 0)).alias("closed")))
 
-    taken = F.aggregate(pieces, zero, walk)["taken"]
-    return F.array_join(F.slice(pieces, F.lit(1), taken), "")
+    return let(pieces, lambda ps: F.array_join(F.slice(ps, F.lit(1), F.aggregate(ps, zero, walk)["taken"]), ""))
 
 
 def rows_of(table: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from shelfdelta.functions import fixed, html as H, urls as U
 from shelfdelta.functions import text as X
+from shelfdelta.functions.binding import let
 from shelfdelta.functions.predicates import sane_tier
 from shelfdelta.operators import tiers as tr
 
@@ -110,31 +111,38 @@ def price_table(table: Column, shape: Column) -> Column:
     A cell's quantity comes from its id, or from the header where no cell of the row
     has such an id. Single-piece placeholders and impossible prices are left out.
     """
-    rows = H.rows_of(table)
-    header = F.transform(H.cells_of(F.get(rows, F.lit(0))), lambda c, i: F.when(
-        i > 0, F.regexp_extract(H.node_text(c), r"^(\d+)", 1).try_cast("bigint")))
-    body = F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))),
-                    lambda r: r.rlike("(?i)^<tr\\b[^>]*" + H.has_class("price_chart_size_row")))
-
-    def tiers(row: Column) -> Column:
-        cells = H.cells_of(row)
-        label = H.node_text(F.get(cells, F.lit(0)))
-        shown = F.when(F.lower(label).isin(fixed.NON_SIZE_LABELS), "Standard").otherwise(label)
-        data = F.transform(cells, lambda c, i: F.struct(
-            i.alias("i"),
-            F.regexp_extract(F.coalesce(H.attribute(c, "id"), F.lit("")), r"^price_connect_(?:\d+_)?(\d+)$", 1)
-             .try_cast("bigint").alias("by_id"),
-            F.regexp_extract(H.node_text(c), r"\$?(\d+\.?\d*)", 1).try_cast("double").alias("price")))
-        data = F.filter(data, lambda d: d["i"] > 0)
-        named = F.exists(data, lambda d: d["by_id"].isNotNull())
-        listed = F.transform(data, lambda d: F.struct(
+    def parse(rows: Column) -> Column:
+        header = F.transform(H.cells_of(F.get(rows, F.lit(0))), lambda c, i: F.when(
+            i > 0, F.regexp_extract(H.node_text(c), r"^(\d+)", 1).try_cast("bigint")))
+        body = F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))),
+                        lambda r: r.rlike("(?i)^<tr\\b[^>]*" + H.has_class("price_chart_size_row")))
+        return let(header, lambda head: F.flatten(F.transform(
+            F.transform(body, H.cells_of), lambda cells: _row_tiers(cells, head, shape))))
+
+    return F.coalesce(let(H.rows_of(table), parse), F.array().cast(_SHAPED)).cast(_SHAPED)
+
+
+def _row_tiers(cells: Column, header: Column, shape: Column) -> Column:
+    label = H.node_text(F.get(cells, F.lit(0)))
+    read = F.filter(F.transform(cells, lambda c, i: F.struct(
+        i.alias("i"),
+        F.regexp_extract(F.coalesce(H.attribute(c, "id"), F.lit("")), r"^price_connect_(?:\d+_)?(\d+)$", 1)
+         .try_cast("bigint").alias("by_id"),
+        F.regexp_extract(H.node_text(c), r"\$?(\d+\.?\d*)", 1).try_cast("double").alias("price"))),
+        lambda d: d["i"] > 0)
+
+    def tiers(b: Column) -> Column:
+        shown = F.when(F.lower(b["label"]).isin(fixed.NON_SIZE_LABELS), "Standard").otherwise(b["label"])
+        listed = F.transform(b["data"], lambda d: F.struct(
             shape.alias("shape"), shown.alias("size"),
-            F.when(named, d["by_id"]).otherwise(F.get(header, d["i"])).alias("quantity"),
+            F.when(b["named"], d["by_id"]).otherwise(F.get(header, d["i"])).alias("quantity"),
             d["price"].alias("unit_price")))
-        good = F.filter(listed, lambda e: F.coalesce(sane_tier(e), F.lit(False)))
-        return F.when(label != "", good).otherwise(F.array().cast(_SHAPED))
+        good = F.filter(listed, lambda e: F.coalesce(sane_tier(e), F.lit(False)) & (b["label"] != ""))
+        return good.cast(_SHAPED)
 
-    return F.coalesce(F.flatten(F.transform(body, tiers)), F.array().cast(_SHAPED)).cast(_SHAPED)
+    return let(read, lambda data: let(F.struct(
+        data.alias("data"), label.alias("label"),
+        F.exists(data, lambda d: d["by_id"].isNotNull()).alias("named")), tiers))
 
 
 def shape_prices(page: Column) -> Column:
@@ -198,13 +206,16 @@ def options(page: Column, image_host: str | None = None) -> Column:
 def options_by_group(listed: Column) -> Column:
     """``map<group, array<option>>`` with every group present; the first of equal
     (option id, label) pairs inside a group stays."""
+    identity = lambda o: F.concat(o["option_value_id"], F.lit(":"), o["label"])
+    shown = lambda o: F.struct(*[o[c].alias(c) for c in (
+        "label", "option_value_id", "option_id", "price_modifier", "swatch_image_url", "step_label")])
+
     def group(name_: str) -> Column:
-        mine = F.filter(listed, lambda o: o["group"] == name_)
-        keys = F.transform(mine, lambda o: F.concat(o["option_value_id"], F.lit(":"), o["label"]))
-        first = F.filter(mine, lambda o, i: F.array_position(
-            keys, F.concat(o["option_value_id"], F.lit(":"), o["label"])) == i + 1)
-        return F.transform(first, lambda o: F.struct(*[o[c].alias(c) for c in (
-            "label", "option_value_id", "option_id", "price_modifier", "swatch_image_url", "step_label")]))
+        def first(b: Column) -> Column:
+            kept = F.filter(b["mine"], lambda o, i: F.array_position(b["keys"], identity(o)) == i + 1)
+            return F.transform(kept, shown)
+        return let(F.filter(listed, lambda o: o["group"] == name_), lambda mine: let(
+            F.struct(mine.alias("mine"), F.transform(mine, identity).alias("keys")), first))
     return F.create_map(*[x for g in fixed.OPTION_GROUPS for x in (F.lit(g), group(g))])
 
 

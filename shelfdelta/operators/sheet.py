@@ -160,42 +160,28 @@ register_source(GENERIC, {
     "Gallery Images": field("product_url", "url"), "Active": constant("Yes"),
 })
 
-_PRICING = "array<struct<shape:string,size:string,print_method:string,quantity:bigint,unit_price:double>>"
-
-
-def _aligned_pricing(df: DataFrame) -> Column:
-    """The pricing list with exactly the fields the expansion reads."""
-    kind = {f.name: f.dataType for f in df.schema.fields}.get("pricing")
-    if kind is None:
-        return F.array().cast(_PRICING)
-    have = kind.elementType.names
-    pick = lambda e, n, t: (e[n] if n in have else F.lit(None)).cast(t).alias(n)
-    return tr.or_empty(F.transform("pricing", lambda e: F.struct(
-        pick(e, "shape", "string"), pick(e, "size", "string"), pick(e, "print_method", "string"),
-        pick(e, "quantity", "bigint"), pick(e, "unit_price", "double"))), _PRICING)
-
-
 _GROUP = ("array<struct<kind:string,size:string,min_quantity:bigint,"
-          "tiers:array<struct<quantity:bigint,unit_price:double>>>>")
+          "tiers:array<struct<q:string,p:string>>>>")
 
 
 def _row_groups(df: DataFrame, expand: str) -> Column:
-    pricing = _aligned_pricing(df)
-    tier = lambda t: F.struct(t["quantity"].alias("quantity"), t["unit_price"].alias("unit_price"))
+    pricing = tr.pricing_of(df)
+    shown = lambda ts: tr.rendered(ts, lambda c: X.or_blank(X.float_text(c)),
+                                   lambda c: X.or_blank(c.cast("string")))
     if expand == "shape_size":
         groups = F.transform(tr.shape_size_groups(pricing), lambda g: F.struct(
             g["group"]["shape"].alias("kind"), g["group"]["size"].alias("size"),
-            g["min_quantity"].alias("min_quantity"), F.transform(g["tiers"], tier).alias("tiers")))
+            g["min_quantity"].alias("min_quantity"), shown(g["tiers"]).alias("tiers")))
         kind, size = "Default", ""
     else:
         groups = F.transform(tr.method_groups(pricing), lambda g: F.struct(
             g["group"]["print_method"].alias("kind"), F.lit(None).cast("string").alias("size"),
-            g["min_quantity"].alias("min_quantity"), F.transform(g["tiers"], tier).alias("tiers")))
+            g["min_quantity"].alias("min_quantity"), shown(g["tiers"]).alias("tiers")))
         kind, size = "Standard", None
     bare = F.array(F.struct(
         F.lit(kind).alias("kind"), F.lit(size).cast("string").alias("size"),
         F.lit(None).cast("bigint").alias("min_quantity"),
-        F.array().cast("array<struct<quantity:bigint,unit_price:double>>").alias("tiers")))
+        F.array().cast("array<struct<q:string,p:string>>").alias("tiers")))
     return F.when(F.size(groups) > 0, groups.cast(_GROUP)).otherwise(bare.cast(_GROUP))
 
 
@@ -250,8 +236,8 @@ def to_sheet(products: DataFrame, expanded: bool = True, sources: list[str] | No
     }
     for i in range(fixed.FIXED_TIERS):
         tier = F.get(g["tiers"], F.lit(i))
-        override[f"QtyBreak{i + 1}"] = X.or_blank(tier["quantity"].cast("string"))
-        override[f"Price{i + 1}"] = X.or_blank(X.float_text(tier["unit_price"]))
+        override[f"QtyBreak{i + 1}"] = X.or_blank(tier["q"])
+        override[f"Price{i + 1}"] = X.or_blank(tier["p"])
     out = []
     for h in fixed.sheet_columns(house_label):
         kept = F.col(f"`{h}`")

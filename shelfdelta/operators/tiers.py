@@ -3,9 +3,10 @@ row with higher-order functions: no shuffle, whatever a product holds."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfdelta.functions import fixed, keys
+from shelfdelta.functions.binding import let
 from shelfdelta.functions.text import blank_to_null, dashed, or_blank, price_text, quantity_text
 from shelfdelta.functions.urls import slug
 from shelfdelta.schemas import TIER, VARIANT
@@ -15,29 +16,47 @@ def or_empty(items: Column, dtype: str) -> Column:
     return F.coalesce(items, F.array().cast(dtype))
 
 
+PRICING = "array<struct<shape:string,size:string,print_method:string,quantity:bigint,unit_price:double>>"
+
+
+def pricing_of(df: DataFrame) -> Column:
+    """The ``pricing`` list with exactly the fields the expansions read; an empty
+    list where the table has none."""
+    kind = {f.name: f.dataType for f in df.schema.fields}.get("pricing")
+    if kind is None:
+        return F.array().cast(PRICING)
+    have = kind.elementType.names
+    pick = lambda e, n, t: (e[n] if n in have else F.lit(None)).cast(t).alias(n)
+    return or_empty(F.transform("pricing", lambda e: F.struct(
+        pick(e, "shape", "string"), pick(e, "size", "string"), pick(e, "print_method", "string"),
+        pick(e, "quantity", "bigint"), pick(e, "unit_price", "double"))), PRICING)
+
+
 def by_quantity(entries: Column) -> Column:
     """Stable sort on quantity: equal quantities keep their order."""
     placed = F.transform(entries, lambda e, i: F.struct(
         F.coalesce(e["quantity"], F.lit(0)).alias("q"), i.alias("i"), e.alias("e")))
-    ordered = F.array_sort(F.transform(placed, lambda p: F.struct(p["q"], p["i"])))
-    return F.transform(ordered, lambda p: F.get(entries, p["i"]))
+    return F.transform(F.array_sort(placed), lambda p: p["e"])
 
 
 def last_price_wins(entries: Column) -> Column:
     """One tier per quantity, the last listed price, in quantity order."""
-    quantities = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["quantity"])))
-    return F.transform(quantities, lambda q: F.struct(
-        q.alias("quantity"),
-        F.element_at(F.filter(entries, lambda e: e["quantity"] == q), -1)["unit_price"].alias("unit_price")))
+    def pick(es: Column) -> Column:
+        quantities = F.array_sort(F.array_distinct(F.transform(es, lambda e: e["quantity"])))
+        return F.transform(quantities, lambda q: F.struct(
+            q.alias("quantity"),
+            F.element_at(F.filter(es, lambda e: e["quantity"] == q), -1)["unit_price"].alias("unit_price")))
+    return let(entries, pick)
 
 
 def median_of(prices: Column) -> Column:
     """Median of a list, the middle pair averaged; 0 for an empty list."""
-    ordered = F.array_sort(prices)
-    count = F.size(prices)
-    low = F.get(ordered, F.floor((count - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(count / 2).cast("int"))
-    return F.when(count > 0, (low + high) / 2).otherwise(F.lit(0.0))
+    def middle(ordered: Column) -> Column:
+        count = F.size(ordered)
+        low = F.get(ordered, F.floor((count - 1) / 2).cast("int"))
+        high = F.get(ordered, F.floor(count / 2).cast("int"))
+        return F.when(count > 0, (low + high) / 2).otherwise(F.lit(0.0))
+    return let(F.array_sort(prices), middle)
 
 
 def flagged(tiers: Column) -> Column:
@@ -46,14 +65,18 @@ def flagged(tiers: Column) -> Column:
     A quantity of one is a sample when two or more tiers start at 25. A price above
     ten times the median of the other prices is an outlier.
     """
-    bulk = F.size(F.filter(tiers, lambda t: t["quantity"] >= 25)) >= 2
-    sample = lambda t: (t["quantity"] == 1) & bulk
-    prices = F.transform(F.filter(tiers, lambda t: ~sample(t)), lambda t: t["unit_price"])
-    middle = median_of(prices)
-    return F.transform(tiers, lambda t: F.struct(
-        t["quantity"].alias("quantity"), t["unit_price"].alias("unit_price"),
-        sample(t).alias("is_sample"),
-        ((middle > 0) & (t["unit_price"] > middle * 10)).alias("is_outlier")))
+    def with_rule(rule: Column) -> Column:
+        sample = lambda t: (t["quantity"] == 1) & rule["bulk"]
+        return F.transform(tiers, lambda t: F.struct(
+            t["quantity"].alias("quantity"), t["unit_price"].alias("unit_price"),
+            sample(t).alias("is_sample"),
+            ((rule["middle"] > 0) & (t["unit_price"] > rule["middle"] * 10)).alias("is_outlier")))
+
+    def with_bulk(bulk: Column) -> Column:
+        prices = F.transform(F.filter(tiers, lambda t: ~((t["quantity"] == 1) & bulk)), lambda t: t["unit_price"])
+        return let(F.struct(bulk.alias("bulk"), median_of(prices).alias("middle")), with_rule)
+
+    return let(F.size(F.filter(tiers, lambda t: t["quantity"] >= 25)) >= 2, with_bulk)
 
 
 def ordinals(tiers: Column, flag: str) -> Column:
@@ -66,15 +89,14 @@ def grouped(entries: Column, *fields: str, limit: int | None = None) -> Column:
     """Price entries by their ``fields``, groups in first-seen order, each
     sorted on quantity: ``array<struct<group:struct<…>, tiers:array<…>>>``."""
     key = lambda e: F.struct(*[e[f].alias(f) for f in fields])
-    groups = F.array_distinct(F.transform(entries, key))
 
-    def one(g: Column) -> Column:
-        members = by_quantity(F.filter(entries, lambda e: key(e) == g))
-        return F.struct(g.alias("group"),
-                        (F.slice(members, 1, limit) if limit else members).alias("tiers"),
-                        F.get(members, F.lit(0))["quantity"].alias("min_quantity"))
+    def split(es: Column) -> Column:
+        return F.transform(F.array_distinct(F.transform(es, key)), lambda g: let(
+            by_quantity(F.filter(es, lambda e: key(e) == g)), lambda members: F.struct(
+                g.alias("group"), (F.slice(members, 1, limit) if limit else members).alias("tiers"),
+                F.get(members, F.lit(0))["quantity"].alias("min_quantity"))))
 
-    return F.transform(groups, one)
+    return let(entries, split)
 
 
 def shape_size_groups(pricing: Column) -> Column:
@@ -95,15 +117,12 @@ def method_groups(pricing: Column, limit: int | None = fixed.FIXED_TIERS) -> Col
 
 def legacy_variants(pricing: Column, product_url: Column) -> Column:
     """Variants for documents of the first schema version, one per print method."""
-    groups = method_groups(or_empty(pricing, "array<struct<print_method:string,shape:string,size:string,"
-                                             "quantity:bigint,unit_price:double,qty_from:bigint,price:double>>"),
-                           limit=None)
+    groups = method_groups(or_empty(pricing, PRICING), limit=None)
     nothing = F.lit(None)
 
     def variant(g: Column) -> Column:
         method = g["group"]["print_method"]
-        sku = F.concat(slug(product_url), F.lit("|print_method:"), dashed(method))
-        return F.struct(
+        return let(F.concat(slug(product_url), F.lit("|print_method:"), dashed(method)), lambda sku: F.struct(
             keys.variant_key(sku).alias("variant_key"), sku.alias("sku"),
             F.struct(method.alias("label"), nothing.cast("string").alias("option_value_id")).alias("print_method"),
             nothing.alias("napkin_color"), nothing.alias("imprint_color"), nothing.alias("ply_or_size"),
@@ -111,7 +130,7 @@ def legacy_variants(pricing: Column, product_url: Column) -> Column:
             F.transform(g["tiers"], lambda t: F.struct(
                 F.coalesce(t["quantity"], F.lit(0)).alias("quantity"),
                 F.coalesce(t["unit_price"], F.lit(0.0)).alias("unit_price"),
-                F.lit(False).alias("is_sample"), F.lit(False).alias("is_outlier"))).alias("tiers"))
+                F.lit(False).alias("is_sample"), F.lit(False).alias("is_outlier"))).alias("tiers")))
 
     return F.transform(groups, variant).cast(f"array<{VARIANT}>")
 
@@ -140,14 +159,20 @@ def has_pricing(variants: Column, base_tiers: Column) -> Column:
             | (F.size(or_empty(base_tiers, f"array<{TIER}>")) > 0))
 
 
-def pivot_cells(tiers: Column, count: int, price=price_text, quantity=quantity_text) -> list[Column]:
-    """``QtyBreakI`` / ``PriceI`` columns; tiers past the end give ''."""
-    cells = []
+def rendered(tiers: Column, price=price_text, quantity=quantity_text) -> Column:
+    """Tiers as cell texts, ``array<struct<q, p>>``. Make it a column of its own
+    before ``pivot_cells`` so that rendering happens once, not once per cell."""
+    return F.transform(tiers, lambda t: F.struct(
+        quantity(t["quantity"]).alias("q"), price(t["unit_price"]).alias("p")))
+
+
+def pivot_cells(cells: Column, count: int) -> list[Column]:
+    """``QtyBreakI`` / ``PriceI`` columns of rendered tiers; past the end they are ''."""
+    out = []
     for i in range(max(0, count)):
-        tier = F.get(tiers, F.lit(i))
-        cells.append(quantity(tier["quantity"]).alias(f"QtyBreak{i + 1}"))
-        cells.append(price(tier["unit_price"]).alias(f"Price{i + 1}"))
-    return cells
+        out.append(or_blank(F.get(cells, F.lit(i))["q"]).alias(f"QtyBreak{i + 1}"))
+        out.append(or_blank(F.get(cells, F.lit(i))["p"]).alias(f"Price{i + 1}"))
+    return out
 
 
 def flat_pricing(variants: Column) -> Column:
@@ -158,10 +183,12 @@ def flat_pricing(variants: Column) -> Column:
         lambda t: F.struct(
             F.coalesce(blank_to_null(v["print_method"]["label"]), F.lit("Standard")).alias("print_method"),
             t["quantity"].alias("quantity"), t["unit_price"].alias("unit_price")))))
-    pairs = F.array_sort(F.array_distinct(F.transform(
-        listed, lambda e: F.struct(e["print_method"], e["quantity"]))))
-    return F.transform(pairs, lambda p: F.get(F.filter(
-        listed, lambda e: (e["print_method"] == p["print_method"]) & (e["quantity"] == p["quantity"])), F.lit(0)))
+    def first(es: Column) -> Column:
+        pairs = F.array_sort(F.array_distinct(F.transform(es, lambda e: F.struct(e["print_method"], e["quantity"]))))
+        return F.transform(pairs, lambda p: F.get(F.filter(es, lambda e: (
+            (e["print_method"] == p["print_method"]) & (e["quantity"] == p["quantity"]))), F.lit(0)))
+
+    return let(listed, first)
 
 
 def min_order(variants: Column, base_tiers: Column) -> Column:

@@ -5,63 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfdelta.functions import fixed, keys
+from shelfdelta.functions.binding import let
 from shelfdelta.functions.text import blank_to_null, cell, dashed, join_list, or_blank, price_text
 from shelfdelta.operators import tiers as tr
-from shelfdelta.schemas import COLOUR, OPTION, TIER, VARIANT
+from shelfdelta.schemas import AXIS, COLOUR, OPTION, TIER, VARIANT
 
-_PICK = "struct<axis:string,label:string,option_value_id:string,price_modifier:double>"
+_COMBO = (f"struct<print_method:{AXIS},napkin:{AXIS},imprint:{AXIS},ply_or_size:{AXIS},sku:string,"
+          "total:double,axes:int>")
 
 
-def axis_combinations(options: Column, cap: int = fixed.VARIANT_CAP) -> Column:
+def axis_combinations(options: Column, head: Column, cap: int = fixed.VARIANT_CAP) -> Column:
     """The product of the axes present, in axis order, held at ``cap``.
 
     ``options`` is ``map<group, array<option>>``. As soon as the list reaches the
     cap, the remaining axes are left out. Prefixes that cannot contribute to the
-    first ``cap`` rows are cut before they are multiplied.
+    first ``cap`` rows are cut before they are multiplied. Each entry carries the
+    SKU text that starts with ``head`` and the sum of the price modifiers.
     """
-    axes = F.array(*[
-        F.transform(tr.or_empty(F.try_element_at(options, F.lit(a)), f"array<{OPTION}>"), lambda o, axis=a: F.struct(
-            F.lit(axis).alias("axis"), o["label"].alias("label"),
-            o["option_value_id"].alias("option_value_id"),
-            F.coalesce(o["price_modifier"], F.lit(0.0)).alias("price_modifier"))).cast(f"array<{_PICK}>")
-        for a in fixed.VARIANT_AXES])
-
-    def widen(combos: Column, picks: Column) -> Column:
-        needed = F.ceil(F.lit(cap) / F.size(picks)).cast("int")
-        product = F.flatten(F.transform(F.slice(combos, F.lit(1), needed), lambda c: F.transform(
-            picks, lambda p: F.concat(c, F.array(p)))))
-        full = (F.size(picks) == 0) | (F.size(combos) >= cap)
-        return F.when(full, combos).otherwise(F.slice(product, 1, cap))
-
-    seed = F.array(F.array().cast(f"array<{_PICK}>"))
-    return F.aggregate(axes, seed, widen)
+    none = F.lit(None).cast(AXIS)
+
+    def picks(axis: str) -> Column:
+        return F.transform(tr.or_empty(F.try_element_at(options, F.lit(axis)), f"array<{OPTION}>"), lambda o: F.struct(
+            F.struct(o["label"].alias("label"), o["option_value_id"].alias("option_value_id")).alias("ref"),
+            F.concat(F.lit(f"|{axis}:"), dashed(o["label"])).alias("part"),
+            F.coalesce(o["price_modifier"], F.lit(0.0)).alias("modifier")))
+
+    def joined(axis: str, c: Column, p: Column) -> Column:
+        return F.struct(*[(p["ref"] if a == axis else c[a]).alias(a) for a in fixed.VARIANT_AXES],
+                        F.concat(c["sku"], p["part"]).alias("sku"), (c["total"] + p["modifier"]).alias("total"),
+                        (c["axes"] + 1).alias("axes"))
+
+    def widen(axis: str, combos: Column) -> Column:
+        def multiply(b: Column) -> Column:
+            needed = F.ceil(F.lit(cap) / F.size(b["p"])).cast("int")
+            product = F.flatten(F.transform(F.slice(b["c"], F.lit(1), needed), lambda c: F.transform(
+                b["p"], lambda p: joined(axis, c, p))))
+            full = (F.size(b["p"]) == 0) | (F.size(b["c"]) >= cap)
+            return F.when(full, b["c"]).otherwise(F.slice(product, 1, cap).cast(f"array<{_COMBO}>"))
+        return let(F.struct(combos.alias("c"), picks(axis).alias("p")), multiply)
+
+    combos = F.array(F.struct(*[none.alias(a) for a in fixed.VARIANT_AXES], dashed(head).alias("sku"),
+                              F.lit(0.0).alias("total"), F.lit(0).alias("axes"))).cast(f"array<{_COMBO}>")
+    for axis in fixed.VARIANT_AXES:
+        combos = widen(axis, combos)
+    return combos
 
 
 def build_variants(options: Column, base_tiers: Column, slug: Column, tag: Column,
                    cap: int = fixed.VARIANT_CAP) -> Column:
     """``array<variant>`` for a product; one bare variant where it has tiers but no axes."""
-    combos = axis_combinations(options, cap)
     head = F.coalesce(blank_to_null(slug), blank_to_null(tag), F.lit("product"))
 
-    def axis(combo: Column, name: str) -> Column:
-        pick = F.get(F.filter(combo, lambda p: p["axis"] == name), F.lit(0))
-        return F.when(pick.isNotNull(), F.struct(pick["label"].alias("label"),
-                                                 pick["option_value_id"].alias("option_value_id")))
-
-    def variant(combo: Column) -> Column:
-        parts = F.concat(F.array(head), F.transform(combo, lambda p: F.concat(p["axis"], F.lit(":"), p["label"])))
-        sku = F.array_join(F.transform(parts, dashed), "|")
-        total = F.aggregate(combo, F.lit(0.0), lambda acc, p: acc + p["price_modifier"])
+    def variant(c: Column) -> Column:
         return F.struct(
-            keys.variant_key(sku).alias("variant_key"), sku.alias("sku"),
-            axis(combo, "print_method").alias("print_method"), axis(combo, "napkin").alias("napkin_color"),
-            axis(combo, "imprint").alias("imprint_color"), axis(combo, "ply_or_size").alias("ply_or_size"),
-            F.round(total, 2).alias("price_modifier_total"), base_tiers.alias("tiers"))
+            keys.variant_key(c["sku"]).alias("variant_key"), c["sku"].alias("sku"),
+            c["print_method"].alias("print_method"), c["napkin"].alias("napkin_color"),
+            c["imprint"].alias("imprint_color"), c["ply_or_size"].alias("ply_or_size"),
+            F.round(c["total"], 2).alias("price_modifier_total"), base_tiers.alias("tiers"))
 
-    built = F.transform(combos, variant).cast(f"array<{VARIANT}>")
-    bare = (F.size(combos) == 1) & (F.size(F.get(combos, F.lit(0))) == 0)
-    return F.when(bare & (F.size(tr.or_empty(base_tiers, f"array<{TIER}>")) == 0),
-                  F.array().cast(f"array<{VARIANT}>")).otherwise(built)
+    # Without axes only a priced product has a variant.
+    tiered = F.size(tr.or_empty(base_tiers, f"array<{TIER}>")) > 0
+    kept = F.filter(axis_combinations(options, head, cap), lambda c: (c["axes"] > 0) | tiered)
+    return F.transform(kept, variant).cast(f"array<{VARIANT}>")
 
 
 def colours_of(options: Column) -> Column:
@@ -95,10 +100,8 @@ class _Fields:
 def with_variants(products: DataFrame) -> DataFrame:
     """Add ``_variants``: stored ones, or built from flat pricing for old documents."""
     f = _Fields(products)
-    pricing = ("array<struct<print_method:string,shape:string,size:string,quantity:bigint,"
-               "unit_price:double,qty_from:bigint,price:double>>")
     return products.withColumn("_variants", tr.variants_of(
-        f("schema_version", "int"), f("variants", f"array<{VARIANT}>"), f("pricing", pricing),
+        f("schema_version", "int"), f("variants", f"array<{VARIANT}>"), tr.pricing_of(products),
         f("product_url")))
 
 
@@ -186,7 +189,7 @@ def expand_variants(products: DataFrame, max_tiers: int, keep: list[str] | None
     # The effective tier list is a column of its own so that it is computed once
     # per row, not once per cell.
     shaped = wide.select(*[c for c in wide.columns if c != "_base"],
-                         tr.effective_tiers(v["tiers"], F.col("_base")).alias("_tiers"))
+                         tr.rendered(tr.effective_tiers(v["tiers"], F.col("_base"))).alias("_tiers"))
     return shaped.select(
         *(keep or []), F.col("_ordinal").alias("variant_ordinal"),
         *[F.col(f"`{c}`") for c in fixed.PRODUCT_COLUMNS],
