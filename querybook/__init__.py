@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from querybook import catalog, changes, lifecycle, tiers  # noqa: F401
+    from querybook import catalog, changes, ingest, lifecycle, tiers  # noqa: F401

@@ -30,14 +30,15 @@ def entries(sitemaps: DataFrame) -> DataFrame:
         sitemap_priority(F.col("e.priority")).alias("priority"), "sitemap", "pos")
 
 
-def reachable(sitemaps: DataFrame, root: str, max_depth: int = fixed.SITEMAP_MAX_DEPTH) -> DataFrame:
-    """Files reached from the root through index files, with their depth.
+def reachable(sitemaps: DataFrame, root: str | Column, max_depth: int = fixed.SITEMAP_MAX_DEPTH) -> DataFrame:
+    """Files reached from the root (a URL, or a predicate for several) through index
+    files, with their depth.
 
     A fixed number of self-joins, the walk being at most ``max_depth`` deep. The
     first level a file is found on is kept.
     """
     files = sitemaps.select("url", "body")
-    level = files.filter(F.col("url") == root).withColumn("depth", F.lit(0))
+    level = files.filter(F.col("url") == root if isinstance(root, str) else root).withColumn("depth", F.lit(0))
     levels = [level]
     for depth in range(1, max_depth + 1):
         parsed = F.from_xml(F.col("body"), _INDEX, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
