@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from shelfdelta.functions import fixed
+from shelfdelta.functions.binding import let
 
 DIFF_TYPE = ("struct<added_fields:map<string,string>,removed_fields:map<string,string>,"
              "changed_fields:map<string,struct<old_value:string,new_value:string>>>")
@@ -42,17 +43,20 @@ def content_hash(payload: Column, fields: list[str] | None = None) -> Column:
 
 def diff(old: Column, new: Column, fields: list[str] | None = None) -> Column:
     """Added, removed and changed fields between two payloads."""
-    old, new = without(old, fields), without(new, fields)
-    paired = F.map_zip_with(old, new, lambda k, a, b: F.struct(
-        a.alias("old_value"), b.alias("new_value"),
-        (F.map_contains_key(old, k) & F.map_contains_key(new, k)).alias("both")))
-    changed = F.transform_values(
-        F.map_filter(paired, lambda k, v: v["both"] & ~v["old_value"].eqNullSafe(v["new_value"])),
-        lambda k, v: F.struct(v["old_value"].alias("old_value"), v["new_value"].alias("new_value")))
-    return F.struct(
-        F.map_filter(new, lambda k, v: ~F.map_contains_key(old, k)).alias("added_fields"),
-        F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)).alias("removed_fields"),
-        changed.alias("changed_fields"))
+    def compare(b: Column) -> Column:
+        before, after = b["before"], b["after"]
+        paired = F.map_zip_with(before, after, lambda k, x, y: F.struct(
+            x.alias("old_value"), y.alias("new_value"),
+            (F.map_contains_key(before, k) & F.map_contains_key(after, k)).alias("both")))
+        changed = F.transform_values(
+            F.map_filter(paired, lambda k, v: v["both"] & ~v["old_value"].eqNullSafe(v["new_value"])),
+            lambda k, v: F.struct(v["old_value"].alias("old_value"), v["new_value"].alias("new_value")))
+        return F.struct(
+            F.map_filter(after, lambda k, v: ~F.map_contains_key(before, k)).alias("added_fields"),
+            F.map_filter(before, lambda k, v: ~F.map_contains_key(after, k)).alias("removed_fields"),
+            changed.alias("changed_fields"))
+
+    return let(F.struct(without(old, fields).alias("before"), without(new, fields).alias("after")), compare)
 
 
 def merge(old: Column, new: Column) -> Column:
@@ -68,8 +72,8 @@ def stub(size: Column) -> Column:
 
 def cap(payload: Column, limit: int = fixed.CHANGE_SIDE_LIMIT) -> Column:
     """Replace a payload above the limit by a stub that records its size."""
-    size = F.octet_length(canonical_text(payload))
-    return F.when(size > limit, stub(size)).otherwise(payload)
+    return let(F.octet_length(canonical_text(payload)),
+               lambda size: F.when(size > limit, stub(size)).otherwise(payload))
 
 
 def cap_value(value: Column, limit: int = fixed.CHANGE_FIELD_LIMIT) -> Column:

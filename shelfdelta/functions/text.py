@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F, types as T
 
 from shelfdelta.functions import fixed
+from shelfdelta.functions.binding import let
 
 
 def strip(c: Column) -> Column:
@@ -34,18 +35,19 @@ def join_list(items: Column, sep: str = "|") -> Column:
 
 def float_text(c: Column) -> Column:
     """Shortest decimal text of a double, always with a fraction (``13.0``, ``0.05``)."""
-    c = c.cast("double")
-    plain = c.cast("string")
-    # Java switches to exponents below 1e-3 and from 1e7 on; the sheet does so
-    # only below 1e-4 and from 1e16 on.
-    spelled = F.rtrim(c.cast("decimal(38,20)").cast("string"), F.lit("0"))
-    spelled = F.when(spelled.endswith("."), F.concat(spelled, F.lit("0"))).otherwise(spelled)
-    exponent = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(plain, r"\.0E", "E"), r"E-(\d)$", "e-0$1"), "E(-?)", "e$1")
-    size = F.abs(c)
-    return (F.when(~plain.contains("E"), plain)
-            .when((size >= 1e-4) & (size < 1e16), spelled)
-            .otherwise(exponent))
+    def show(b: Column) -> Column:
+        # Java switches to exponents below 1e-3 and from 1e7 on; the sheet does so
+        # only below 1e-4 and from 1e16 on.
+        spelled = F.rtrim(b["d"].cast("decimal(38,20)").cast("string"), F.lit("0"))
+        spelled = F.when(spelled.endswith("."), F.concat(spelled, F.lit("0"))).otherwise(spelled)
+        exponent = F.regexp_replace(F.regexp_replace(
+            F.regexp_replace(b["text"], r"\.0E", "E"), r"E-(\d)$", "e-0$1"), "E(-?)", "e$1")
+        size = F.abs(b["d"])
+        return (F.when(~b["text"].contains("E"), b["text"])
+                .when((size >= 1e-4) & (size < 1e16), spelled)
+                .otherwise(exponent))
+
+    return let(F.struct(c.cast("double").alias("d"), c.cast("double").cast("string").alias("text")), show)
 
 
 def price_text(c: Column) -> Column:
@@ -114,26 +116,27 @@ def size_part(c: Column) -> Column:
 
 def any_phrase(c: Column, phrases: list[str]) -> Column:
     """Whether the lower-cased text holds any of the phrases."""
-    low = F.lower(c)
-    return reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
+    return let(F.lower(c), lambda low: reduce(lambda a, b: a | b, [low.contains(p) for p in phrases]))
 
 
 def option_group(label: Column) -> Column:
     """The group of an option step heading; the first listed group wins."""
-    label = or_blank(label)
-    out = F
-    for group, phrases in fixed.GROUP_PHRASES:
-        out = out.when(any_phrase(label, phrases), F.lit(group))
-    return out.otherwise(F.lit("other"))
+    def choose(low: Column) -> Column:
+        out = F
+        for group, phrases in fixed.GROUP_PHRASES:
+            out = out.when(reduce(lambda a, b: a | b, [low.contains(p) for p in phrases]), F.lit(group))
+        return out.otherwise(F.lit("other"))
+    return let(F.lower(or_blank(label)), choose)
 
 
 def material_word(c: Column) -> Column:
     """The first listed material the text mentions, title-cased."""
-    low = F.lower(c)
-    out = F
-    for word in fixed.MATERIAL_WORDS:
-        out = out.when(low.contains(word), F.lit(word.title()))
-    return out.otherwise(F.lit(None).cast("string"))
+    def choose(low: Column) -> Column:
+        out = F
+        for word in fixed.MATERIAL_WORDS:
+            out = out.when(low.contains(word), F.lit(word.title()))
+        return out.otherwise(F.lit(None).cast("string"))
+    return let(F.lower(c), choose)
 
 
 def labelled_line(c: Column, label: str, colon_required: bool = True) -> Column:
@@ -149,30 +152,45 @@ def dimension_text(c: Column) -> Column:
         r"(?i)(\d+\s*(?:in|inch)\s*(?:x|×)\s*\d+\s*(?:in|inch))",
     ]
 
-    def fitting(pattern: str) -> Column:
-        hit = strip(F.regexp_extract(c, pattern, 1))
-        return F.when((F.length(hit) > 3) & (F.length(hit) < 40), hit)
+    def fitting(text: Column, pattern: str) -> Column:
+        return let(strip(F.regexp_extract(text, pattern, 1)),
+                   lambda hit: F.when((F.length(hit) > 3) & (F.length(hit) < 40), hit))
 
-    return F.coalesce(*[fitting(p) for p in patterns])
+    return let(c, lambda text: F.coalesce(*[fitting(text, p) for p in patterns]))
 
 
 def clean_description(text: Column, title: Column) -> Column:
     """Drop a leading title, cut at SPECIFICATIONS, keep 11 to 5000 characters."""
-    title = or_blank(title)
-    body = F.when((title != "") & F.startswith(text, title),
-                  strip(F.substr(text, F.length(title) + 1))).otherwise(text)
-    cut = F.when(F.instr(body, "SPECIFICATIONS") > 1,
-                 strip(F.regexp_replace(body, r"(?s)SPECIFICATIONS.*$", ""))).otherwise(body)
-    return F.when((F.length(text) >= 30) & (F.length(cut) > 10), F.left(cut, F.lit(fixed.DESCRIPTION_LIMIT)))
+    def untitled(b: Column) -> Column:
+        led = (b["title"] != "") & F.startswith(b["text"], b["title"])
+        return F.when(led, strip(F.substring(b["text"], F.length(b["title"]) + 1, F.length(b["text"])))
+                      ).otherwise(b["text"])
+
+    def cut(body: Column) -> Column:
+        return F.when(F.instr(body, "SPECIFICATIONS") > 1,
+                      strip(F.regexp_replace(body, r"(?s)SPECIFICATIONS.*$", ""))).otherwise(body)
+
+    def kept(b: Column) -> Column:
+        return let(let(untitled(b), cut), lambda out: F.when(
+            (F.length(b["text"]) >= 30) & (F.length(out) > 10), F.left(out, F.lit(fixed.DESCRIPTION_LIMIT))))
+
+    return let(F.struct(text.alias("text"), or_blank(title).alias("title")), kept)
 
 
 def colour_list(text: Column) -> Column:
     """Split a colour text on its separators, first occurrence kept, at most 30."""
-    parts = F.transform(F.split(text, r"[\n,•/;]+"), lambda x: strip(x))
-    # One long run-on word list falls back to capitalised words.
-    words = F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"), F.lit(1))
-    chosen = F.when((F.size(parts) <= 1) & (F.length(F.get(parts, F.lit(0))) > 40), words).otherwise(parts)
-    return F.slice(F.array_distinct(F.filter(chosen, lambda x: x != "")), 1, fixed.COLOUR_LIMIT)
+    def pick(b: Column) -> Column:
+        # One long run-on word list falls back to capitalised words.
+        words = F.regexp_extract_all(b["text"], F.lit(r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"), F.lit(1))
+        chosen = F.when((F.size(b["parts"]) <= 1) & (F.length(F.get(b["parts"], F.lit(0))) > 40), words
+                        ).otherwise(b["parts"])
+        return F.slice(F.array_distinct(F.filter(chosen, lambda x: x != "")), 1, fixed.COLOUR_LIMIT)
+
+    def split(whole: Column) -> Column:
+        parts = F.transform(F.split(whole, r"[\n,•/;]+"), lambda x: strip(x))
+        return let(F.struct(whole.alias("text"), parts.alias("parts")), pick)
+
+    return let(text, split)
 
 
 def main_image(images: Column) -> Column:

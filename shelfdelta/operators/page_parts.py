@@ -48,8 +48,7 @@ def price_chart_problem(page: Column) -> Column:
 def description_text(page: Column) -> Column:
     """Line-separated text of the first description block that is long enough."""
     def block(cls: str) -> Column:
-        text = H.node_text(H.element(page, "div", H.has_class(cls)), "\n")
-        return X.clean_description(text, title(page))
+        return X.clean_description(H.node_text(H.element(page, "div", H.has_class(cls)), "\n"), title(page))
     return F.coalesce(block("pdescription-content"), block("product-descriptions"))
 
 
@@ -87,21 +86,30 @@ def money_in(text: Column, pattern: str = r"\$?\s*([\d.]+)") -> Column:
 def base_tiers(page: Column) -> Column:
     """The price table's tiers, else the cells named after their quantity; one tier
     per quantity, the last price winning."""
-    rows = H.rows_of(H.element(page, "table", H.has_id("tblPrice")))
-    head = H.cells_of(F.get(rows, F.lit(0)))
-    prices = H.cells_of(F.get(rows, F.lit(1)))
-    pairs = F.transform(F.arrays_zip(F.slice(head, F.lit(2), F.greatest(F.size(head), F.lit(1))).alias("h"),
-                                     F.slice(prices, F.lit(2), F.greatest(F.size(prices), F.lit(1))).alias("p")),
-                        lambda z: F.struct(
-        F.regexp_extract(F.replace(H.node_text(z["h"]), F.lit(","), F.lit("")), r"^(\d+)", 1)
-         .try_cast("bigint").alias("quantity"),
-        money_in(H.node_text(z["p"])).alias("unit_price")))
-    named = F.transform(H.all_outer(page, "td", r"""\bid\s*=\s*["']price_connect_\d+["']"""), lambda c: F.struct(
-        F.regexp_extract(H.attribute(c, "id"), r"^price_connect_(\d+)$", 1).try_cast("bigint").alias("quantity"),
-        money_in(H.node_text(c)).alias("unit_price")))
-    whole = lambda es: F.coalesce(F.filter(es, lambda e: e["quantity"].isNotNull()
-                                           & e["unit_price"].isNotNull()).cast(_PRICE), F.array().cast(_PRICE))
-    chosen = F.when(F.size(whole(pairs)) > 0, whole(pairs)).otherwise(whole(named))
+    def aligned(b: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(b["head"], F.lit(2), F.greatest(F.size(b["head"]), F.lit(1))).alias("h"),
+                             F.slice(b["prices"], F.lit(2), F.greatest(F.size(b["prices"]), F.lit(1))).alias("p"))
+        return F.transform(pairs, lambda z: F.struct(
+            F.regexp_extract(F.replace(H.node_text(z["h"]), F.lit(","), F.lit("")), r"^(\d+)", 1)
+             .try_cast("bigint").alias("quantity"),
+            money_in(H.node_text(z["p"])).alias("unit_price")))
+
+    def from_table(rows: Column) -> Column:
+        return let(F.struct(H.cells_of(F.get(rows, F.lit(0))).alias("head"),
+                            H.cells_of(F.get(rows, F.lit(1))).alias("prices")), aligned)
+
+    def named() -> Column:
+        cells = H.all_outer(page, "td", r"""\bid\s*=\s*["']price_connect_\d+["']""")
+        return F.transform(cells, lambda c: F.struct(
+            F.regexp_extract(H.attribute(c, "id"), r"^price_connect_(\d+)$", 1).try_cast("bigint").alias("quantity"),
+            money_in(H.node_text(c)).alias("unit_price")))
+
+    def whole(entries: Column) -> Column:
+        return F.coalesce(F.filter(entries, lambda e: e["quantity"].isNotNull() & e["unit_price"].isNotNull()).cast(_PRICE),
+                          F.array().cast(_PRICE))
+
+    listed = whole(let(H.rows_of(H.element(page, "table", H.has_id("tblPrice"))), from_table))
+    chosen = let(listed, lambda es: F.when(F.size(es) > 0, es).otherwise(whole(named())))
     return tr.last_price_wins(chosen)
 
 
@@ -148,26 +156,33 @@ def _row_tiers(cells: Column, header: Column, shape: Column) -> Column:
 def shape_prices(page: Column) -> Column:
     """Prices of a page whose tables sit behind shape tabs, or lie flat in the chart,
     or anywhere on the page where there is no chart."""
-    chart = H.element(page, "div", H.has_class("price_chart"))
-    navs = F.filter(H.all_outer(chart, "nav"), lambda n: n.rlike(r"""(?i)href\s*=\s*["']#nav-price-"""))
-    links = F.transform(
-        H.all_outer(F.get(navs, F.lit(0)), "a", r"""\bhref\s*=\s*["']#nav-price-"""),
-        lambda a: F.struct(H.node_text(a).alias("shape"),
-                           F.substring(H.attribute(a, "href"), 2, 500).alias("pane")))
-    content = H.element(chart, "div", H.has_id("nav-tabContent"))
-    panes = F.transform(F.split(content, r"""(?i)(?=<div\b[^>]*\bid\s*=\s*["']nav-price-)"""),
-                        lambda p: F.struct(H.attribute(p, "id").alias("pane"),
-                                           F.get(H.tables_of(p), F.lit(0)).alias("table")))
-    by_tab = F.flatten(F.transform(links, lambda a: price_table(
-        F.get(F.filter(panes, lambda p: p["pane"] == a["pane"]), F.lit(0))["table"], a["shape"])))
     default = F.lit("Default")
-    flat = F.flatten(F.transform(H.tables_of(chart), lambda t: price_table(t, default)))
-    structured = F.when((F.size(links) > 0) & (content != ""), by_tab).otherwise(flat)
-    structured = F.coalesce(structured, F.array().cast(_SHAPED))
-    anywhere = F.transform(F.filter(H.tables_of(page), lambda t: H.node_text(t).contains("$")),
-                           lambda t: price_table(t, default))
-    fallback = F.coalesce(F.get(F.filter(anywhere, lambda r: F.size(r) > 0), F.lit(0)), F.array().cast(_SHAPED))
-    return F.when(F.size(structured) > 0, structured).otherwise(fallback)
+    none = F.array().cast(_SHAPED)
+
+    def tabs(b: Column) -> Column:
+        return F.flatten(F.transform(b["links"], lambda a: price_table(
+            F.get(F.filter(b["panes"], lambda p: p["pane"] == a["pane"]), F.lit(0))["table"], a["shape"])))
+
+    def in_chart(chart: Column) -> Column:
+        navs = F.filter(H.all_outer(chart, "nav"), lambda n: n.rlike(r"""(?i)href\s*=\s*["']#nav-price-"""))
+        links = F.transform(
+            H.all_outer(F.get(navs, F.lit(0)), "a", r"""\bhref\s*=\s*["']#nav-price-"""),
+            lambda a: F.struct(H.node_text(a).alias("shape"), F.substring(H.attribute(a, "href"), 2, 500).alias("pane")))
+        panes = F.transform(
+            F.split(H.element(chart, "div", H.has_id("nav-tabContent")), r"""(?i)(?=<div\b[^>]*\bid\s*=\s*["']nav-price-)"""),
+            lambda p: F.struct(H.attribute(p, "id").alias("pane"), F.get(H.tables_of(p), F.lit(0)).alias("table")))
+        flat = F.flatten(F.transform(H.tables_of(chart), lambda t: price_table(t, default)))
+        tabbed = lambda b: (F.size(b["links"]) > 0) & F.exists(b["panes"], lambda p: p["pane"].isNotNull())
+        return let(F.struct(links.alias("links"), panes.alias("panes")),
+                   lambda b: F.coalesce(F.when(tabbed(b), tabs(b)).otherwise(flat), none))
+
+    def anywhere() -> Column:
+        priced = F.filter(H.tables_of(page), lambda t: H.node_text(t).contains("$"))
+        read = F.filter(F.transform(priced, lambda t: price_table(t, default)), lambda r: F.size(r) > 0)
+        return F.coalesce(F.get(read, F.lit(0)), none)
+
+    structured = let(H.element(page, "div", H.has_class("price_chart")), in_chart)
+    return let(structured, lambda rows: F.when(F.size(rows) > 0, rows).otherwise(anywhere()))
 
 
 def options(page: Column, image_host: str | None = None) -> Column:
@@ -179,26 +194,34 @@ def options(page: Column, image_host: str | None = None) -> Column:
     pieces = F.split(page, rf"(?i)(?=<h[2-5]\b[^>]*>(?:\s|<[^>]*>)*{_STEP})")
     marks = r"\bdata-product-option-value-id\b"
 
+    opening = lambda t: F.regexp_extract(t, r"(?is)^(<[^>]*>)", 1)
+    picture = lambda t: F.regexp_extract(t, r"""(?is)<img\b[^>]*?\s(?:data-src|src)\s*=\s*["']([^"']*)""", 1)
+
+    def swatch(t: Column) -> Column:
+        if not image_host:
+            return F.lit(None).cast("string")
+        named = F.concat(F.lit(f"https://{image_host}/fit-in/400x400/"), H.attribute(t, "data-img"))
+        return let(picture(t), lambda src: F.when(src.contains(image_host), src).otherwise(named))
+
     def of(piece: Column) -> Column:
         step = F.when(piece.rlike(r"(?i)^<h[2-5]\b"), H.node_text(F.regexp_extract(
             piece, r"(?is)^<h[2-5]\b[^>]*>(.*?)</h[2-5]\s*>", 1), " ")).otherwise("")
+        heading = let(step, lambda s: F.struct(X.option_group(s).alias("group"), F.left(s, F.lit(80)).alias("step")))
         found = F.regexp_extract_all(piece, F.lit(rf"(?is)(<(\w+)\b(?=[^>]*{marks})[^>]*>(?:.*?</\2\s*>)?)"), F.lit(1))
-        visible = F.filter(found, lambda t: ~(F.regexp_extract(t, r"(?is)^(<[^>]*>)", 1).rlike(
-            "(?i)" + H.has_class("form-control")) & F.regexp_extract(t, r"(?is)^(<[^>]*>)", 1).rlike(
-            "(?i)" + H.has_class("quantities"))))
-        image = lambda t: F.regexp_extract(t, r"""(?is)<img\b[^>]*?\s(?:data-src|src)\s*=\s*["']([^"']*)""", 1)
-        swatch = lambda t: F.when(image(t).contains(image_host), image(t)).when(
-            H.attribute(t, "data-img").isNotNull(), F.concat(
-                F.lit(f"https://{image_host}/fit-in/400x400/"), H.attribute(t, "data-img"))
-        ) if image_host else F.lit(None).cast("string")
-        rows = F.transform(visible, lambda t: F.struct(
-            X.option_group(step).alias("group"),
-            X.strip(F.coalesce(H.attribute(t, "data-original-option-value-name"), H.node_text(t, " "))).alias("label"),
-            F.coalesce(H.attribute(t, "data-product-option-value-id"), F.lit("")).alias("option_value_id"),
-            H.attribute(t, "data-option-id").alias("option_id"),
-            X.money(F.coalesce(H.attribute(t, "data-price"), F.lit("0"))).alias("price_modifier"),
-            swatch(t).alias("swatch_image_url"), F.left(step, F.lit(80)).alias("step_label")))
-        return F.filter(rows, lambda r: r["label"] != "")
+        hidden = lambda t: let(opening(t), lambda tag: tag.rlike(
+            "(?i)" + H.has_class("form-control")) & tag.rlike("(?i)" + H.has_class("quantities")))
+        visible = F.filter(found, lambda t: ~hidden(t))
+
+        def entries(h: Column) -> Column:
+            return F.transform(visible, lambda t: F.struct(
+                h["group"].alias("group"),
+                X.strip(F.coalesce(H.attribute(t, "data-original-option-value-name"), H.node_text(t, " "))).alias("label"),
+                F.coalesce(H.attribute(t, "data-product-option-value-id"), F.lit("")).alias("option_value_id"),
+                H.attribute(t, "data-option-id").alias("option_id"),
+                X.money(F.coalesce(H.attribute(t, "data-price"), F.lit("0"))).alias("price_modifier"),
+                swatch(t).alias("swatch_image_url"), h["step"].alias("step_label")))
+
+        return F.filter(let(heading, entries), lambda r: r["label"] != "")
 
     return F.flatten(F.transform(pieces, of))
 
@@ -210,13 +233,14 @@ def options_by_group(listed: Column) -> Column:
     shown = lambda o: F.struct(*[o[c].alias(c) for c in (
         "label", "option_value_id", "option_id", "price_modifier", "swatch_image_url", "step_label")])
 
-    def group(name_: str) -> Column:
+    def group(every: Column, name_: str) -> Column:
         def first(b: Column) -> Column:
             kept = F.filter(b["mine"], lambda o, i: F.array_position(b["keys"], identity(o)) == i + 1)
             return F.transform(kept, shown)
-        return let(F.filter(listed, lambda o: o["group"] == name_), lambda mine: let(
+        return let(F.filter(every, lambda o: o["group"] == name_), lambda mine: let(
             F.struct(mine.alias("mine"), F.transform(mine, identity).alias("keys")), first))
-    return F.create_map(*[x for g in fixed.OPTION_GROUPS for x in (F.lit(g), group(g))])
+    return let(listed, lambda every: F.create_map(
+        *[x for g in fixed.OPTION_GROUPS for x in (F.lit(g), group(every, g))]))
 
 
 def sku(html: Column, page: Column) -> Column:
@@ -283,33 +307,43 @@ def imprint_styles(page: Column) -> Column:
 
 
 def embedded_props(html: Column) -> Column:
-    """The editor container's JSON as a variant."""
+    """The editor container's JSON text (kept as text: its key order matters)."""
     raw = F.regexp_extract(html, r"""(?is)<div\b(?=[^>]*\bid\s*=\s*["']product-editor-container["'])[^>]*?"""
                                  r"""\sdata-symfony--ux-react--react-props-value\s*=\s*"([^"]*)\"""", 1)
-    return F.try_parse_json(H.unescape(X.blank_to_null(raw)))
+    return H.unescape(X.blank_to_null(raw))
 
 
 def embedded_tiers(props: Column, size_: Column) -> Column:
     """Tiers of the size's price list (the first list where that size has none), in
     the order of the listed quantities."""
-    lists = F.from_json(F.to_json(F.try_variant_get(props, "$.product.pricing.variants", "variant")),
-                        "map<string,struct<pricing:map<string,struct<qty:struct<`from`:bigint>,usd:string>>>>")
-    wanted = F.concat(F.lit("pricing_"), F.lower(size_))
-    chosen = F.coalesce(F.try_element_at(lists, wanted), F.get(F.map_values(lists), F.lit(0)))["pricing"]
-    quantities = F.try_variant_get(props, "$.product.pricing.quantities", "array<string>")
-    hits = F.transform(quantities, lambda q: F.try_element_at(chosen, F.concat(F.lit("qty_"), q)))
-    return F.transform(F.filter(hits, lambda h: h.isNotNull()), lambda h: F.struct(
-        h["qty"]["from"].alias("quantity"), h["usd"].try_cast("double").alias("price")))
+    def pick(b: Column) -> Column:
+        wanted = F.concat(F.lit("pricing_"), F.lower(size_))
+        chosen = F.coalesce(F.try_element_at(b["lists"], wanted), F.get(F.map_values(b["lists"]), F.lit(0)))["pricing"]
+        hits = let(chosen, lambda prices: F.transform(
+            b["quantities"], lambda q: F.try_element_at(prices, F.concat(F.lit("qty_"), q))))
+        return F.transform(F.filter(hits, lambda h: h.isNotNull()), lambda h: F.struct(
+            h["qty"]["from"].alias("quantity"), h["usd"].try_cast("double").alias("price")))
+
+    def read(v: Column) -> Column:
+        lists = F.from_json(F.get_json_object(v, "$.product.pricing.variants"),
+                            "map<string,struct<pricing:map<string,struct<qty:struct<`from`:bigint>,usd:string>>>>")
+        quantities = F.from_json(F.get_json_object(v, "$.product.pricing.quantities"), "array<string>")
+        return let(F.struct(lists.alias("lists"), quantities.alias("quantities")), pick)
+
+    return let(props, read)
 
 
 def embedded_images(props: Column, size_: Column, html: Column) -> Column:
     """Product images, else the image of the variant of that size, else of the first
     variant, else the JSON-LD image."""
-    images = F.try_variant_get(props, "$.product.productImages", "array<string>")
-    variants = F.try_variant_get(props, "$.product.variants", "array<struct<name:string,image:string>>")
-    named = F.get(F.filter(variants, lambda v: F.lower(v["name"]) == F.lower(size_)), F.lit(0))["image"]
-    first = F.get(variants, F.lit(0))["image"]
-    ld = F.try_variant_get(F.try_parse_json(json_ld(html)), "$.image", "string")
-    single = F.coalesce(X.blank_to_null(named), X.blank_to_null(first), ld)
-    return F.when(F.size(images) > 0, images).when(single.isNotNull(), F.array(single)).otherwise(
-        F.array().cast("array<string>"))
+    def choose(b: Column) -> Column:
+        named = F.get(F.filter(b["variants"], lambda v: F.lower(v["name"]) == F.lower(size_)), F.lit(0))["image"]
+        first = F.get(b["variants"], F.lit(0))["image"]
+        single = F.coalesce(X.blank_to_null(named), X.blank_to_null(first), b["ld"])
+        return F.when(F.size(b["images"]) > 0, b["images"]).when(single.isNotNull(), F.array(single)).otherwise(
+            F.array().cast("array<string>"))
+
+    return let(F.try_parse_json(props), lambda v: let(F.struct(
+        F.try_variant_get(v, "$.product.productImages", "array<string>").alias("images"),
+        F.try_variant_get(v, "$.product.variants", "array<struct<name:string,image:string>>").alias("variants"),
+        F.try_variant_get(F.try_parse_json(json_ld(html)), "$.image", "string").alias("ld")), choose))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfdelta.functions import fixed
 from shelfdelta.functions import predicates as W
+from shelfdelta.functions.binding import let
 from shelfdelta.functions.text import cents_amount, country_code
 
 
@@ -41,9 +42,9 @@ def option_lookup(option_groups: Column) -> Column:
 def chosen_option(option_ids: Column, lookup: Column, kind: str) -> Column:
     """The last of a variant's options that has the given type."""
     hit = F.filter(option_ids, lambda o: F.exists(lookup, lambda e: (e["id"] == o) & (e["type"] == kind)))
-    last = F.try_element_at(hit, F.lit(-1))
     # A later entry for the same id replaces an earlier one.
-    return F.try_element_at(F.filter(lookup, lambda e: e["id"] == last), F.lit(-1))
+    return let(F.try_element_at(hit, F.lit(-1)), lambda last: F.try_element_at(
+        F.filter(lookup, lambda e: e["id"] == last), F.lit(-1)))
 
 
 def variant_options(variant_options_df: DataFrame, options: DataFrame, key: list[str]) -> DataFrame:

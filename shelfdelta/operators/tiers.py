@@ -65,18 +65,21 @@ def flagged(tiers: Column) -> Column:
     A quantity of one is a sample when two or more tiers start at 25. A price above
     ten times the median of the other prices is an outlier.
     """
-    def with_rule(rule: Column) -> Column:
-        sample = lambda t: (t["quantity"] == 1) & rule["bulk"]
-        return F.transform(tiers, lambda t: F.struct(
+    def with_rule(b: Column) -> Column:
+        sample = lambda t: (t["quantity"] == 1) & b["bulk"]
+        return F.transform(b["tiers"], lambda t: F.struct(
             t["quantity"].alias("quantity"), t["unit_price"].alias("unit_price"),
             sample(t).alias("is_sample"),
-            ((rule["middle"] > 0) & (t["unit_price"] > rule["middle"] * 10)).alias("is_outlier")))
+            ((b["middle"] > 0) & (t["unit_price"] > b["middle"] * 10)).alias("is_outlier")))
 
-    def with_bulk(bulk: Column) -> Column:
-        prices = F.transform(F.filter(tiers, lambda t: ~((t["quantity"] == 1) & bulk)), lambda t: t["unit_price"])
-        return let(F.struct(bulk.alias("bulk"), median_of(prices).alias("middle")), with_rule)
+    def with_bulk(b: Column) -> Column:
+        prices = F.transform(F.filter(b["tiers"], lambda t: ~((t["quantity"] == 1) & b["bulk"])),
+                             lambda t: t["unit_price"])
+        return let(F.struct(b["tiers"].alias("tiers"), b["bulk"].alias("bulk"), median_of(prices).alias("middle")),
+                   with_rule)
 
-    return let(F.size(F.filter(tiers, lambda t: t["quantity"] >= 25)) >= 2, with_bulk)
+    return let(tiers, lambda ts: let(F.struct(
+        ts.alias("tiers"), (F.size(F.filter(ts, lambda t: t["quantity"] >= 25)) >= 2).alias("bulk")), with_bulk))
 
 
 def ordinals(tiers: Column, flag: str) -> Column:

@@ -56,17 +56,19 @@ def build_variants(options: Column, base_tiers: Column, slug: Column, tag: Colum
     """``array<variant>`` for a product; one bare variant where it has tiers but no axes."""
     head = F.coalesce(blank_to_null(slug), blank_to_null(tag), F.lit("product"))
 
-    def variant(c: Column) -> Column:
-        return F.struct(
-            keys.variant_key(c["sku"]).alias("variant_key"), c["sku"].alias("sku"),
-            c["print_method"].alias("print_method"), c["napkin"].alias("napkin_color"),
-            c["imprint"].alias("imprint_color"), c["ply_or_size"].alias("ply_or_size"),
-            F.round(c["total"], 2).alias("price_modifier_total"), base_tiers.alias("tiers"))
-
-    # Without axes only a priced product has a variant.
-    tiered = F.size(tr.or_empty(base_tiers, f"array<{TIER}>")) > 0
-    kept = F.filter(axis_combinations(options, head, cap), lambda c: (c["axes"] > 0) | tiered)
-    return F.transform(kept, variant).cast(f"array<{VARIANT}>")
+    def build(tiers: Column) -> Column:
+        def variant(c: Column) -> Column:
+            return F.struct(
+                keys.variant_key(c["sku"]).alias("variant_key"), c["sku"].alias("sku"),
+                c["print_method"].alias("print_method"), c["napkin"].alias("napkin_color"),
+                c["imprint"].alias("imprint_color"), c["ply_or_size"].alias("ply_or_size"),
+                F.round(c["total"], 2).alias("price_modifier_total"), tiers.alias("tiers"))
+
+        # Without axes only a priced product has a variant.
+        kept = F.filter(axis_combinations(options, head, cap), lambda c: (c["axes"] > 0) | (F.size(tiers) > 0))
+        return F.transform(kept, variant).cast(f"array<{VARIANT}>")
+
+    return let(tr.or_empty(base_tiers, f"array<{TIER}>"), build)
 
 
 def colours_of(options: Column) -> Column:
