@@ -66,8 +66,8 @@ def status_stream(spark, sf) -> DataFrame:
     log = ST.logged(spark, folder)
     # Every message was sent in event order, so the sequence number is the arrival.
     out = ST.task_view(tasks(spark, sf), log, [F.col("seq")])
-    bad = ST.logged(spark, folder, "quarantined").agg(F.count("*").alias("quarantined"))
-    return out.select("id", "status", "duration_ms", "error_message").crossJoin(F.broadcast(bad))
+    bad = ST.logged(spark, folder, "quarantined").agg(F.count("*"))
+    return out.select("id", "status", "duration_ms", "error_message", bad.scalar().alias("quarantined"))
 
 
 query(SQL["status_apply_guarded"].replace(

@@ -140,21 +140,21 @@ SELECT p_partkey, count(*) AS variants, CAST(max(k) AS BIGINT) AS last_place,
  CAST(round(sum(0.25 * (length(n) - 7)), 2) AS DOUBLE) AS modifiers FROM skus GROUP BY p_partkey""")
 def variant_matrix_capped(spark, sf) -> DataFrame:
     """5 print methods x 25 colours x 5 inks, cut at 500 in axis order."""
-    one = lambda rows: F.array_sort(F.collect_list(F.struct(*rows)))
     # Region and nation are the bounded dimension tables (5 and 25 rows).
-    regions = table(spark, sf, "region").agg(F.array_sort(F.collect_list("r_name")).alias("r"))
-    nations = table(spark, sf, "nation").agg(one(["n_name"]).alias("n"))
+    regions = table(spark, sf, "region").agg(F.array_sort(F.collect_list("r_name")))
+    nations = table(spark, sf, "nation").agg(F.array_sort(F.collect_list("n_name")))
     option = lambda label, extra: F.struct(
         label.alias("label"), F.lit("1").alias("option_value_id"), F.lit("1").alias("option_id"),
         extra.alias("price_modifier"), F.lit(None).cast("string").alias("swatch_image_url"), F.lit("").alias("step_label"))
     zero = F.lit(0.0)
-    options = regions.crossJoin(nations).select(F.create_map(
+    options = F.create_map(
         F.lit("print_method"), F.transform("r", lambda x: option(x, zero)),
-        F.lit("napkin"), F.transform("n", lambda x: option(x["n_name"], 0.25 * (F.length(x["n_name"]) - 7))),
-        F.lit("imprint"), F.transform(F.reverse("r"), lambda x: option(F.concat(F.lit("ink "), x), zero))).alias("options"))
+        F.lit("napkin"), F.transform("n", lambda x: option(x, 0.25 * (F.length(x) - 7))),
+        F.lit("imprint"), F.transform(F.reverse("r"), lambda x: option(F.concat(F.lit("ink "), x), zero)))
     tier = F.array(F.struct(F.lit(10).cast("bigint").alias("quantity"), F.lit(1.0).alias("unit_price"),
                             F.lit(False).alias("is_sample"), F.lit(False).alias("is_outlier")))
-    parts = table(spark, sf, "part").crossJoin(F.broadcast(options))
+    parts = table(spark, sf, "part").select(
+        "p_partkey", "p_name", regions.scalar().alias("r"), nations.scalar().alias("n")).withColumn("options", options)
     slug = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"))
     built = parts.select("p_partkey", V.build_variants(F.col("options"), tier, slug, F.lit(None).cast("string")).alias("v"))
     field = lambda f: F.transform("v", lambda x: x[f])

@@ -32,8 +32,9 @@ def page_info(df: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
 
 
 def paged(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:
-    """A page with its totals on every row; the totals are a one-row aggregate."""
-    return page(df, order, number, size).crossJoin(F.broadcast(page_info(df, number, size)))
+    """A page with its totals on every row; the totals are a scalar subquery."""
+    totals = page_info(df, number, size).select(F.struct("*").alias("t")).scalar()
+    return page(df, order, number, size).withColumn("_t", totals).select("*", "_t.*").drop("_t")
 
 
 def top(df: DataFrame, order: list[Column], limit: int) -> DataFrame:

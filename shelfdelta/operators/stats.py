@@ -85,13 +85,14 @@ def known_sources(products: DataFrame, results: DataFrame) -> DataFrame:
 def export_stats(products: DataFrame, results: DataFrame, source: str | None = None,
                  start=None, end=None, columns: int | None = None) -> DataFrame:
     """One row: alive products, result envelopes, number of sources, sheet width."""
+    enveloped = results.filter(W.results_filter(source, start, end)).agg(F.count("*"))
+    sources = known_sources(products, results).agg(F.count("*"))
     counted = products.filter(W.products_filter(source, start, end)).agg(
         F.count("*").alias("products_collection_count"))
-    enveloped = results.filter(W.results_filter(source, start, end)).agg(
-        F.count("*").alias("results_collection_count"))
-    sources = known_sources(products, results).agg(F.count("*").alias("available_sources"))
-    return counted.crossJoin(F.broadcast(enveloped)).crossJoin(F.broadcast(sources)).withColumn(
-        "csv_columns_count", F.lit(columns or len(fixed.sheet_columns())).cast("bigint"))
+    return counted.select(
+        "products_collection_count", enveloped.scalar().alias("results_collection_count"),
+        sources.scalar().alias("available_sources"),
+        F.lit(columns or len(fixed.sheet_columns())).cast("bigint").alias("csv_columns_count"))
 
 
 def count_by(df: DataFrame, *by: str) -> DataFrame:

@@ -39,25 +39,38 @@ def not_cancelled(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     return runs.join(cancelled, "task_id", "left_anti")
 
 
-def effective_messages(messages: DataFrame, order: str = "seq") -> DataFrame:
-    """Per task, the messages up to and including its first terminal one.
+def first_ends(messages: DataFrame, order: str = "seq") -> DataFrame:
+    """Per task, where its first terminal message stands."""
+    return messages.filter(W.terminal_status()).groupBy("task_id").agg(F.min(order).alias("_end"))
 
-    ``order`` is the arrival number. The cut-off is a partial aggregate and the join
-    back to the messages is an equi-join AQE can split where one task has most rows.
+
+def effective_messages(messages: DataFrame, order: str = "seq", salts: int = 16) -> DataFrame:
+    """Per task, the messages up to and including its first terminal one, with
+    their ``_salt``.
+
+    ``order`` is the arrival number. One task may hold a large part of all messages,
+    so the messages are spread over ``salts`` sub-keys and the cut-offs, at most one
+    row per task, are repeated for each.
     """
-    first_end = messages.filter(W.terminal_status()).groupBy("task_id").agg(F.min(order).alias("_end"))
-    return messages.join(first_end, "task_id", "left").filter(
+    spread = messages.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
+    cuts = first_ends(messages, order).select(
+        "task_id", "_end", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return spread.join(cuts, ["task_id", "_salt"], "left").filter(
         F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).drop("_end")
 
 
-def folded_messages(messages: DataFrame, order: str = "seq") -> DataFrame:
-    """One row per task: its last effective status and the last value of every field."""
-    live = effective_messages(messages, order)
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
-    return live.groupBy("task_id").agg(
-        F.max_by("status", order).alias("status"),
-        *[last(m).alias(m) for m in _COPIED.values()],
-        F.count("*").alias("applied"))
+def folded_messages(messages: DataFrame, order: str = "seq", salts: int = 16) -> DataFrame:
+    """One row per task: its last effective status and the last value of every field.
+
+    Folds per (task, salt) where the join left the rows, then per task.
+    """
+    live = effective_messages(messages, order, salts)
+    fields = ["status", *_COPIED.values()]
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(
+        F.col(order).alias("at"), F.col(c).alias("value")))).alias(c)
+    parts = live.groupBy("task_id", "_salt").agg(*[last(c) for c in fields], F.count("*").alias("applied"))
+    return parts.groupBy("task_id").agg(
+        *[F.max(c)["value"].alias(c) for c in fields], F.sum("applied").alias("applied"))
 
 
 def apply_messages(tasks: DataFrame, messages: DataFrame, order: str = "seq") -> DataFrame:
@@ -78,8 +91,10 @@ def dispositions(messages: DataFrame, tasks: DataFrame, order: str = "seq",
                  id_pattern: str | None = ID_PATTERN) -> DataFrame:
     """What became of every message: applied, skipped as late, unknown task, bad id."""
     ended = tasks.select(F.col("id").alias("task_id"), W.terminal_status().alias("_ended"))
-    first_end = messages.filter(W.terminal_status()).groupBy("task_id").agg(F.min(order).alias("_end"))
-    joined = messages.join(ended, "task_id", "left").join(first_end, "task_id", "left")
+    # One look-up of a row per task, so that the messages are joined once and AQE can
+    # split a task that holds very many of them.
+    known = ended.join(first_ends(messages, order), "task_id", "full_outer")
+    joined = messages.join(known, "task_id", "left")
     late = F.col("_ended") | (F.col("_end").isNotNull() & (F.col(order) > F.col("_end")))
     bad = ~F.col("task_id").rlike(id_pattern) if id_pattern else F.lit(False)
     return joined.withColumn("outcome", F.when(bad, "invalid_id")
