@@ -41,7 +41,7 @@ def float_text(c: Column) -> Column:
         spelled = F.rtrim(b["d"].cast("decimal(38,20)").cast("string"), F.lit("0"))
         spelled = F.when(spelled.endswith("."), F.concat(spelled, F.lit("0"))).otherwise(spelled)
         exponent = F.regexp_replace(F.regexp_replace(
-            F.regexp_replace(b["text"], r"\.0E", "E"), r"E-(\d)$", "e-0$1"), "E(-?)", "e$1")
+            F.regexp_replace(b["text"], r"\.0E", "E"), r"E-(\d)$", "e-0$1"), r"E(\d)", "e+$1")
         size = F.abs(b["d"])
         return (F.when(~b["text"].contains("E"), b["text"])
                 .when((size >= 1e-4) & (size < 1e16), spelled)
@@ -55,7 +55,7 @@ def price_text(c: Column) -> Column:
     c = c.cast("double")
     whole = F.when(F.abs(c) < 1e18, c.cast("bigint").cast("string")).otherwise(
         c.cast("decimal(38,0)").cast("string"))
-    return or_blank(F.when(c == F.floor(c), whole).otherwise(float_text(c)))
+    return or_blank(F.when(c % 1 == 0, whole).otherwise(float_text(c)))
 
 
 def quantity_text(c: Column) -> Column:
