@@ -68,8 +68,8 @@ def field_diff(spark, sf) -> DataFrame:
    ELSE '' END AS changed_fields
  FROM classified WHERE change_type IN ('added', 'updated', 'deleted')""")
 def audit_log_text(spark, sf) -> DataFrame:
-    records = D.change_records(state(spark, sf), batch(spark, sf), ts(RUN_TS), "run-2", "s-2")
-    return D.change_log(records)
+    applied = M.apply_run(state(spark, sf), batch(spark, sf), ts(RUN_TS), "run-2")
+    return D.change_log(M.records_of(applied, ts(RUN_TS), "run-2", "s-2"))
 
 
 @query("""SELECT doc_id, source, CASE WHEN size > 2000 THEN true ELSE false END AS capped,

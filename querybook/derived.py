@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores. The driver tables are single small files, so work that is
+    heavy per row would otherwise run in one task; AQE merges key partitions of few
+    bytes, hence the explicit number."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key)
+
+
 def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -130,7 +139,7 @@ def priced_parts(spark: SparkSession, sf: str) -> DataFrame:
     pricing = F.transform("raw", lambda e: F.struct(
         name(e["method"]).alias("print_method"), e["shape"].alias("shape"),
         F.lit("4 in").alias("size"), e["quantity"].alias("quantity"), (e["cents"] / 100.0).alias("unit_price")))
-    parts = table(spark, sf, "part")
+    parts = spread(table(spark, sf, "part"), "p_partkey")
     return parts.join(lists, parts["p_partkey"] == lists["l_partkey"], "left").select(
         "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice",
         F.concat(F.lit("https://shop.example.com/product/"), F.lower("p_type"), F.lit("/"),

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from querybook import query
-from querybook.derived import PRICE_SQL, SLUG_SQL, price_rows, table
+from querybook.derived import PRICE_SQL, SLUG_SQL, price_rows, spread, table
 from shelfdelta.functions import html as H
 from shelfdelta.operators import discovery as DI, page_parts as G
 from shelfdelta.plans import extraction as X
@@ -36,7 +36,7 @@ def step_pages(spark, sf) -> DataFrame:
     quantity), option steps; big parts carry the fallback forms instead."""
     best = price_rows(spark, sf).groupBy("l_partkey", "quantity").agg(F.min("cents").alias("cents"))
     tiers = best.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("quantity", "cents"))).alias("tiers"))
-    rows = table(spark, sf, "part").join(tiers, F.col("p_partkey") == F.col("l_partkey"), "left")
+    rows = spread(table(spark, sf, "part"), "p_partkey").join(tiers, F.col("p_partkey") == F.col("l_partkey"), "left")
     big = F.col("p_size") > 40
     table_html = _text(
         '<table id="tblPrice" class="t"><tr><th>Qty</th>',
@@ -141,7 +141,7 @@ def shape_pages(spark, sf) -> DataFrame:
     entry = F.struct("method", "quantity", "cents")
     rows = price_rows(spark, sf).groupBy("l_partkey", "shape").agg(F.array_sort(F.collect_list(entry)).alias("es"))
     shapes = rows.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("shape", "es"))).alias("shapes"))
-    rows = table(spark, sf, "part").join(shapes, F.col("p_partkey") == F.col("l_partkey"))
+    rows = spread(table(spark, sf, "part"), "p_partkey").join(shapes, F.col("p_partkey") == F.col("l_partkey"))
 
     def one_table(s: Column) -> Column:
         methods = F.array_distinct(F.transform(s["es"], lambda e: e["method"]))
@@ -211,7 +211,7 @@ def embedded_pages(spark, sf) -> DataFrame:
     price list per size; the URL names the size for small parts only."""
     best = price_rows(spark, sf).groupBy("l_partkey", "quantity").agg(F.min("cents").alias("cents"))
     tiers = best.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("quantity", "cents"))).alias("tiers"))
-    rows = table(spark, sf, "part").join(tiers, F.col("p_partkey") == F.col("l_partkey"))
+    rows = spread(table(spark, sf, "part"), "p_partkey").join(tiers, F.col("p_partkey") == F.col("l_partkey"))
     listing = lambda plus: _text('{"pricing":{', F.array_join(F.transform("tiers", lambda t: _text(
         '"qty_', t["quantity"], '":{"qty":{"from":', t["quantity"], '},"usd":', (t["cents"] + plus) / 100, "}")), ","), "}}")
     props = _text('{"product":{"productImages":[],"variants":[{"name":"6X24","image":"v6.png"},{"name":"18X24","image":"v18.png"}],',

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from querybook import query
-from querybook.derived import (METHOD_SQL, PRICE_SQL, SLUG_SQL, URL_SQL, price_rows, priced_parts, table)
+from querybook.derived import (METHOD_SQL, PRICE_SQL, SLUG_SQL, URL_SQL, price_rows, priced_parts, spread, table)
 from shelfdelta.functions import fixed, keys, text as X, urls as U
 from shelfdelta.operators import sheet as S, tiers as tr, variants as V
 from shelfdelta.plans import export
@@ -153,7 +153,7 @@ def variant_matrix_capped(spark, sf) -> DataFrame:
         F.lit("imprint"), F.transform(F.reverse("r"), lambda x: option(F.concat(F.lit("ink "), x), zero)))
     tier = F.array(F.struct(F.lit(10).cast("bigint").alias("quantity"), F.lit(1.0).alias("unit_price"),
                             F.lit(False).alias("is_sample"), F.lit(False).alias("is_outlier")))
-    parts = table(spark, sf, "part").select(
+    parts = spread(table(spark, sf, "part"), "p_partkey").select(
         "p_partkey", "p_name", regions.scalar().alias("r"), nations.scalar().alias("n")).withColumn("options", options)
     slug = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"))
     built = parts.select("p_partkey", V.build_variants(F.col("options"), tier, slug, F.lit(None).cast("string")).alias("v"))

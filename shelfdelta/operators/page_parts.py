@@ -223,7 +223,8 @@ def options(page: Column, image_host: str | None = None) -> Column:
 
         return F.filter(let(heading, entries), lambda r: r["label"] != "")
 
-    return F.flatten(F.transform(pieces, of))
+    holding = F.filter(pieces, lambda p: p.contains("data-product-option-value-id"))
+    return F.flatten(F.transform(holding, of))
 
 
 def options_by_group(listed: Column) -> Column:
@@ -248,26 +249,32 @@ def sku(html: Column, page: Column) -> Column:
     tag = F.coalesce(X.blank_to_null(F.regexp_extract(html, r'database_tag"\s*:\s*"([^"]+)"', 1)),
                      X.blank_to_null(F.regexp_extract(html, r'data-product-id="(\d+)"', 1)))
     inline = X.blank_to_null(X.strip(F.regexp_extract(html, r'"sku"\s*:\s*"([^"]+)"', 1)))
-    prop = F.get(F.regexp_extract_all(page, F.lit(
-        r"""(?is)(<(\w+)\b(?=[^>]*\bitemprop\s*=\s*["']sku["'])[^>]*>(?:[^<]*</\2\s*>)?)"""), F.lit(1)), F.lit(0))
-    itemprop = X.blank_to_null(X.strip(F.coalesce(H.attribute(prop, "content"), H.node_text(prop))))
-    data = X.blank_to_null(X.strip(F.regexp_extract(page, r"""(?is)<\w+\b[^>]*\sdata-sku\s*=\s*["']([^"']*)""", 1)))
-    ld = F.try_parse_json(json_ld(html))
-    in_ld = F.when(F.try_variant_get(ld, "$['@type']", "string") == "Product",
-                   F.try_variant_get(ld, "$.sku", "string"))
-    ranked = [(inline, "json_sku"), (itemprop, "itemprop_sku"), (data, "data_sku"), (in_ld, "ldjson_sku"),
-              (F.concat(F.lit("SKU"), tag), "db_tag")]
-    source = F
-    for value, label in ranked:
-        source = source.when(value.isNotNull(), F.lit(label))
-    return F.struct(F.coalesce(*[v for v, _ in ranked]).alias("sku"), tag.alias("database_tag"),
-                    source.otherwise("none").alias("sku_source"))
+    # A plain substring test spares the tag expressions on pages without the marker.
+    prop = F.when(page.contains("itemprop"), F.get(F.regexp_extract_all(page, F.lit(
+        r"""(?is)(<(\w+)\b(?=[^>]*\bitemprop\s*=\s*["']sku["'])[^>]*>(?:[^<]*</\2\s*>)?)"""), F.lit(1)), F.lit(0)))
+    itemprop = let(prop, lambda t: X.blank_to_null(X.strip(F.coalesce(H.attribute(t, "content"), H.node_text(t)))))
+    data = F.when(page.contains("data-sku"), X.blank_to_null(X.strip(F.regexp_extract(
+        page, r"""(?is)<\w+\b[^>]*\sdata-sku\s*=\s*["']([^"']*)""", 1))))
+    in_ld = let(F.try_parse_json(json_ld(html)), lambda ld: F.when(
+        F.try_variant_get(ld, "$['@type']", "string") == "Product", F.try_variant_get(ld, "$.sku", "string")))
+    places = F.struct(inline.alias("json_sku"), itemprop.alias("itemprop_sku"), data.alias("data_sku"),
+                      in_ld.alias("ldjson_sku"), F.concat(F.lit("SKU"), tag).alias("db_tag"), tag.alias("tag"))
+    labels = ["json_sku", "itemprop_sku", "data_sku", "ldjson_sku", "db_tag"]
+
+    def first(p: Column) -> Column:
+        source = F
+        for label in labels:
+            source = source.when(p[label].isNotNull(), F.lit(label))
+        return F.struct(F.coalesce(*[p[label] for label in labels]).alias("sku"), p["tag"].alias("database_tag"),
+                        source.otherwise("none").alias("sku_source"))
+
+    return let(places, first)
 
 
 def json_ld(html: Column) -> Column:
     """The text of the first JSON-LD script."""
-    return X.blank_to_null(X.strip(F.regexp_extract(
-        html, r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>""", 1)))
+    return F.when(html.contains("ld+json"), X.blank_to_null(X.strip(F.regexp_extract(
+        html, r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>""", 1))))
 
 
 def script_images(html: Column) -> Column:

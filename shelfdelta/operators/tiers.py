@@ -3,6 +3,8 @@ row with higher-order functions: no shuffle, whatever a product holds."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfdelta.functions import fixed, keys
@@ -39,14 +41,18 @@ def by_quantity(entries: Column) -> Column:
     return F.transform(F.array_sort(placed), lambda p: p["e"])
 
 
+def _first_of_runs(ordered: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """The first entry of every run of equal entries in a sorted list."""
+    return let(ordered, lambda es: F.filter(es, lambda e, i: (i == 0) | ~same(F.get(es, i - 1), e)))
+
+
 def last_price_wins(entries: Column) -> Column:
     """One tier per quantity, the last listed price, in quantity order."""
-    def pick(es: Column) -> Column:
-        quantities = F.array_sort(F.array_distinct(F.transform(es, lambda e: e["quantity"])))
-        return F.transform(quantities, lambda q: F.struct(
-            q.alias("quantity"),
-            F.element_at(F.filter(es, lambda e: e["quantity"] == q), -1)["unit_price"].alias("unit_price")))
-    return let(entries, pick)
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(
+        e["quantity"].alias("quantity"), (-i).alias("place"), e["unit_price"].alias("unit_price"))))
+    kept = _first_of_runs(placed, lambda a, b: a["quantity"] == b["quantity"])
+    return F.transform(kept, lambda e: F.struct(
+        e["quantity"].alias("quantity"), e["unit_price"].alias("unit_price")))
 
 
 def median_of(prices: Column) -> Column:
@@ -186,12 +192,14 @@ def flat_pricing(variants: Column) -> Column:
         lambda t: F.struct(
             F.coalesce(blank_to_null(v["print_method"]["label"]), F.lit("Standard")).alias("print_method"),
             t["quantity"].alias("quantity"), t["unit_price"].alias("unit_price")))))
-    def first(es: Column) -> Column:
-        pairs = F.array_sort(F.array_distinct(F.transform(es, lambda e: F.struct(e["print_method"], e["quantity"]))))
-        return F.transform(pairs, lambda p: F.get(F.filter(es, lambda e: (
-            (e["print_method"] == p["print_method"]) & (e["quantity"] == p["quantity"]))), F.lit(0)))
-
-    return let(listed, first)
+    placed = F.array_sort(F.transform(listed, lambda e, i: F.struct(
+        e["print_method"].alias("print_method"), e["quantity"].alias("quantity"), i.alias("place"),
+        e["unit_price"].alias("unit_price"))))
+    kept = _first_of_runs(placed, lambda a, b: (
+        (a["print_method"] == b["print_method"]) & (a["quantity"] == b["quantity"])))
+    return F.transform(kept, lambda e: F.struct(
+        e["print_method"].alias("print_method"), e["quantity"].alias("quantity"),
+        e["unit_price"].alias("unit_price")))
 
 
 def min_order(variants: Column, base_tiers: Column) -> Column:
