@@ -9,6 +9,8 @@ from querybook.derived import CUT, FIRST_TS, RUNS_SQL, RUN_TS, batch, state, tab
 from shelfdelta.functions import payload as P, predicates as W
 from shelfdelta.functions.text import iso_text
 from shelfdelta.operators import diff as D, merge as M, paging, quality, stats
+from shelfdelta.session import staging_path
+from shelfdelta.sources.tables import Store, snapshot_rows
 
 _BODY = """'{' || CASE WHEN %(d)s THEN '"deal":true,' ELSE '' END || '"flag":"' || %(f)s || '","name":"'
  || name || '","product_id":"' || product_id || '"}'"""
@@ -212,3 +214,26 @@ def batch_last_wins(spark, sf) -> DataFrame:
     latest = D.latest_per_key(rows, "product_key", ["l_shipdate", "l_orderkey", "l_extendedprice", "flag"])
     copies = rows.groupBy("product_key").agg(F.count("*").alias("copies"))
     return latest.join(copies, "product_key").select("product_key", "copies", "flag")
+
+
+@query(RUNS_SQL + """SELECT 'pre_scrape' AS snapshot_type, source, count(*) AS keys, min(data_hash) AS low FROM old_run GROUP BY source
+ UNION ALL SELECT 'post_scrape', source, count(*), min(data_hash) FROM new_run GROUP BY source""")
+def run_snapshots(spark, sf) -> DataFrame:
+    """Keys and hashes before and after a run, stored as rows."""
+    store = Store(spark, staging_path(spark, "snapshots"))
+    store.append("snapshots", snapshot_rows(state(spark, sf), "run-2", "pre_scrape", ts(RUN_TS)))
+    store.append("snapshots", snapshot_rows(batch(spark, sf), "run-2", "post_scrape", ts(RUN_TS)))
+    return store.read("snapshots").groupBy("snapshot_type", "source").agg(
+        F.count("*").alias("keys"), F.min("data_hash").alias("low"))
+
+
+@query(RUNS_SQL + """SELECT product_key, source, CASE WHEN old_deleted_at IS NULL THEN false ELSE true END AS was_gone,
+ product_id, name FROM classified WHERE active AND stored""")
+def stored_products(spark, sf) -> DataFrame:
+    """The run's products that storage knew, with fields read out of the merged payload."""
+    applied = M.apply_run(state(spark, sf), batch(spark, sf), ts(RUN_TS), "run-2")
+    kept = applied.filter(F.col("active") & (F.col("change_type") != "added"))
+    body = F.col("payload")
+    return kept.select("product_key", "source", F.col("revived").alias("was_gone"),
+                       P.text_value(body, "product_id", "sku").alias("product_id"),
+                       P.text_value(body, "title", "name").alias("name"))

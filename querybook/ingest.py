@@ -373,3 +373,31 @@ def request_validation(spark, sf) -> DataFrame:
         F.when(F.col("o_totalprice") >= 100000, F.lower("o_orderpriority")).alias("site"),
         F.floor(F.col("o_totalprice") / 40000).cast("int").alias("max_retries"))
     return rows.groupBy(W.task_request_problem().alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_type, user_id AS task_id, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k
+ FROM events GROUP BY 1, 2""")
+def event_log(spark, sf) -> DataFrame:
+    """Crawl events appended with free-form details, read back and counted."""
+    store = Store(spark, staging_path(spark, "events"))
+    store.append("event_log", table(spark, sf, "events").select(
+        F.lit("shop").alias("source"), "event_type", F.col("user_id").cast("string").alias("task_id"),
+        F.from_json("props", "map<string,string>").alias("details"), F.col("ts").alias("timestamp")))
+    rows = store.read("event_log", ["event_type", "task_id", "details"])
+    return rows.groupBy("event_type", F.col("task_id").cast("bigint").alias("task_id")).agg(
+        F.count("*").alias("n"), F.sum(F.try_element_at("details", F.lit("k")).try_cast("bigint")).alias("k"))
+
+
+@query("""SELECT 'LOGIN' AS activity_type, CAST(o_custkey AS VARCHAR) AS user_id, count(*) AS n, min(o_orderkey) AS first_order
+ FROM orders WHERE o_orderstatus = 'F' GROUP BY 2""")
+def activity_log(spark, sf) -> DataFrame:
+    """Activity rows appended and read back; the filter reaches the scan."""
+    store = Store(spark, staging_path(spark, "activity"))
+    store.append("activity", table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("user_id"),
+        F.when(F.col("o_orderstatus") == "F", "LOGIN").otherwise("LOGOUT").alias("activity_type"),
+        F.lit(True).alias("success"), F.col("o_orderkey").cast("string").alias("details"),
+        F.col("o_orderdate").alias("created_at")))
+    rows = store.read("activity").filter(W.matching(activity_type="LOGIN"))
+    return rows.groupBy("activity_type", "user_id").agg(
+        F.count("*").alias("n"), F.min(F.col("details").cast("bigint")).alias("first_order"))

@@ -85,3 +85,26 @@ def test_progress_tail_of_a_task_with_most_lines(spark):
     assert all(r.n == 100 for r in kept)
     plan = paging.last_rows(lines, "task_id", [F.col("ts").desc()], 100)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_redelivered_messages_are_dropped_within_the_delay(spark, tmp_path):
+    inbox = tmp_path / "in"
+    lines = [json.dumps({"id": i, "at": "2024-01-01T00:00:00Z", "body": message("a", "running")}) for i in (1, 2, 1)]
+    write_text(inbox, "1.json", lines)
+    write_text(inbox, "2.json", lines)
+    raw = spark.readStream.schema("id long, at timestamp, body string").option("maxFilesPerTrigger", 1).json(str(inbox))
+    ST.start_log(raw, str(tmp_path / "job"), message_id="id", at="at").awaitTermination()
+    assert ST.logged(spark, str(tmp_path / "job")).count() == 2
+
+
+def test_stateful_lifecycle_over_two_batches(spark, tmp_path):
+    inbox = tmp_path / "in"
+    sent = lambda rows: [json.dumps({"task_id": t, "status": s, "seq": n}) for t, s, n in rows]
+    write_text(inbox, "1.json", sent([("a", "started", 2), ("a", "queued", 1), ("b", "running", 1)]))
+    write_text(inbox, "2.json", sent([("a", "running", 3), ("a", "completed", 4), ("a", "running", 5)]))
+    rows = spark.readStream.schema("task_id string, status string, seq long").option("maxFilesPerTrigger", 1).json(str(inbox))
+    out = []
+    ST.task_states(rows).writeStream.outputMode("update").foreachBatch(
+        lambda df, n: out.extend((n, *r) for r in df.collect())).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(out) == [(0, "a", "started", 2, 0), (0, "b", "pending", 0, 1), (1, "a", "completed", 4, 1)]
