@@ -16,8 +16,15 @@ from shelfdelta.operators import paging, quality, stats, tasks as K
 from shelfdelta.operators.diff import latest_per_key
 
 _STATUSES = fixed.TASK_STATUSES
-_STATUS_SQL = "CASE CAST(o_orderkey % 8 AS INT) " + " ".join(
-    f"WHEN {i} THEN '{s}'" for i, s in enumerate(_STATUSES)) + " END"
+# The status of an order's task follows from its own status and priority; all eight occur.
+_BY_ORDER = {
+    "F": ["pending", "queued", "started", "running", "completed"],
+    "O": ["failed", "retrying", "cancelled", "pending", "completed"],
+    "P": ["queued", "running", "failed", "cancelled", "started"],
+}
+_STATUS_SQL = "CASE " + " ".join(
+    f"WHEN o_orderstatus = '{o}' AND left(o_orderpriority, 1) = '{i}' THEN '{s}'"
+    for o, names in _BY_ORDER.items() for i, s in enumerate(names, 1)) + " END"
 _TASKS = f"""tasks AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, lower(o_orderpriority) AS site,
   'u' || o_custkey AS user_id, {_STATUS_SQL} AS status, o_orderdate AS created_at,
   o_orderdate + INTERVAL 5 MINUTES AS started_at,
@@ -26,15 +33,16 @@ _TASKS = f"""tasks AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, lower(o_orderpr
 
 
 def tasks(spark, sf) -> DataFrame:
-    """Every order as a task; its status comes from its key, all eight occurring."""
-    names = F.array(*[F.lit(s) for s in _STATUSES])
+    """Every order as a task."""
+    names = F.create_map(*[F.lit(x) for o, l in _BY_ORDER.items() for i, s in enumerate(l, 1) for x in (f"{o}{i}", s)])
+    status = F.element_at(names, F.concat("o_orderstatus", F.left("o_orderpriority", F.lit(1))))
     began = F.col("o_orderdate") + F.expr("INTERVAL 5 MINUTES")
     ms = F.floor("o_totalprice").cast("bigint")
     ended = began + F.make_dt_interval(secs=ms / F.lit(1000).cast("decimal(10,0)"))
     rows = table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"), F.lower("o_orderpriority").alias("site"),
         F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"),
-        F.get(names, (F.col("o_orderkey") % 8).cast("int")).alias("status"),
+        status.alias("status"),
         F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("queued_at"),
         began.alias("started_at"), ended.alias("completed_at"),
         F.left("o_orderpriority", F.lit(1)).cast("int").alias("priority"),

@@ -30,11 +30,11 @@ def commit(store: Store, source: str, keyed: DataFrame, run_id: str, run_ts: Col
            task_id: str | None = None, partial: bool = False, hidden: list[str] | None = None) -> dict:
     """Apply one row per key to the stored state and commit the result."""
     state = store.catalog(source)
-    store.append("snapshots", snapshot_rows(state, run_id, "pre_scrape", run_ts))
+    store.replace_run("snapshots", snapshot_rows(state, run_id, "pre_scrape", run_ts))
     applied = cut_lineage(M.apply_run(state, keyed, run_ts, task_id, partial), f"applied-{run_id}")
-    store.append("changes", M.records_of(applied, run_ts, task_id, run_id, hidden))
+    store.replace_run("changes", M.records_of(applied, run_ts, task_id, run_id, hidden))
     store.write_catalog(source, run_id, M.new_state(applied), run_ts)
-    store.append("snapshots", snapshot_rows(
+    store.replace_run("snapshots", snapshot_rows(
         applied.filter("active"), run_id, "post_scrape", run_ts))
     counters = M.run_counters(applied).first().asDict()
     close_session(store, run_id, source, run_ts, "completed", counters["active_keys"],

@@ -18,7 +18,8 @@ COLLECTIONS = {
     "errors": schemas.ERROR, "sessions": schemas.SESSION, "event_log": schemas.EVENT_LOG,
     "activity": schemas.ACTIVITY, "registry": schemas.REGISTRY, "tasks": schemas.TASK,
 }
-_PARTITIONED = {"changes": ["source"], "snapshots": ["source"]}
+# One folder per run, so that a repeated run can replace what it wrote before.
+_PARTITIONED = {"changes": ["source", "session_id"], "snapshots": ["source", "run_id", "snapshot_type"]}
 _COMMITS = "source string, run_id string, path string, committed_at timestamp_ntz"
 
 
@@ -40,16 +41,21 @@ class Store:
             df = self.spark.createDataFrame([], ddl)
         return df.select(*columns) if columns else df
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Append rows, missing fields as null, in the collection's column order."""
+    def _shaped(self, name: str, rows: DataFrame):
         shape = self.spark.createDataFrame([], COLLECTIONS[name]).schema
         have = set(rows.columns)
         typed = rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
                               for f in shape])
-        writer = typed.write.mode("append")
-        if name in _PARTITIONED:
-            writer = writer.partitionBy(*_PARTITIONED[name])
-        writer.parquet(self.path(name))
+        return typed.write.partitionBy(*_PARTITIONED.get(name, []))
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Append rows, missing fields as null, in the collection's column order."""
+        self._shaped(name, rows).mode("append").parquet(self.path(name))
+
+    def replace_run(self, name: str, rows: DataFrame) -> None:
+        """Write a run's rows, replacing what an earlier attempt at the same run left.
+        Other runs' folders are untouched."""
+        self._shaped(name, rows).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path(name))
 
     # -- catalog ---------------------------------------------------------------
 

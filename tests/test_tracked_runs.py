@@ -88,3 +88,24 @@ def test_two_sources_do_not_touch_each_other(spark, tmp_path):
     tracked.run(store, "one", docs(spark, [product(1)]), "r1", ts(1))
     tracked.run(store, "two", docs(spark, [product(2)]), "r2", ts(2))
     assert store.catalog().count() == 2 and store.catalog("one").count() == 1
+
+
+def test_a_run_that_dies_before_its_commit_leaves_no_second_records(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    tracked.run(store, "s", docs(spark, [product(1), product(2)]), "r1", ts(1))
+    real = Store.write_catalog
+
+    def dies(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(Store, "write_catalog", dies)
+    with pytest.raises(RuntimeError):
+        tracked.run(store, "s", docs(spark, [product(1, True), product(3)]), "r2", ts(2))
+    monkeypatch.setattr(Store, "write_catalog", real)
+    assert store.catalog("s").filter("product_key = 's:p-3'").count() == 0
+    again = tracked.run(store, "s", docs(spark, [product(1, True), product(3)]), "r2", ts(2))
+    assert changes(again) == (1, 1, 1, 0)
+    kinds = [r.change_type for r in store.read("changes").filter("session_id = 'r2'").collect()]
+    assert sorted(kinds) == ["added", "deleted", "updated"]
+    assert store.read("changes").filter("session_id = 'r1'").count() == 2
+    assert store.read("snapshots").filter("run_id = 'r2' and snapshot_type = 'pre_scrape'").count() == 2
