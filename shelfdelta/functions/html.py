@@ -25,10 +25,13 @@ def markup(html: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    out = text
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Entities as characters; texts without an ampersand pass untouched."""
+    def replaced(t: Column) -> Column:
+        out = t
+        for entity, char in ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return F.when(t.contains("&"), out).otherwise(t)
+    return let(text, replaced)
 
 
 def node_text(fragment: Column, sep: str = "") -> Column:
