@@ -50,13 +50,14 @@ def ingest(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
         F.lit(_CRLF + "WARC-Payload-Digest: sha1:"), F.col("sha1"),
         F.lit(_CRLF + "Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_CRLF + _CRLF))
     joined.select("record_id", F.encode(header, "UTF-8").alias("header"), "sha256").write.parquet(f"{path}/records")
-    # A payload is taken from one row of its group, so only as many texts move as are stored.
+    # A payload is taken from one row of its group, so only as many texts move as are stored, once. Rows
+    # that repeat an id with its payload fall together on the join's own partitioning.
     keeper = heads.groupBy("sha256").agg(F.max("record_id").alias("record_id"))
     stored = rows.select("record_id", "sha256", "payload").join(
-        keeper.where("record_id is not null"), ["record_id", "sha256"], "left_semi")
-    without_id = rows.where("record_id is null").join(keeper.where("record_id is null").select("sha256"), "sha256", "left_semi")
-    stored.select("sha256", "payload").unionByName(without_id.select("sha256", "payload")).dropDuplicates(
-        ["sha256"]).write.parquet(f"{path}/payloads")
+        keeper.where("record_id is not null"), ["record_id", "sha256"], "left_semi").dropDuplicates(["record_id", "sha256"])
+    without_id = rows.where("record_id is null").join(
+        keeper.where("record_id is null").select("sha256"), "sha256", "left_semi").dropDuplicates(["sha256"])
+    stored.select("sha256", "payload").unionByName(without_id.select("sha256", "payload")).write.parquet(f"{path}/payloads")
 
 
 def verify(payload: Column, sha256: Column) -> Column:
