@@ -65,8 +65,8 @@ def candidates(docs: DataFrame, words: int) -> DataFrame:
     return shared(found.withColumn("again", F.lit(False)))
 
 
-def survivors(docs: DataFrame, alive: DataFrame, words: int) -> DataFrame:
-    """(doc_id, at, first_id) of windows of ``words`` words that two documents have."""
+def windows(docs: DataFrame, alive: DataFrame, words: int, once: bool = False) -> DataFrame:
+    """(doc_id, at, one, two) of the windows of ``words`` words over a living anchor; equal ones of a document only ``once``."""
     half = (words + 1) // 2
 
     def rows(batch: pa.RecordBatch) -> list:
@@ -77,6 +77,8 @@ def survivors(docs: DataFrame, alive: DataFrame, words: int) -> DataFrame:
             keep = np.flatnonzero(np.isin(signed(_anchor_minima(data, words, half)), living[i].values.to_numpy()))
             if len(keep):
                 a, b = _window_keys(data, words)
+                if once:
+                    keep = keep[np.unique(a[keep], return_index=True)[1]]
                 where.append(np.full(len(keep), i))
                 at.append(keep)
                 one.append(a[keep])
@@ -85,20 +87,26 @@ def survivors(docs: DataFrame, alive: DataFrame, words: int) -> DataFrame:
             return [[], [], [], []]
         return [batch.column(0).take(pa.array(np.concatenate(where))), np.concatenate(at), np.concatenate(one), np.concatenate(two)]
 
-    found = map_rows(docs.join(alive, "doc_id").select("doc_id", "text", "alive"), rows, "doc_id long, at int, one long, two int")
-    return _shared_windows(found)
+    return map_rows(docs.join(alive, "doc_id").select("doc_id", "text", "alive"), rows, "doc_id long, at int, one long, two int")
 
 
-def _shared_windows(found: DataFrame) -> DataFrame:
+def later_windows(found: DataFrame) -> DataFrame:
+    """(doc_id, at) of windows that a smaller doc_id has."""
+    firsts = found.groupBy("one", "two").agg(F.min("doc_id").alias("first_id"))
+    return found.join(firsts, ["one", "two"]).where("doc_id > first_id").select("doc_id", "at")
+
+
+def shared_windows(found: DataFrame) -> DataFrame:
+    """(doc_id, at) of windows that two documents have."""
     firsts = found.groupBy("one", "two").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where(
-        "first_id < last_id").select("one", "two", "first_id")
-    return found.join(firsts, ["one", "two"]).select("doc_id", "at", "first_id")
+        "first_id < last_id").select("one", "two")
+    return found.join(firsts, ["one", "two"]).select("doc_id", "at")
 
 
 def repeated_passages(docs: DataFrame, words: int = 13) -> DataFrame:
     """(doc_id, at, length): windows that two documents have, at each doubled length until none is left."""
     docs = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text"))
-    level = staged(survivors(docs, candidates(docs, words), words).select("doc_id", "at"), "level")
+    level = staged(shared_windows(windows(docs, candidates(docs, words), words)), "level")
     out, length = level.withColumn("length", F.lit(words)), words
     while not level.isEmpty():
         length *= 2
@@ -120,7 +128,7 @@ def repeated_passages(docs: DataFrame, words: int = 13) -> DataFrame:
             return [batch.column(0).take(pa.array(np.concatenate(where))), np.concatenate(at), np.concatenate(one), np.concatenate(two)]
 
         found = map_rows(docs.join(starts, "doc_id").select("doc_id", "text", "starts"), rows, "doc_id long, at int, one long, two int")
-        level = staged(_shared_windows(found).select("doc_id", "at"), "level")
+        level = staged(shared_windows(found), "level")
         out = out.unionByName(level.withColumn("length", F.lit(length)))
     return out
 
@@ -136,7 +144,7 @@ def deduplicated(docs: DataFrame, *, words: int = 13, key: str = "doc_id", text:
     classes = staged(text_classes(docs), "text-classes")
     firsts = classes.where("doc_id = first_id").select("doc_id")
     alive = staged(candidates(known, words).join(firsts, "doc_id"), "alive")
-    later = survivors(known, alive, words).where("doc_id > first_id").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    later = later_windows(windows(known, alive, words, once=True)).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
     # A later copy goes as a whole if it is as long as a window: marked by the start -1.
     copies = classes.where("doc_id <> first_id").select("doc_id", F.array(F.lit(-1)).alias("starts"))
     gone = later.unionByName(copies)
@@ -155,7 +163,8 @@ def deduplicated(docs: DataFrame, *, words: int = 13, key: str = "doc_id", text:
                 if at[0] < 0:
                     covered[:] = True
                 else:
-                    at = at[at + words <= n]
+                    keys, _ = _window_keys(np.frombuffer(data, dtype=np.uint8), words)
+                    at = np.flatnonzero(np.isin(keys, keys[at[at + words <= n]]))  # all places of each such window
                     change = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + words, -1)
