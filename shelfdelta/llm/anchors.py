@@ -60,6 +60,25 @@ def shared(anchors: DataFrame) -> DataFrame:
     return anchors.select("doc_id", "anchor").join(alive, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("alive"))
 
 
+MOST_BITS = 1 << 24
+
+
+def probable(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose doc_id is not in ``wanted``; none of the others is lost.
+
+    A bitmap with 16 bits per wanted id, at most ``MOST_BITS`` (262,144 words of 64 bits, the proven size of
+    the broadcast), is looked up before the texts are shuffled. Beyond that it lets more rows through.
+    """
+    wish = 16 * wanted.count()
+    bits = 1 << min(max(wish, 64).bit_length(), MOST_BITS.bit_length() - 1)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = wanted.select((place / 64).cast("long").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("_bits")).groupBy(
+        "_word").agg(F.bit_or("_bits").alias("_bits"))
+    marked = docs.withColumn("_place", place).withColumn("_word", (F.col("_place") / 64).cast("long"))
+    hit = F.getbit(F.col("_bits"), F.pmod(F.col("_place"), F.lit(64)).cast("int")) == 1
+    return marked.join(F.broadcast(words), "_word").where(hit).select(*docs.columns)
+
+
 def text_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, first_id): the least id that has the same whole text. Null ids are left out."""
     heads = docs.where("doc_id is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
