@@ -17,7 +17,7 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, sf, con, name):
     assert compare(QUERIES[name](spark, sf), con, SQL[name]) == []
 
