@@ -29,10 +29,15 @@ def without(payload: Column, fields: list[str] | None = None) -> Column:
     return F.map_filter(payload, lambda k, v: ~k.isin(hidden))
 
 
+def key_text(key: Column) -> Column:
+    """A field name as JSON text; only names that need it are escaped."""
+    return F.when(key.rlike(r'["\\\x00-\x1f]'), quoted(key)).otherwise(F.concat(F.lit('"'), key, F.lit('"')))
+
+
 def canonical_text(payload: Column) -> Column:
     """The payload as one JSON object text with sorted keys."""
     pairs = F.transform(F.array_sort(F.map_entries(payload)),
-                        lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
+                        lambda e: F.concat(key_text(e["key"]), F.lit(":"), e["value"]))
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 

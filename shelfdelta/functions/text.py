@@ -38,7 +38,7 @@ def float_text(c: Column) -> Column:
     def show(b: Column) -> Column:
         # Java switches to exponents below 1e-3 and from 1e7 on; the sheet does so
         # only below 1e-4 and from 1e16 on.
-        spelled = F.rtrim(b["d"].cast("decimal(38,20)").cast("string"), F.lit("0"))
+        spelled = F.rtrim(b["d"].try_cast("decimal(38,20)").cast("string"), F.lit("0"))
         spelled = F.when(spelled.endswith("."), F.concat(spelled, F.lit("0"))).otherwise(spelled)
         exponent = F.regexp_replace(F.regexp_replace(
             F.regexp_replace(b["text"], r"\.0E", "E"), r"E-(\d)$", "e-0$1"), r"E(\d)", "e+$1")
@@ -47,14 +47,13 @@ def float_text(c: Column) -> Column:
                 .when((size >= 1e-4) & (size < 1e16), spelled)
                 .otherwise(exponent))
 
-    return let(F.struct(c.cast("double").alias("d"), c.cast("double").cast("string").alias("text")), show)
+    return let(F.struct(c.try_cast("double").alias("d"), c.try_cast("double").cast("string").alias("text")), show)
 
 
 def price_text(c: Column) -> Column:
     """A price without a trailing ``.0``; null gives ''."""
-    c = c.cast("double")
-    whole = F.when(F.abs(c) < 1e18, c.cast("bigint").cast("string")).otherwise(
-        c.cast("decimal(38,0)").cast("string"))
+    c = c.try_cast("double")
+    whole = F.coalesce(c.try_cast("bigint").cast("string"), c.try_cast("decimal(38,0)").cast("string"), float_text(c))
     return or_blank(F.when(c % 1 == 0, whole).otherwise(float_text(c)))
 
 
@@ -66,7 +65,7 @@ def quantity_text(c: Column) -> Column:
 
 def cents_text(cents: Column) -> Column:
     """Cents as a dollar text (``1385`` → ``13.85``); null gives ''."""
-    return or_blank(float_text(cents.cast("bigint") / F.lit(100.0)))
+    return or_blank(float_text(cents.try_cast("bigint") / F.lit(100.0)))
 
 
 def cents_amount(cents: Column) -> Column:

@@ -52,6 +52,11 @@ def keyed(documents: DataFrame, source: str | Column, json: str = "doc",
         P.content_hash(body, hidden).alias("data_hash"))
 
 
+def unreadable(documents: DataFrame, json: str = "doc") -> DataFrame:
+    """The rows ``keyed`` leaves out: texts that are no JSON object, and nulls."""
+    return documents.filter(P.parse(F.col(json)).isNull())
+
+
 def change_type(old_key: Column, new_key: Column, old_hash: Column, new_hash: Column,
                 old_alive: Column) -> Column:
     """added / updated / unchanged / deleted; null for a row that was already gone."""

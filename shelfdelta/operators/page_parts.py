@@ -10,7 +10,7 @@ from shelfdelta.functions.binding import let
 from shelfdelta.functions.predicates import sane_tier
 from shelfdelta.operators import tiers as tr
 
-_STEP = r"\s*Step\s+\d+\b"
+_STEP = r"Step\s++\d++\b"
 _PRICE = "array<struct<quantity:bigint,unit_price:double>>"
 _SHAPED = "array<struct<shape:string,size:string,quantity:bigint,unit_price:double>>"
 
@@ -191,7 +191,8 @@ def options(page: Column, image_host: str | None = None) -> Column:
     The page is cut in front of every step heading, so each piece carries its own
     heading and nothing has to be remembered across rows.
     """
-    pieces = F.split(page, rf"(?i)(?=<h[2-5]\b[^>]*>(?:\s|<[^>]*>)*{_STEP})")
+    # Possessive: a greedy group would take one stack frame for each blank.
+    pieces = F.split(page, rf"(?i)(?=<h[2-5]\b[^>]*+>(?:\s++|<[^>]*+>)*+{_STEP})")
     marks = r"\bdata-product-option-value-id\b"
 
     opening = lambda t: F.regexp_extract(t, r"(?is)^(<[^>]*>)", 1)

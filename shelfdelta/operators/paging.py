@@ -6,6 +6,8 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shelfdelta.functions import predicates as W
+
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:
     """Page ``number`` (from 1). ``order`` must end in a unique key.
@@ -37,6 +39,15 @@ def paged(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -
     return page(df, order, number, size).withColumn("_t", totals).select("*", "_t.*").drop("_t")
 
 
+def blueprint_page(products: DataFrame, number: int = 1, size: int = 20, blueprint_id: int | None = None,
+                   provider_id: int | None = None, available: bool | None = None, include_deleted: bool = False) -> DataFrame:
+    """One page of an API catalog in blueprint order, with optional filters."""
+    chosen = products.filter(W.every(
+        W.matching(blueprint_id=blueprint_id, provider_id=provider_id, available=available),
+        None if include_deleted else W.alive()))
+    return page(chosen, [F.col("blueprint_id"), F.col("product_id")], number, size)
+
+
 def top(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 

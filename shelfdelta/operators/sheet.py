@@ -59,7 +59,7 @@ class Row:
         return X.cell(F.get(F.col("pricing"), F.lit(index))[field], kind.elementType[field].dataType)
 
     def dollars(self, amount: str, cents: str) -> Column:
-        return F.coalesce(X.float_text(F.round(self.col(amount, "double"), 2)),
+        return F.coalesce(X.float_text(F.round(self.col(amount, "double").try_cast("double"), 2)),
                           X.cents_text(self.col(cents, "bigint")))
 
 
@@ -155,7 +155,7 @@ register_source(GENERIC, {
     "Supplier SKU": field("sku", "product_id", "id"), "Variant SKU": field("variant_sku", "sku"),
     "Product Name": field("name", "title"), "Long Description": field("description", "long_description"),
     "Category-1": field("category"), "Hex Color": lambda r: r.member("colors", "hex"),
-    "Size": lambda r: r.joined("sizes", ", ") if r.has("sizes") else r.text("size"),
+    "Size": lambda r: X.or_blank(X.first_filled(r.joined("sizes", ", "), r.text("size"))),
     "Material": field("material"), "Optional Main Image": field("main_image", "image_url", "image"),
     "Gallery Images": field("product_url", "url"), "Active": constant("Yes"),
 })

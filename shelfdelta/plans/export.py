@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfdelta.functions import fixed, predicates as W
+from shelfdelta.functions import document, fixed, predicates as W
 from shelfdelta.operators import diff as D, sheet as S, variants as V
-from shelfdelta.schemas import PRODUCT_DOCUMENT
 from shelfdelta.sources import csv_files, envelope
 
 DYNAMIC_SOURCE = "customnapkinsnow"
@@ -17,6 +16,11 @@ def selected(products: DataFrame, source: str | None = None, start=None, end=Non
     return products.filter(W.products_filter(source, start, end))
 
 
+def newest_first(rows: DataFrame) -> DataFrame:
+    """A range sort by creation time, file by file; rows without one keep their order."""
+    return rows.orderBy(F.col("created_at").desc()) if "created_at" in rows.columns else rows
+
+
 def fixed_sheet(products: DataFrame, source: str | None = None, start=None, end=None,
                 expanded: bool = True, house_label: str = "Catalog SKU",
                 keep: list[str] | None = None) -> DataFrame:
@@ -39,15 +43,15 @@ def dynamic_sheet(products: DataFrame, source: str = DYNAMIC_SOURCE, start=None,
 def products_csv(products: DataFrame, path: str, source: str | None = None, start=None, end=None,
                  expanded: bool = True, rows_per_file: int = 0, house_label: str = "Catalog SKU",
                  order: list[Column] | None = None) -> dict:
-    """Write an export; the dynamic source takes its own shape. Returns its size."""
+    """Write an export, newest products first; the dynamic source takes its own shape. Returns its size."""
     name = (source or "").strip().lower()
+    chosen = selected(products, source, start, end)
+    ordered = chosen.orderBy(*order) if order else newest_first(chosen)
     if name == DYNAMIC_SOURCE:
-        rows, size = dynamic_sheet(products, name, start, end)
+        size = V.export_size(chosen).first().asDict()
+        rows = V.expand_variants(ordered, size["max_tiers"]).drop("variant_ordinal")
     else:
-        chosen = selected(products, source, start, end)
-        if order:
-            chosen = chosen.orderBy(*order)
-        rows = S.to_sheet(chosen, expanded, [name] if name else None, house_label)
+        rows = S.to_sheet(ordered, expanded, [name] if name else None, house_label)
         size = {"max_tiers": 0}
     csv_files.write(rows, path, rows_per_file)
     return size
@@ -69,7 +73,7 @@ def result_rows(results: DataFrame, source: str | None = None, start=None, end=N
     chosen = results.filter(W.results_filter(source, start, end))
     docs = envelope.explode_products(chosen, envelope.export_products(F.col("data")))
     parsed = docs.select(F.coalesce("site", F.lit("unknown")).alias("_site"),
-                         F.from_json("doc", PRODUCT_DOCUMENT).alias("p")).select("_site", "p.*")
+                         document.product(F.col("doc")).alias("p")).select("_site", "p.*")
     return S.to_sheet(parsed.withColumn("source", F.col("_site")).drop("_site"), expanded,
                       [source] if source else None, house_label)
 
@@ -77,7 +81,7 @@ def result_rows(results: DataFrame, source: str | None = None, start=None, end=N
 def changes_csv(changes: DataFrame, path: str, source: str | None = None, change_type: str | None = None,
                 start=None, end=None, rows_per_file: int = 0) -> None:
     chosen = changes.filter(W.changes_filter(source, None, change_type, start, end))
-    csv_files.write(D.change_log(chosen), path, rows_per_file)
+    csv_files.write(D.change_log(newest_first(chosen)), path, rows_per_file)
 
 
 def column_list(products: DataFrame, source: str | None = None,

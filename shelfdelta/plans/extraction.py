@@ -64,11 +64,16 @@ def _optional(pages: DataFrame, name: str, default: str | None = None) -> Column
     return F.col(name) if name in pages.columns else F.lit(default).cast("string")
 
 
-def _outcome(rows: DataFrame, problem: Column, product: Column) -> DataFrame:
+def _outcome(rows: DataFrame, problem: Column, product: Column, unreadable: Column | None = None) -> DataFrame:
+    """``failed`` where there is no page or it cannot be read, ``skipped`` where it is no product."""
     bad = F.col("_problem")
-    return rows.withColumn("_problem", problem).select(
-        "url", F.when(bad.isNull(), "scraped").otherwise("skipped").alias("outcome"), bad.alias("reason"),
-        F.when(bad.isNull(), product).alias("product"))
+    broken = F.when(F.col("html").isNull(), "no page")
+    if unreadable is not None:
+        broken = F.coalesce(broken, unreadable)
+    judged = rows.withColumn("_broken", broken).withColumn("_problem", F.coalesce("_broken", problem))
+    return judged.select(
+        "url", F.when(bad.isNull(), "scraped").when(F.col("_broken").isNotNull(), "failed").otherwise("skipped").alias("outcome"),
+        bad.alias("reason"), F.when(bad.isNull(), product).alias("product"))
 
 
 @extraction("customnapkinsnow", "Option-step pages", "https://www.customnapkinsnow.com", ["html", "variants"])
@@ -171,4 +176,5 @@ def embedded_json_pages(pages: DataFrame) -> DataFrame:
         F.when(F.lower(name).contains("sign"), "Corrugated Plastic (Coroplast)").alias("material"),
         F.col("url").alias("product_url"))
     problem = F.when(F.coalesce(ld("$['@type']"), F.lit("")) != "Product", "no product JSON-LD")
-    return _outcome(rows, problem, product)
+    broken = F.when(F.col("_props").isNotNull() & F.try_parse_json(F.col("_props")).isNull(), "unreadable editor data")
+    return _outcome(rows, problem, product, F.when(problem.isNull(), broken))

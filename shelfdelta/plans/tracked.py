@@ -2,45 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfdelta.operators import diff as D, merge as M
 from shelfdelta.session import cut_lineage
 from shelfdelta.sources.tables import Store, close_session, open_session, snapshot_rows
 
 
+def moment(spark: SparkSession, at: Column) -> Column:
+    """``at`` evaluated once: every row a run writes bears the same time."""
+    one = spark.range(1).select(at.alias("at"))
+    kind = one.schema["at"].dataType
+    return F.lit(one.select(F.col("at").cast("string")).first()[0]).cast(kind)
+
+
 def run(store: Store, source: str, documents: DataFrame, run_id: str, run_ts: Column,
         task_id: str | None = None, partial: bool = False, json: str = "doc",
         order: list[str] | None = None, hidden: list[str] | None = None) -> dict:
     """Classify, merge, tombstone and log one run; returns its counters.
 
     ``documents`` holds JSON product texts; ``order`` names columns that decide which
-    copy of a key wins (the last). One full outer join feeds the new state, the
-    change records and the counters; it is written once and read back.
+    copy of a key wins (the last; without ``order`` the last in the order of the rows). Texts
+    that are no JSON object are counted as ``failed``. One full outer join feeds the new
+    state, the change records and the counters; it is written once and read back.
     """
-    source = source.strip().lower()
+    source, run_ts = source.strip().lower(), moment(store.spark, run_ts)
     open_session(store, run_id, source, run_ts, task_id, "partial" if partial else "full")
-    packed = documents.select(F.col(json).alias("doc"), F.struct(*(order or [json])).alias("_order"))
+    place = F.struct(*order) if order else F.monotonically_increasing_id()
+    packed = documents.select(F.col(json).alias("doc"), place.alias("_order"))
     keyed = D.keyed(packed, source, "doc", hidden, keep=["_order"])
     keyed = D.latest_per_key(keyed, D.KEY, ["_order"]).drop("_order")
-    return commit(store, source, keyed, run_id, run_ts, task_id, partial, hidden)
+    return commit(store, source, keyed, run_id, run_ts, task_id, partial, hidden, D.unreadable(packed, "doc"))
 
 
 def commit(store: Store, source: str, keyed: DataFrame, run_id: str, run_ts: Column,
-           task_id: str | None = None, partial: bool = False, hidden: list[str] | None = None) -> dict:
-    """Apply one row per key to the stored state and commit the result."""
+           task_id: str | None = None, partial: bool = False, hidden: list[str] | None = None,
+           rejected: DataFrame | None = None) -> dict:
+    """Apply one row per key to the stored state and commit the result.
+
+    ``rejected`` rows are only counted. A run that fails closes its session as failed; a run
+    whose base was replaced by another run meanwhile is refused and may be repeated.
+    """
+    try:
+        return _commit(store, source, keyed, run_id, run_ts, task_id, partial, hidden, rejected)
+    except Exception as error:
+        close_session(store, run_id, source, run_ts, "failed", error=str(error).split("\n")[0])
+        raise
+
+
+def _commit(store: Store, source: str, keyed: DataFrame, run_id: str, run_ts: Column, task_id: str | None,
+            partial: bool, hidden: list[str] | None, rejected: DataFrame | None) -> dict:
+    base = store.sequence(source)
     state = store.catalog(source)
     store.replace_run("snapshots", snapshot_rows(state, run_id, "pre_scrape", run_ts))
     applied = cut_lineage(M.apply_run(state, keyed, run_ts, task_id, partial), f"applied-{run_id}")
     store.replace_run("changes", M.records_of(applied, run_ts, task_id, run_id, hidden))
-    store.write_catalog(source, run_id, M.new_state(applied), run_ts)
+    store.write_catalog(source, run_id, M.new_state(applied), run_ts, base)
     store.replace_run("snapshots", snapshot_rows(
         applied.filter("active"), run_id, "post_scrape", run_ts))
     counters = M.run_counters(applied).first().asDict()
+    failed = rejected.count() if rejected is not None else 0
     close_session(store, run_id, source, run_ts, "completed", counters["active_keys"],
-                  counters["inserted"] + counters["stored_again"], 0)
+                  counters["inserted"] + counters["stored_again"], failed)
     return {
-        "storage": {"inserted": counters["inserted"], "updated": counters["stored_again"], "failed": 0},
+        "storage": {"inserted": counters["inserted"], "updated": counters["stored_again"], "failed": failed},
         "changes": {k: counters[k] for k in ("added", "updated", "deleted", "unchanged", "soft_deleted")},
         "revived": counters["revived"], "is_partial": partial, "snapshot_id": run_id,
     }

@@ -63,7 +63,14 @@ PRODUCT_DOCUMENT = f"""source string, product_url string, schema_version int, na
  material string, size string, base_tiers array<{TIER}>,
  pricing array<struct<print_method:string,shape:string,size:string,quantity:bigint,unit_price:double,
   qty_from:bigint,price:double>>,
- variants array<{VARIANT}>, colors array<{COLOUR}>,
+ id string, variant_sku string, long_description string, product_type string, brand string,
+ blueprint_id bigint, provider_id bigint, provider_name string, provider_country string,
+ available boolean, price_usd double, price_cents bigint,
+ price_subscription_usd double, price_subscription_cents bigint,
+ min_shipping_usd double, min_shipping_cents bigint,
+ color_hex string, color_label string, size_label string, sizes array<string>,
+ images array<string>, image string, image_url string, print_positions array<string>, imprint_styles array<string>,
+ variants array<{VARIANT}>, colors array<{COLOUR[:-1]},hex:string,pms:string>>,
  options map<string,array<struct<label:string,option_value_id:string>>>,
  min_order_qty bigint, main_image string, gallery_images array<string>, print_methods array<string>,
  option_groups_detected array<string>, discovery_source string, lastmod string,

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfdelta import schemas
+from shelfdelta.functions import document
 
 COLLECTIONS = {
     "changes": schemas.CHANGES, "snapshots": schemas.SNAPSHOT, "results": schemas.RESULT,
@@ -20,7 +21,17 @@ COLLECTIONS = {
 }
 # One folder per run, so that a repeated run can replace what it wrote before.
 _PARTITIONED = {"changes": ["source", "session_id"], "snapshots": ["source", "run_id", "snapshot_type"]}
-_COMMITS = "source string, run_id string, path string, committed_at timestamp_ntz"
+_COMMITS = "source string, run_id string, path string, committed_at timestamp_ntz, sequence bigint"
+
+
+def read_or_empty(spark: SparkSession, path: str, ddl: str, **options: str) -> DataFrame:
+    """The Parquet folder, or no rows where it does not exist. Other errors are raised."""
+    try:
+        return spark.read.schema(ddl).options(**options).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)
 
 
 class Store:
@@ -34,11 +45,7 @@ class Store:
 
     def read(self, name: str, columns: list[str] | None = None) -> DataFrame:
         """A collection, empty when never written. Column lists reach the scan."""
-        ddl = COLLECTIONS[name]
-        try:
-            df = self.spark.read.schema(ddl).parquet(self.path(name))
-        except AnalysisException:
-            df = self.spark.createDataFrame([], ddl)
+        df = read_or_empty(self.spark, self.path(name), COLLECTIONS[name])
         return df.select(*columns) if columns else df
 
     def _shaped(self, name: str, rows: DataFrame):
@@ -60,17 +67,20 @@ class Store:
     # -- catalog ---------------------------------------------------------------
 
     def commits(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_COMMITS).parquet(self.path("commits"))
-        except AnalysisException:
-            return self.spark.createDataFrame([], _COMMITS)
+        return read_or_empty(self.spark, self.path("commits"), _COMMITS)
+
+    def sequence(self, source: str) -> int:
+        """The number of the source's last commit, 0 before the first."""
+        last = self.commits().filter(F.col("source") == source).agg(F.max(F.coalesce("sequence", F.lit(0))).alias("n")).first()
+        return last["n"] or 0
 
     def current_paths(self, source: str | None = None) -> dict[str, str]:
         """The committed folder of every source (a driver value: one row per source)."""
         rows = self.commits()
         if source:
             rows = rows.filter(F.col("source") == source)
-        latest = rows.groupBy("source").agg(F.max_by("path", F.struct("committed_at", "run_id")).alias("path"))
+        latest = rows.groupBy("source").agg(F.max_by(
+            "path", F.struct(F.coalesce("sequence", F.lit(0)), "committed_at", "run_id")).alias("path"))
         return {r["source"]: r["path"] for r in latest.collect()}
 
     def catalog(self, source: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -82,12 +92,25 @@ class Store:
             df = self.spark.read.schema(schemas.CATALOG).parquet(*paths)
         return df.select(*columns) if columns else df
 
-    def write_catalog(self, source: str, run_id: str, state: DataFrame, committed_at: Column) -> str:
+    def products(self, source: str | None = None) -> DataFrame:
+        """The committed state as typed product documents."""
+        return document.products(self.catalog(source))
+
+    def write_catalog(self, source: str, run_id: str, state: DataFrame, committed_at: Column,
+                      base: int | None = None) -> str:
+        """Write and commit a source's state. ``base`` is the sequence number the state was
+        derived from; the commit is refused where another run has committed since."""
+        base = self.sequence(source) if base is None else base
         path = f"{self.path('catalog')}/source={source}/run={run_id}"
+        if path in self.current_paths(source).values():
+            path = f"{path}-{base + 1}"  # a repeated run must not overwrite the state it reads
         shape = self.spark.createDataFrame([], schemas.CATALOG).schema
         state.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in shape]).write.mode(
             "overwrite").parquet(path)
+        if self.sequence(source) != base:
+            raise RuntimeError(f"{source}: another run has committed since this one began; repeat it")
         self.spark.range(1).select(
+            F.lit(base + 1).cast("bigint").alias("sequence"),
             F.lit(source).alias("source"), F.lit(run_id).alias("run_id"), F.lit(path).alias("path"),
             committed_at.cast("timestamp_ntz").alias("committed_at")).write.mode("append").parquet(
             self.path("commits"))

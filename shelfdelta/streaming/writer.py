@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfdelta.operators import diff as D
 from shelfdelta.plans import tracked
 from shelfdelta.session import staging_path
-from shelfdelta.sources.tables import Store, open_session
+from shelfdelta.sources.tables import Store, open_session, read_or_empty
+
+_STAGED = "source string, product_key string, payload map<string,string>, data_hash string, batch_id bigint, place bigint"
 
 
 class TrackedStream:
@@ -21,11 +23,12 @@ class TrackedStream:
 
     def __init__(self, store: Store, source: str, run_id: str, run_ts: Column, task_id: str | None = None,
                  partial: bool = False, hidden: list[str] | None = None, folder: str | None = None):
-        self.store, self.source, self.run_id, self.run_ts = store, source.strip().lower(), run_id, run_ts
+        self.store, self.source, self.run_id = store, source.strip().lower(), run_id
+        self.run_ts = tracked.moment(store.spark, run_ts)
         self.task_id, self.partial, self.hidden = task_id, partial, hidden
         self.folder = folder or staging_path(store.spark, f"stream-{run_id}")
         self._done = False
-        open_session(store, run_id, self.source, run_ts, task_id, "partial" if partial else "full")
+        open_session(store, run_id, self.source, self.run_ts, task_id, "partial" if partial else "full")
 
     def process_batch(self, documents: DataFrame, batch_id: int, json: str = "doc") -> None:
         """Stage one micro-batch; also usable directly with batches at hand."""
@@ -44,11 +47,15 @@ class TrackedStream:
         query.awaitTermination()
 
     def finalize(self) -> dict:
-        """Merge, sweep (unless partial) and log; returns the run's counters."""
+        """Merge, sweep (unless partial) and log; returns the run's counters.
+
+        A run without batches is an empty run. A finalize that fails may be repeated.
+        """
         if self._done:
             raise RuntimeError("finalize called twice")
-        self._done = True
-        staged = self.store.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.folder}/rows")
+        staged = read_or_empty(self.store.spark, f"{self.folder}/rows", _STAGED, recursiveFileLookup="true")
         latest = D.latest_per_key(staged, D.KEY, ["batch_id", "place"]).drop("batch_id", "place")
-        return tracked.commit(self.store, self.source, latest, self.run_id, self.run_ts, self.task_id,
-                              self.partial, self.hidden)
+        counters = tracked.commit(self.store, self.source, latest, self.run_id, self.run_ts, self.task_id,
+                                  self.partial, self.hidden)
+        self._done = True
+        return counters
