@@ -183,28 +183,16 @@ _ALLOWED = " OR ".join(f"(a = '{a}' AND b IN ({', '.join(repr(x) for x in n)}))"
  status AS b FROM msgs)
 SELECT a AS from_status, b AS to_status, count(*) AS n, ({_ALLOWED}) AS allowed FROM pairs GROUP BY a, b""")
 def transition_audit(spark, sf) -> DataFrame:
-    """Consecutive statuses per task against the transition table.
-
-    A message's predecessor is found per (task, hour) bucket, then across buckets, so
-    that a task with very many messages is not one window partition.
-    """
-    rows = messages(spark, sf).withColumn("slot", F.date_trunc("HOUR", "ts"))
-    lists = rows.groupBy("task_id", "slot").agg(F.array_sort(F.collect_list(F.struct("seq", "status"))).alias("ms"))
-    ends = lists.withColumn("last", F.element_at("ms", -1))
-    from pyspark.sql import Window
-    before = F.lag(F.col("last.status"), 1, "pending").over(Window.partitionBy("task_id").orderBy("slot"))
-    pairs = ends.withColumn("prior", before).select(F.explode(F.transform("ms", lambda m, i: F.struct(
-        F.when(i == 0, F.col("prior")).otherwise(F.get("ms", i - 1)["status"]).alias("a"),
-        m["status"].alias("b")))).alias("p"))
-    return pairs.groupBy(F.col("p.a").alias("from_status"), F.col("p.b").alias("to_status")).agg(
-        F.count("*").alias("n")).withColumn("allowed", S.transition_allowed(F.col("from_status"), F.col("to_status")))
+    """Consecutive statuses per task against the transition table."""
+    return K.consecutive_statuses(messages(spark, sf)).withColumn(
+        "allowed", S.transition_allowed(F.col("from_status"), F.col("to_status")))
 
 
 @query(f"""WITH {_MESSAGES}, lists AS (SELECT task_id, list(status ORDER BY seq) AS l, count(*) AS messages FROM msgs GROUP BY 1)
 SELECT task_id, messages, list_reduce(l, lambda a, b: CASE WHEN {_ALLOWED} THEN b ELSE a END, 'pending') AS status FROM lists""")
 def lifecycle_fold(spark, sf) -> DataFrame:
     """The strict lifecycle: refused moves leave the status as it is."""
-    return K.lifecycle_fold(messages(spark, sf), bucket=F.date_trunc("HOUR", "ts"))
+    return K.lifecycle_fold(messages(spark, sf))
 
 
 @query("""SELECT l_orderkey AS task_id, CASE WHEN count(*) > 4 THEN 'failed' ELSE 'completed' END AS status,

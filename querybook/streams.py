@@ -21,14 +21,18 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def _documents(items: DataFrame) -> DataFrame:
     """Line items as JSON product documents of one source."""
     key = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
-    doc = F.struct(F.lit("LINES").alias("source"), key.alias("product_id"),
-                   F.col("l_linestatus").alias("status"), F.col("l_shipdate").cast("string").alias("scraped_at"))
-    return items.select(F.to_json(doc).alias("doc"), "l_linestatus")
-
-
-@query(f"""WITH o AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}' AND l_linestatus = 'F'),
-n AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_shipdate >= TIMESTAMP '{CUT}' AND l_linestatus = 'F')
-SELECT CASE WHEN o.l_partkey IS NULL THEN 'added' WHEN n.l_partkey IS NULL THEN 'deleted' ELSE 'unchanged' END AS change_type,
+    later = (F.col("l_shipdate") >= ts(CUT)) & (F.col("l_partkey") % 3 == 0)
+    price = F.col("l_partkey") + F.when(later, 1).otherwise(0)
+    doc = F.struct(F.lit("LINES").alias("source"), key.alias("product_id"), price.alias("price"),
+                   F.col("l_shipdate").cast("string").alias("scraped_at"))
+    return items.select(F.to_json(doc).alias("doc"))
+
+
+# Copies of an item within a run differ in the crawl stamp alone; every third part has another price in the second run.
+@query(f"""WITH o AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}'),
+n AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_shipdate >= TIMESTAMP '{CUT}')
+SELECT CASE WHEN o.l_partkey IS NULL THEN 'added' WHEN n.l_partkey IS NULL THEN 'deleted'
+  WHEN n.l_partkey % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS change_type,
  count(*) AS n FROM o FULL OUTER JOIN n USING (l_partkey, l_linenumber) GROUP BY 1""")
 def tracked_writer_stream(spark, sf) -> DataFrame:
     """Two streamed runs into a store; the second is compared with the first.
@@ -36,11 +40,10 @@ def tracked_writer_stream(spark, sf) -> DataFrame:
     The crawl stamp differs on every copy and must not count as a change.
     """
     store = Store(spark, staging_path(spark, "store"))
-    finals = F.col("l_linestatus") == "F"
     runs = [("run-1", F.col("l_shipdate") < ts(CUT), "2024-01-01"), ("run-2", F.col("l_shipdate") >= ts(CUT), "2024-02-01")]
     for run_id, part, at in runs:
         writer = TrackedStream(store, "Lines", run_id, ts(at), "task-" + run_id)
-        writer.drain(_documents(stream(spark, sf, "lineitem").filter(part & finals)))
+        writer.drain(_documents(stream(spark, sf, "lineitem").filter(part)))
         found = writer.finalize()
     counted = spark.createDataFrame([(k, found["changes"][k]) for k in ("unchanged",)], "change_type string, n bigint")
     logged = store.read("changes").filter(F.col("task_id") == "task-run-2").groupBy("change_type").agg(
@@ -76,22 +79,15 @@ query(SQL["status_apply_guarded"].replace(
 
 @query()
 def lifecycle_stream(spark, sf) -> DataFrame:
-    """The stateful lifecycle per task; equal to ``lifecycle_fold`` once drained."""
+    """The lifecycle per task from folds of micro-batches; equal to ``lifecycle_fold`` once drained."""
     rows = stream(spark, sf, "events")
     kind = F.col("event_type")
     status = (F.when(kind == "view", "queued").when(kind == "click", "started").when(kind == "purchase", "running")
               .when(kind == "signup", "retrying").when(F.col("value") > 40, "failed").otherwise("running"))
     sent = rows.select(F.col("user_id").cast("string").alias("task_id"), status.alias("status"), F.col("event_id").alias("seq"))
     folder = staging_path(spark, "lifecycle")
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-
-    ST.task_states(sent).writeStream.outputMode("update").foreachBatch(store).option(
-        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    states = spark.read.parquet(f"{folder}/out")
-    last = states.groupBy("task_id").agg(F.max_by(F.struct("status", "applied", "refused"), "batch").alias("s"))
-    return last.select("task_id", "s.status", (F.col("s.applied") + F.col("s.refused")).alias("messages"))
+    ST.start_lifecycle(sent, folder).awaitTermination()
+    return ST.lifecycle_view(spark, folder)
 
 
 SQL["lifecycle_stream"] = SQL["lifecycle_fold"]

@@ -48,7 +48,6 @@ GALLERY_LIMIT = 8
 COLOUR_LIMIT = 30
 PROGRESS_LINES = 100
 DESCRIPTION_LIMIT = 5000
-SITEMAP_MAX_DEPTH = 3
 ACTIVITY_TTL_DAYS = 365
 
 # Option step headings: the first group with a matching phrase wins.

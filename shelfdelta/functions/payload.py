@@ -75,20 +75,24 @@ def stub(size: Column) -> Column:
                         F.lit("size_bytes"), size.cast("string"))
 
 
-def cap(payload: Column, limit: int = fixed.CHANGE_SIDE_LIMIT) -> Column:
-    """Replace a payload above the limit by a stub that records its size."""
+def cap(payload: Column, limit: int | None = None) -> Column:
+    """Replace a payload above ``limit`` bytes by a stub that records its size; without a limit nothing is replaced."""
+    if limit is None:
+        return payload
     return let(F.octet_length(canonical_text(payload)),
                lambda size: F.when(size > limit, stub(size)).otherwise(payload))
 
 
-def cap_value(value: Column, limit: int = fixed.CHANGE_FIELD_LIMIT) -> Column:
+def cap_value(value: Column, limit: int) -> Column:
     size = F.octet_length(value)
     return F.when(size > limit, F.concat(F.lit('{"payload_truncated":true,"size_bytes":'),
                                          size.cast("string"), F.lit("}"))).otherwise(value)
 
 
-def cap_diff(changes: Column, limit: int = fixed.CHANGE_FIELD_LIMIT) -> Column:
-    """Replace single oversized values of changed fields; the field name stays."""
+def cap_diff(changes: Column, limit: int | None = None) -> Column:
+    """Replace single values of changed fields above ``limit`` bytes; the field name stays."""
+    if limit is None:
+        return changes
     return F.when(changes.isNotNull(), F.struct(
         changes["added_fields"].alias("added_fields"),
         changes["removed_fields"].alias("removed_fields"),
@@ -145,12 +149,14 @@ def of_columns(strings: dict[str, Column] | None = None, raw: dict[str, Column]
     return F.create_map(*pairs)
 
 
-def cap_envelope(data: Column, limit: int = fixed.RESULT_LIMIT) -> Column:
-    """An oversized result document (JSON text) shrunk to its outline.
+def cap_envelope(data: Column, limit: int | None = None) -> Column:
+    """A result document (JSON text) above ``limit`` bytes shrunk to its outline; without a limit all stay whole.
 
     The outline keeps the original size, the top-level keys, the number of
     products and the ``stats`` object.
     """
+    if limit is None:
+        return data
     size = F.octet_length(data)
     variant = F.try_parse_json(data)
     top = F.json_object_keys(data)

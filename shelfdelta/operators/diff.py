@@ -104,7 +104,7 @@ def missing(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def audit_columns(kind: Column, old: Column, new: Column, hidden: list[str] | None,
-            side_limit: int, field_limit: int) -> list[Column]:
+            side_limit: int | None, field_limit: int | None) -> list[Column]:
     named = F.when(kind == "deleted", old).otherwise(new)
     updated = kind == "updated"
     return [
@@ -122,9 +122,8 @@ def audit_columns(kind: Column, old: Column, new: Column, hidden: list[str] | No
 def change_records(state: DataFrame, batch: DataFrame, run_ts: Column, task_id: str | None = None,
                    session_id: str | None = None, partial: bool = False,
                    hidden: list[str] | None = None,
-                   side_limit: int = fixed.CHANGE_SIDE_LIMIT,
-                   field_limit: int = fixed.CHANGE_FIELD_LIMIT) -> DataFrame:
-    """Audit rows for added, updated and deleted keys.
+                   side_limit: int | None = None, field_limit: int | None = None) -> DataFrame:
+    """Audit rows for added, updated and deleted keys; with limits, larger payloads and values become stubs.
 
     Late materialisation: the hash-only classification runs first and payloads are
     then fetched for the changed keys alone. AQE broadcasts the changed-key side

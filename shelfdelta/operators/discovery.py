@@ -46,16 +46,17 @@ def lastmod_split(discovered: DataFrame, stored: DataFrame, force: bool = False,
     Skipping needs a sitemap date, a stored document of schema version 2 or later,
     and the same date stored with it.
     """
-    known = stored.select(F.col("product_url").alias("url"), F.col("schema_version").alias("_version"),
-                          F.col("lastmod").alias("_lastmod"), F.col("payload").alias("_payload"))
+    known = stored.select(F.col("product_url").alias("url"), F.col("schema_version").alias("_version"), F.col("lastmod").alias("_lastmod"))
     joined = discovered.join(known, "url", "left")
     date = F.nullif(strip(F.coalesce("lastmod", F.lit(""))), F.lit(""))
     same = (F.lit(not force) & date.isNotNull() & (F.coalesce("_version", F.lit(1)) >= 2)
             & (date == strip(F.coalesce("_lastmod", F.lit("")))))
-    skip = F.coalesce(same, F.lit(False))
-    return joined.select(*discovered.columns, F.when(skip, "skip").otherwise("fetch").alias("action"),
-                         F.when(skip, P.without(F.col("_payload"), hidden or [
-                             f for f in fixed.STORAGE_FIELDS if f != "deleted_by_task"])).alias("reused"))
+    decided = joined.select(*discovered.columns, F.when(F.coalesce(same, F.lit(False)), "skip").otherwise("fetch").alias("action"))
+    # Only payloads of skipped URLs go into the second join.
+    skipped = decided.filter(F.col("action") == "skip").select("url").distinct()
+    bodies = stored.select(F.col("product_url").alias("url"), P.without(F.col("payload"), hidden or [
+        f for f in fixed.STORAGE_FIELDS if f != "deleted_by_task"]).alias("reused")).join(skipped, "url", "left_semi")
+    return decided.join(bodies, "url", "left").select(*discovered.columns, "action", F.when(F.col("action") == "skip", F.col("reused")).alias("reused"))
 
 
 def merged_run(fetched: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfdelta.functions import fixed, payload as P
+from shelfdelta.functions import payload as P
 from shelfdelta.operators.diff import KEY, audit_columns, change_type
 from shelfdelta.schemas import CATALOG
 
@@ -61,15 +61,14 @@ def new_state(applied: DataFrame) -> DataFrame:
 
 def records_of(applied: DataFrame, run_ts: Column, task_id: str | None = None,
                session_id: str | None = None, hidden: list[str] | None = None,
-               **limits: int) -> DataFrame:
+               side_limit: int | None = None, field_limit: int | None = None) -> DataFrame:
     """The audit rows of an applied run, without another join."""
     rows = applied.filter(F.col("change_type").isin("added", "updated", "deleted"))
     return rows.select(
         "source", F.lit(task_id).cast("string").alias("task_id"),
         F.lit(session_id).cast("string").alias("session_id"), "change_type", KEY,
         *audit_columns(F.col("change_type"), F.col("old_payload"), F.col("new_payload"), hidden,
-                 limits.get("side_limit", fixed.CHANGE_SIDE_LIMIT),
-                 limits.get("field_limit", fixed.CHANGE_FIELD_LIMIT)),
+                 side_limit, field_limit),
         run_ts.alias("created_at"))
 
 

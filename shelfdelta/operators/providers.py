@@ -39,12 +39,28 @@ def option_lookup(option_groups: Column) -> Column:
             F.coalesce(F.get(i["colors"], F.lit(0))["hex"], F.lit("")).alias("hex")))))
 
 
-def chosen_option(option_ids: Column, lookup: Column, kind: str) -> Column:
-    """The last of a variant's options that has the given type."""
-    hit = F.filter(option_ids, lambda o: F.exists(lookup, lambda e: (e["id"] == o) & (e["type"] == kind)))
-    # A later entry for the same id replaces an earlier one.
-    return let(F.try_element_at(hit, F.lit(-1)), lambda last: F.try_element_at(
-        F.filter(lookup, lambda e: e["id"] == last), F.lit(-1)))
+def by_option(lookup: Column, kinds: tuple[str, ...] = ("color", "size")) -> Column:
+    """The look-up as ``struct<ids, entries, <kind>…>``, made once per offer: ids and entries latest
+    first, and the ids that have each kind."""
+    def ids_of(entries: Column) -> Column:
+        return F.transform(entries, lambda e: e["id"])
+
+    def of_kind(entries: Column, kind: str) -> Column:
+        return F.filter(entries, lambda e: e["type"] == kind)
+
+    def lists(latest: Column) -> Column:
+        return F.struct(ids_of(latest).alias("ids"), latest.alias("entries"), *[ids_of(of_kind(latest, k)).alias(k) for k in kinds])
+
+    return let(F.reverse(lookup), lists)
+
+
+def chosen_option(option_ids: Column, found: Column, kind: str) -> Column:
+    """The last of a variant's options that has the given type; ``found`` is ``by_option``.
+
+    A later entry for the same id replaces an earlier one.
+    """
+    last = F.try_element_at(F.filter(option_ids, lambda o: F.array_contains(found[kind], o)), F.lit(-1))
+    return F.get(found["entries"], (F.array_position(found["ids"], last) - 1).cast("int"))
 
 
 def variant_options(variant_options_df: DataFrame, options: DataFrame, key: list[str]) -> DataFrame:
@@ -70,7 +86,7 @@ def variant_records(blueprints: DataFrame, offers: DataFrame, providers: DataFra
         "provider_id", F.col("name").alias("_provider"), F.col("country").alias("provider_country"),
         F.col("scoring").alias("provider_scoring"))
     rows = offers.join(kept, "provider_id").join(blueprints, "blueprint_id")
-    rows = rows.withColumn("_lookup", option_lookup(F.col("options"))).withColumn(
+    rows = rows.withColumn("_lookup", by_option(option_lookup(F.col("options")))).withColumn(
         "min_shipping_cents", min_shipping(F.col("min_shipping")))
     wide = rows.select(*rows.columns, F.explode("variants").alias("v"))
     cost = F.coalesce(F.get("v.costs", F.lit(0))["result"], F.col("v.cost"), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfdelta.functions import fixed, status as S
 from shelfdelta.functions import predicates as W
@@ -44,27 +44,32 @@ def first_ends(messages: DataFrame, order: str = "seq") -> DataFrame:
     return messages.filter(W.terminal_status()).groupBy("task_id").agg(F.min(order).alias("_end"))
 
 
-def effective_messages(messages: DataFrame, order: str = "seq", salts: int = 16) -> DataFrame:
+def effective_messages(messages: DataFrame, order: str = "seq", per_salt: int = 2_000_000) -> DataFrame:
     """Per task, the messages up to and including its first terminal one, with
     their ``_salt``.
 
-    ``order`` is the arrival number. One task may hold a large part of all messages,
-    so the messages are spread over ``salts`` sub-keys and the cut-offs, at most one
-    row per task, are repeated for each.
+    ``order`` is the arrival number. A task with more than ``per_salt`` messages is
+    spread over as many sub-keys as it takes to hold each below that, and its
+    cut-off is repeated for them; all other tasks have one sub-key. There are at most
+    (messages / ``per_salt``) such tasks; the counts combine on the map side.
     """
-    spread = messages.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
-    cuts = first_ends(messages, order).select(
-        "task_id", "_end", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    ends = messages.groupBy("task_id").agg(F.min(F.when(W.terminal_status(), F.col(order))).alias("_end"), F.count(F.lit(1)).alias("_n"))
+    salts = F.ceil(F.col("_n") / per_salt).cast("int").alias("_salts")
+    hot = ends.filter(F.col("_n") > per_salt).select("task_id", salts)
+    spread = messages.join(hot, "task_id", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(order), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    cuts = ends.filter(F.col("_end").isNotNull()).select("task_id", "_end", salts).select(
+        "task_id", "_end", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
     return spread.join(cuts, ["task_id", "_salt"], "left").filter(
         F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).drop("_end")
 
 
-def folded_messages(messages: DataFrame, order: str = "seq", salts: int = 16) -> DataFrame:
+def folded_messages(messages: DataFrame, order: str = "seq", per_salt: int = 2_000_000) -> DataFrame:
     """One row per task: its last effective status and the last value of every field.
 
     Folds per (task, salt) where the join left the rows, then per task.
     """
-    live = effective_messages(messages, order, salts)
+    live = effective_messages(messages, order, per_salt)
     fields = ["status", *_COPIED.values()]
     last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(
         F.col(order).alias("at"), F.col(c).alias("value")))).alias(c)
@@ -123,26 +128,63 @@ def set_status(tasks: DataFrame, moves: DataFrame, at: Column, checked: bool = T
                            for c in tasks.columns], F.when(new.isNotNull(), ok).alias("accepted"))
 
 
-def lifecycle_fold(messages: DataFrame, order: str = "seq", bucket: Column | None = None,
-                   start: str = "pending") -> DataFrame:
-    """Final status per task when every message must pass the transition table.
+def in_runs(messages: DataFrame, order: str = "seq", run: int = 65_536) -> DataFrame:
+    """``messages`` with ``_slot``: numbers of runs of at most ``run`` messages that are
+    consecutive in (task, ``order``). Range partitions split a hot task, so no task of
+    the cluster holds one whole."""
+    placed = messages.repartitionByRange("task_id", order).sortWithinPartitions("task_id", order)
+    return placed.withColumn("_slot", F.floor(F.monotonically_increasing_id() / run))
+
+
+def chained(parts: DataFrame, *by: str) -> DataFrame:
+    """Folds ``_f`` of consecutive ``_slot`` chained into one per ``by``."""
+    lists = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_slot", "_f", "_n"))).alias("_ps"))
+    return lists.select(*by, F.aggregate("_ps", S.start_states(), lambda acc, p: S.chain(acc, p["_f"])).alias("_f"),
+                        F.aggregate("_ps", F.lit(0).cast("bigint"), lambda a, p: a + p["_n"]).alias("_n"))
+
+
+def lifecycle_parts(messages: DataFrame, order: str = "seq", run: int = 65_536) -> DataFrame:
+    """(task_id, _f, _n): per task, the status each possible status ends in after its
+    messages, and their number.
 
     Whether a message counts depends on all before it, so this is a sequential fold.
     It still splits: a run of messages is a function from each possible status to a
-    status, and such functions compose. Messages fold per (task, ``bucket``) first,
-    where buckets are consecutive in ``order``; the few functions per task are then
-    chained. A task with very many messages is thereby spread over its buckets.
+    status, and such functions compose. Runs fold first, then 4,096 runs at a time, then
+    the few functions left of a task: no list outgrows its bound with the data.
     """
-    slot = bucket if bucket is not None else F.lit(0)
-    rows = messages.select("task_id", slot.alias("_slot"), F.struct(order, "status").alias("_m"))
-    partial = rows.groupBy("task_id", "_slot").agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
+    rows = in_runs(messages, order, run).select("task_id", "_slot", F.struct(order, "status").alias("_m"))
+    lists = rows.groupBy("task_id", "_slot").agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
     local = F.aggregate("_ms", S.start_states(), lambda acc, m: S.step(acc, m["status"]))
-    parts = partial.select("task_id", F.struct("_slot", local.alias("f"), F.size("_ms").alias("n")).alias("_p"))
-    chained = parts.groupBy("task_id").agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
-    whole = F.aggregate("_ps", S.start_states(), lambda acc, p: S.chain(acc, p["f"]))
-    index = fixed.TASK_STATUSES.index(start)
-    return chained.select("task_id", F.get(whole, F.lit(index)).alias("status"),
-                          F.aggregate("_ps", F.lit(0), lambda a, p: a + p["n"]).cast("bigint").alias("messages"))
+    folds = lists.select("task_id", "_slot", local.alias("_f"), F.size("_ms").cast("bigint").alias("_n"))
+    blocks = chained(folds.withColumn("_block", F.floor(F.col("_slot") / 4096)), "task_id", "_block")
+    return chained(blocks.withColumnRenamed("_block", "_slot"), "task_id")
+
+
+def ended(parts: DataFrame, start: str = "pending") -> DataFrame:
+    """(task_id, status, messages) of folds that begin with ``start``."""
+    return parts.select("task_id", F.get("_f", F.lit(fixed.TASK_STATUSES.index(start))).alias("status"), F.col("_n").alias("messages"))
+
+
+def lifecycle_fold(messages: DataFrame, order: str = "seq", run: int = 65_536, start: str = "pending") -> DataFrame:
+    """Final status per task when every message must pass the transition table."""
+    return ended(lifecycle_parts(messages, order, run), start)
+
+
+def consecutive_statuses(messages: DataFrame, order: str = "seq", run: int = 65_536, start: str = "pending") -> DataFrame:
+    """(from_status, to_status, n) over consecutive messages of every task.
+
+    Pairs inside a run of messages are counted in it; between runs only each run's
+    first and last status travel.
+    """
+    lists = in_runs(messages, order, run).groupBy("task_id", "_slot").agg(
+        F.array_sort(F.collect_list(F.struct(order, "status"))).alias("_ms"))
+    pair = lambda a, b: F.struct(a.alias("from_status"), b.alias("to_status"))
+    inside = lists.select(F.inline(F.transform(F.slice("_ms", F.lit(2), F.size("_ms")), lambda m, i: pair(
+        F.get("_ms", i)["status"], m["status"]))))
+    edges = lists.select("task_id", "_slot", F.get("_ms", F.lit(0))["status"].alias("to_status"), F.element_at("_ms", -1)["status"].alias("_last"))
+    before = F.lag("_last", 1, start).over(Window.partitionBy("task_id").orderBy("_slot"))
+    between = edges.select(before.alias("from_status"), "to_status")
+    return inside.unionByName(between).groupBy("from_status", "to_status").agg(F.count("*").alias("n"))
 
 
 def run_outcomes(attempts: DataFrame) -> DataFrame:

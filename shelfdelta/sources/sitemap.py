@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfdelta.functions import fixed, urls as U
+from shelfdelta.functions import urls as U
 from shelfdelta.functions.predicates import sitemap_priority
 from shelfdelta.functions.text import strip
 from shelfdelta.operators.diff import first_per_key
+from shelfdelta.session import cut_lineage
 
 _LEAF = "url array<struct<loc:string,lastmod:string,priority:string>>"
 _INDEX = "sitemap array<struct<loc:string>>"
@@ -30,24 +29,28 @@ def entries(sitemaps: DataFrame) -> DataFrame:
         sitemap_priority(F.col("e.priority")).alias("priority"), "sitemap", "pos")
 
 
-def reachable(sitemaps: DataFrame, root: str | Column, max_depth: int = fixed.SITEMAP_MAX_DEPTH) -> DataFrame:
+def reachable(sitemaps: DataFrame, root: str | Column, max_depth: int | None = None) -> DataFrame:
     """Files reached from the root (a URL, or a predicate for several) through index
-    files, with their depth.
+    files, with the first level each is found on.
 
-    A fixed number of self-joins, the walk being at most ``max_depth`` deep. The
-    first level a file is found on is kept.
+    The walk goes over (file, child) pairs of URLs, level by level until no new file
+    turns up, so cycles end it too; bodies are joined once at the end. ``max_depth``
+    stops it earlier.
     """
-    files = sitemaps.select("url", "body")
-    level = files.filter(F.col("url") == root if isinstance(root, str) else root).withColumn("depth", F.lit(0))
-    levels = [level]
-    for depth in range(1, max_depth + 1):
-        parsed = F.from_xml(F.col("body"), _INDEX, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
-        children = level.filter(is_index(F.col("body"))).select(F.explode(parsed["sitemap"]).alias("s")).select(
-            strip(F.col("s.loc")).alias("url")).distinct()
-        level = files.join(children, "url").withColumn("depth", F.lit(depth))
-        levels.append(level)
-    merged = reduce(DataFrame.unionByName, levels)
-    return merged.groupBy("url").agg(F.min("depth").alias("depth"), F.first("body").alias("body"))
+    parsed = F.from_xml(F.col("body"), _INDEX, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
+    pairs = cut_lineage(sitemaps.filter(is_index(F.col("body"))).select("url", F.explode(parsed["sitemap"]).alias("s")).select(
+        F.col("url").alias("parent"), strip(F.col("s.loc")).alias("url")).distinct(), "sitemap-pairs")
+    chosen = F.col("url") == root if isinstance(root, str) else root
+    seen = level = cut_lineage(sitemaps.filter(chosen).select("url").distinct().withColumn("depth", F.lit(0)), "sitemap-level")
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        found = pairs.join(level.select(F.col("url").alias("parent")), "parent", "left_semi").select("url").distinct()
+        level = cut_lineage(found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)), "sitemap-level")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return sitemaps.join(seen, "url").select("url", "depth", "body").dropDuplicates(["url"])
 
 
 def product_entries(found: DataFrame, host: str | Column, root: str = "product") -> DataFrame:

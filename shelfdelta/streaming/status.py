@@ -9,9 +9,6 @@ terminal status has no effect, in whichever batch it comes.
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -52,33 +49,20 @@ def task_view(tasks: DataFrame, log: DataFrame, order: list[Column] | None = Non
     return K.apply_messages(tasks, log.withColumn("_seq", arrival), "_seq")
 
 
-def task_states(messages: DataFrame) -> DataFrame:
-    """Stateful lifecycle per task: ``task_id, status, applied, refused`` after every
-    micro-batch, moves outside the transition table being refused."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    return messages.select("task_id", "status", "seq").groupBy("task_id").applyInPandasWithState(
-        advance, "task_id string, status string, applied bigint, refused bigint",
-        "status string, applied bigint, refused bigint", "update", GroupStateTimeout.NoTimeout)
-
-
-def advance(key, frames, state):
-    """Move one task through its messages of a micro-batch, in ``seq`` order."""
-    import pandas as pd
+def start_lifecycle(messages: DataFrame, folder: str, order: str = "seq", available_now: bool = True) -> StreamingQuery:
+    """Strict lifecycle of a stream of (task_id, status, ``order``): every micro-batch appends, per task,
+    its messages composed into one fold. No task's messages meet in one place, and a repeated batch replaces itself."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        K.lifecycle_parts(batch, order).write.mode("overwrite").parquet(f"{folder}/folds/batch={batch_id}")
 
-    status, applied, refused = state.get if state.exists else ("pending", 0, 0)
-    for _, new in pd.concat(list(frames)).sort_values("seq")["status"].items():
-        if new in _NEXT[status]:
-            status, applied = new, applied + 1
-        else:
-            refused += 1
-    state.update((status, applied, refused))
-    yield pd.DataFrame({"task_id": [key[0]], "status": [status], "applied": [applied], "refused": [refused]})
+    writer = messages.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-_NEXT = {k: frozenset(v) for k, v in fixed.TRANSITIONS.items()}
-# Ship ``advance`` by value: executors then need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+def lifecycle_view(spark, folder: str) -> DataFrame:
+    """(task_id, status, messages) as the batches so far leave every task."""
+    folds = spark.read.option("basePath", f"{folder}/folds").parquet(f"{folder}/folds")
+    return K.ended(K.chained(folds.withColumnRenamed("batch", "_slot"), "task_id"))
 
 
 def progress_tail(lines: DataFrame, keep: int = fixed.PROGRESS_LINES) -> DataFrame:

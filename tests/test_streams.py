@@ -97,14 +97,13 @@ def test_redelivered_messages_are_dropped_within_the_delay(spark, tmp_path):
     assert ST.logged(spark, str(tmp_path / "job")).count() == 2
 
 
-def test_stateful_lifecycle_over_two_batches(spark, tmp_path):
-    inbox = tmp_path / "in"
+def test_lifecycle_over_two_batches(spark, tmp_path):
+    inbox, job = tmp_path / "in", str(tmp_path / "job")
     sent = lambda rows: [json.dumps({"task_id": t, "status": s, "seq": n}) for t, s, n in rows]
     write_text(inbox, "1.json", sent([("a", "started", 2), ("a", "queued", 1), ("b", "running", 1)]))
-    write_text(inbox, "2.json", sent([("a", "running", 3), ("a", "completed", 4), ("a", "running", 5)]))
     rows = spark.readStream.schema("task_id string, status string, seq long").option("maxFilesPerTrigger", 1).json(str(inbox))
-    out = []
-    ST.task_states(rows).writeStream.outputMode("update").foreachBatch(
-        lambda df, n: out.extend((n, *r) for r in df.collect())).option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(out) == [(0, "a", "started", 2, 0), (0, "b", "pending", 0, 1), (1, "a", "completed", 4, 1)]
+    ST.start_lifecycle(rows, job).awaitTermination()
+    assert sorted(map(tuple, ST.lifecycle_view(spark, job).collect())) == [("a", "started", 2), ("b", "pending", 1)]
+    write_text(inbox, "2.json", sent([("a", "running", 3), ("a", "completed", 4), ("a", "running", 5)]))
+    ST.start_lifecycle(rows, job).awaitTermination()
+    assert sorted(map(tuple, ST.lifecycle_view(spark, job).collect())) == [("a", "completed", 5), ("b", "pending", 1)]

@@ -44,10 +44,17 @@ def test_strict_lifecycle_under_skew_equals_a_plain_loop(spark):
         now = state.get(r[1], "pending")
         state[r[1]] = r[2] if r[2] in fixed.TRANSITIONS[now] else now
     for width in (1, 50, 10**9):
-        out = K.lifecycle_fold(spark.createDataFrame(rows, MESSAGE), bucket=F.floor(F.col("seq") / width))
+        out = K.lifecycle_fold(spark.createDataFrame(rows, MESSAGE), run=width)
         assert {r.task_id: r.status for r in out.collect()} == state
 
 
+def test_hot_tasks_are_salted_without_change(spark):
+    rows = spark.createDataFrame(skewed(seed=6), MESSAGE)
+    fold = lambda n: {r.task_id: r for r in K.folded_messages(rows, per_salt=n).collect()}
+    assert fold(20) == fold(10**9)
+    assert K.effective_messages(rows, per_salt=20).agg(F.max("_salt")).first()[0] > 0
+
+
 def task_rows(spark):
     rows = [(f"{i:024x}", s) for i, s in enumerate(fixed.TASK_STATUSES)]
     at = "2024-01-01 10:00:00"
