@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from querybook import query
 from querybook.derived import SLUG_SQL, table, ts
-from shelfdelta.functions import html as H, payload as P, predicates as W, text as X, urls as U
+from shelfdelta.functions import fixed, html as H, payload as P, predicates as W, text as X, urls as U
 from shelfdelta.operators import discovery as DI, page_parts as G, paging
 
 from shelfdelta.session import staging_path
@@ -248,8 +248,6 @@ def sitemap_index_walk(spark, sf) -> DataFrame:
 
 _WORDS = " ".join(f"WHEN contains(lower(text), '{w}') THEN '{w.title()}'" for w in
                   ["polypropylene", "vinyl", "cotton", "polyester", "paper", "fabric", "plastic", "linen", "cloth"])
-_DIM1 = r"(?i)(\d+\.?\d*\s*(?:x|×)\s*\d+\.?\d*\s*(?:in|inch|cm|mm|ft))"
-_TRIMMED = _STRIP.format(c="{c}")
 
 
 @query(rf"""WITH t AS (SELECT doc_id, source, text, list_filter(list_transform(string_split_regex(text, '[\n,•/;]+'),
@@ -269,10 +267,10 @@ SELECT doc_id, CASE {_WORDS} END AS material,
 def text_spec_extract(spark, sf) -> DataFrame:
     """Material words, description clean-up, colour lists and labelled lines over whole texts."""
     text = F.col("text")
-    rows = table(spark, sf, "documents").select("doc_id", "source", "text", X.colour_list(text).alias("c"))
+    rows = table(spark, sf, "documents").select("doc_id", "source", "text", X.colour_list(text, fixed.COLOUR_LIMIT).alias("c"))
     ply = F.when(F.lower(text).contains("ply"), "ply_or_size").otherwise("other")
     return rows.select("doc_id", X.material_word(text).alias("material"),
-                       F.md5(X.clean_description(text, F.col("source"))).alias("description"),
+                       F.md5(X.clean_description(text, F.col("source"), fixed.DESCRIPTION_LIMIT)).alias("description"),
                        F.size("c").alias("colours"), F.get("c", F.lit(0)).alias("first_colour"),
                        X.labelled_line(text, "Material").alias("labelled"), ply.alias("plain_group"))
 

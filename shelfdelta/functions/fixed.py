@@ -44,7 +44,6 @@ TRUNCATED_REASON = "payload_exceeded_bson_safety_threshold"
 
 VARIANT_CAP = 500
 FIXED_TIERS = 16
-GALLERY_LIMIT = 8
 COLOUR_LIMIT = 30
 PROGRESS_LINES = 100
 DESCRIPTION_LIMIT = 5000

@@ -22,6 +22,10 @@ ENTITIES = [
 ]
 
 
+# Elements that never have content.
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+
+
 def markup(html: Column) -> Column:
     """The page without comments, scripts and styles."""
     return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
@@ -88,22 +92,54 @@ def has_id(name: str) -> str:
     return rf"""\bid\s*=\s*["']{name}["']"""
 
 
-def element(html: Column, tag: str, attrs: str) -> Column:
-    """The first ``tag`` with matching attributes, up to its own closing tag, nested
-    tags of the same kind included; '' when absent."""
-    tail = F.regexp_extract(html, rf"(?is)(<{tag}\b(?=[^>]*{attrs})[^>]*>.*)$", 1)
-    pieces = F.split(tail, rf"(?i)(?=</?{tag}\b)")
+def _own(pieces: Column, start: Column, of_kind=None) -> Column:
+    """The text from piece ``start`` (0-based), an opening tag, up to and including its own closing
+    tag; ``pieces`` are cut in front of tags. Null where no such tag comes."""
+    of_kind = of_kind or (lambda piece: F.lit(True))
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("taken"), F.lit(False).alias("closed"))
 
     def walk(acc: Column, piece: Column) -> Column:
-        closing = piece.startswith("</")
-        opening = piece.startswith("<") & ~closing
+        closing = piece.startswith("</") & of_kind(piece)
+        opening = piece.startswith("<") & ~piece.startswith("</") & of_kind(piece)
         depth = acc["depth"] + F.when(opening, 1).when(closing, -1).otherwise(0)
         return F.when(acc["closed"], acc).otherwise(F.struct(
             depth.alias("depth"), (acc["taken"] + 1).alias("taken"),
             (closing & (depth <= 0)).alias("closed")))
 
-    return let(pieces, lambda ps: F.array_join(F.slice(ps, F.lit(1), F.aggregate(ps, zero, walk)["taken"]), ""))
+    def text(acc: Column) -> Column:
+        last = F.regexp_extract(F.get(pieces, start + acc["taken"] - 1), r"^(</[^>]*>)", 1)
+        return F.when(acc["closed"], F.concat(F.array_join(F.slice(pieces, start + 1, acc["taken"] - 1), ""), last))
+
+    return F.aggregate(F.slice(pieces, start + 1, F.size(pieces)), zero, walk, text)
+
+
+def element(html: Column, tag: str, attrs: str) -> Column:
+    """The first ``tag`` with matching attributes, up to its own closing tag, nested
+    tags of the same kind included, up to the end where it is never closed; '' when absent."""
+    tail = F.regexp_extract(html, rf"(?is)(<{tag}\b(?=[^>]*{attrs})[^>]*>.*)$", 1)
+    return let(F.split(tail, rf"(?i)(?=</?{tag}\b)"), lambda ps: F.coalesce(_own(ps, F.lit(0)), F.array_join(ps, "")))
+
+
+def elements(html: Column, attrs: str) -> Column:
+    """Every element, of any kind and however nested, whose opening tag has ``attrs``, in page order.
+
+    Most hold no tag of their own kind and none with ``attrs``: one pattern reads those. Only
+    the others are walked through. An element that is never closed is its tag alone.
+    """
+    def whole(parts: Column) -> Column:
+        def one(part: Column, i: Column) -> Column:
+            plain = F.regexp_extract(part, r"(?is)^(<(\w+)\b[^>]*>(?:.*?</\2\s*>)?)", 1)
+            kind = F.lower(F.regexp_extract(part, r"^<(\w+)", 1))
+            simple = (F.instr(F.lower(F.substring(plain, F.lit(2), F.length(plain))), F.concat(F.lit("<"), kind)) == 0) & (
+                F.lower(plain).endswith(">") & F.lower(plain).contains(F.concat(F.lit("</"), kind)) | kind.isin(*VOID))
+            tags = F.split(F.array_join(F.slice(parts, i + 1, F.size(parts)), ""), "(?=<)")
+            walked = let(tags, lambda ts: _own(ts, F.lit(0), lambda t: F.lower(F.regexp_extract(t, r"^</?(\w+)", 1)) == kind))
+            return F.when(simple, plain).otherwise(F.coalesce(walked, plain))
+
+        return F.filter(F.transform(parts, lambda part, i: F.when(
+            part.rlike(rf"(?is)^<\w+\b(?=[^>]*{attrs})"), one(part, i))), lambda e: e.isNotNull())
+
+    return let(F.split(html, rf"(?is)(?=<\w+\b[^>]*{attrs})"), whole)
 
 
 def rows_of(table: Column) -> Column:
@@ -112,9 +148,12 @@ def rows_of(table: Column) -> Column:
 
 
 def cells_of(row: Column) -> Column:
-    """The cells of a row, with their tags."""
-    return F.regexp_extract_all(row, F.lit(r"(?is)(<t[hd]\b[^>]*>.*?</t[hd]\s*>)"), F.lit(1))
+    """The cells of a row, with their tags; an unclosed cell ends at the next one or with the row."""
+    return F.regexp_extract_all(row, F.lit(r"(?is)(<t[hd]\b[^>]*>.*?(?:</t[hd]\s*>|(?=<t[hd]\b)|$))"), F.lit(1))
 
 
 def tables_of(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)(<table\b.*?</table\s*>)"), F.lit(1))
+    """Every table, also those inside others, each up to its own closing tag, in page order."""
+    def found(pieces: Column) -> Column:
+        return F.filter(F.transform(pieces, lambda p, i: F.when(p.rlike(r"(?i)^<table\b"), _own(pieces, i))), lambda t: t.isNotNull())
+    return let(F.split(html, r"(?i)(?=</?table\b)"), found)

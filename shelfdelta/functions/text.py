@@ -158,8 +158,8 @@ def dimension_text(c: Column) -> Column:
     return let(c, lambda text: F.coalesce(*[fitting(text, p) for p in patterns]))
 
 
-def clean_description(text: Column, title: Column) -> Column:
-    """Drop a leading title, cut at SPECIFICATIONS, keep 11 to 5000 characters."""
+def clean_description(text: Column, title: Column, limit: int | None = None) -> Column:
+    """Drop a leading title, cut at SPECIFICATIONS, keep texts of 11 characters and more, whole unless ``limit`` is given."""
     def untitled(b: Column) -> Column:
         led = (b["title"] != "") & F.startswith(b["text"], b["title"])
         return F.when(led, strip(F.substring(b["text"], F.length(b["title"]) + 1, F.length(b["text"])))
@@ -171,19 +171,20 @@ def clean_description(text: Column, title: Column) -> Column:
 
     def kept(b: Column) -> Column:
         return let(let(untitled(b), cut), lambda out: F.when(
-            (F.length(b["text"]) >= 30) & (F.length(out) > 10), F.left(out, F.lit(fixed.DESCRIPTION_LIMIT))))
+            (F.length(b["text"]) >= 30) & (F.length(out) > 10), F.left(out, F.lit(limit)) if limit else out))
 
     return let(F.struct(text.alias("text"), or_blank(title).alias("title")), kept)
 
 
-def colour_list(text: Column) -> Column:
-    """Split a colour text on its separators, first occurrence kept, at most 30."""
+def colour_list(text: Column, limit: int | None = None) -> Column:
+    """Split a colour text on its separators, first occurrence kept, all unless ``limit`` is given."""
     def pick(b: Column) -> Column:
         # One long run-on word list falls back to capitalised words.
         words = F.regexp_extract_all(b["text"], F.lit(r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"), F.lit(1))
         chosen = F.when((F.size(b["parts"]) <= 1) & (F.length(F.get(b["parts"], F.lit(0))) > 40), words
                         ).otherwise(b["parts"])
-        return F.slice(F.array_distinct(F.filter(chosen, lambda x: x != "")), 1, fixed.COLOUR_LIMIT)
+        found = F.array_distinct(F.filter(chosen, lambda x: x != ""))
+        return F.slice(found, 1, limit) if limit else found
 
     def split(whole: Column) -> Column:
         parts = F.transform(F.split(whole, r"[\n,•/;]+"), lambda x: strip(x))

@@ -31,8 +31,10 @@ def discovery_counters(discovered: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     """Every ``a[href]`` of every page as a canonical absolute URL, in page order."""
-    hrefs = F.regexp_extract_all(markup(F.col(html)), F.lit(
-        r"""(?i)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    # Quoted values may hold ">"; values need no quotes.
+    tags = F.regexp_extract_all(markup(F.col(html)), F.lit(r"""(?i)<a\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""), F.lit(1))
+    value = r"""(?is)(?:^|["'\s])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    hrefs = F.transform(F.filter(tags, lambda t: t.rlike(value)), lambda t: F.concat(*[F.regexp_extract(t, value, g) for g in (1, 2, 3)]))
     return pages.select(F.col(key).alias("page"), F.col(url).alias("base"),
                         F.posexplode(hrefs).alias("pos", "href")).select(
         "page", "pos", "href", U.canonical(U.resolve(F.col("href"), F.col("base"))).alias("url"))

@@ -167,7 +167,7 @@ def shape_prices(page: Column) -> Column:
         navs = F.filter(H.all_outer(chart, "nav"), lambda n: n.rlike(r"""(?i)href\s*=\s*["']#nav-price-"""))
         links = F.transform(
             H.all_outer(F.get(navs, F.lit(0)), "a", r"""\bhref\s*=\s*["']#nav-price-"""),
-            lambda a: F.struct(H.node_text(a).alias("shape"), F.substring(H.attribute(a, "href"), 2, 500).alias("pane")))
+            lambda a: F.struct(H.node_text(a).alias("shape"), F.regexp_extract(H.attribute(a, "href"), "(?s)^#(.*)$", 1).alias("pane")))
         panes = F.transform(
             F.split(H.element(chart, "div", H.has_id("nav-tabContent")), r"""(?i)(?=<div\b[^>]*\bid\s*=\s*["']nav-price-)"""),
             lambda p: F.struct(H.attribute(p, "id").alias("pane"), F.get(H.tables_of(p), F.lit(0)).alias("table")))
@@ -207,8 +207,8 @@ def options(page: Column, image_host: str | None = None) -> Column:
     def of(piece: Column) -> Column:
         step = F.when(piece.rlike(r"(?i)^<h[2-5]\b"), H.node_text(F.regexp_extract(
             piece, r"(?is)^<h[2-5]\b[^>]*>(.*?)</h[2-5]\s*>", 1), " ")).otherwise("")
-        heading = let(step, lambda s: F.struct(X.option_group(s).alias("group"), F.left(s, F.lit(80)).alias("step")))
-        found = F.regexp_extract_all(piece, F.lit(rf"(?is)(<(\w+)\b(?=[^>]*{marks})[^>]*>(?:.*?</\2\s*>)?)"), F.lit(1))
+        heading = let(step, lambda s: F.struct(X.option_group(s).alias("group"), s.alias("step")))
+        found = H.elements(piece, marks)
         hidden = lambda t: let(opening(t), lambda tag: tag.rlike(
             "(?i)" + H.has_class("form-control")) & tag.rlike("(?i)" + H.has_class("quantities")))
         visible = F.filter(found, lambda t: ~hidden(t))
@@ -256,8 +256,9 @@ def sku(html: Column, page: Column) -> Column:
     itemprop = let(prop, lambda t: X.blank_to_null(X.strip(F.coalesce(H.attribute(t, "content"), H.node_text(t)))))
     data = F.when(page.contains("data-sku"), X.blank_to_null(X.strip(F.regexp_extract(
         page, r"""(?is)<\w+\b[^>]*\sdata-sku\s*=\s*["']([^"']*)""", 1))))
-    in_ld = let(F.try_parse_json(json_ld(html)), lambda ld: F.when(
-        F.try_variant_get(ld, "$['@type']", "string") == "Product", F.try_variant_get(ld, "$.sku", "string")))
+    in_ld = F.get(F.filter(F.transform(json_ld(html), lambda o: F.when(
+        F.try_variant_get(o, "$['@type']", "string") == "Product",
+        X.blank_to_null(X.strip(F.try_variant_get(o, "$.sku", "string"))))), lambda x: x.isNotNull()), F.lit(0))
     places = F.struct(inline.alias("json_sku"), itemprop.alias("itemprop_sku"), data.alias("data_sku"),
                       in_ld.alias("ldjson_sku"), F.concat(F.lit("SKU"), tag).alias("db_tag"), tag.alias("tag"))
     labels = ["json_sku", "itemprop_sku", "data_sku", "ldjson_sku", "db_tag"]
@@ -273,9 +274,12 @@ def sku(html: Column, page: Column) -> Column:
 
 
 def json_ld(html: Column) -> Column:
-    """The text of the first JSON-LD script."""
-    return F.when(html.contains("ld+json"), X.blank_to_null(X.strip(F.regexp_extract(
-        html, r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>""", 1))))
+    """The objects of all JSON-LD scripts, lists taken apart; scripts that are no JSON are left out."""
+    texts = F.regexp_extract_all(html, F.lit(
+        r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""), F.lit(1))
+    objects = F.flatten(F.transform(texts, lambda t: F.coalesce(
+        F.try_variant_get(F.try_parse_json(t), "$", "array<variant>"), F.array(F.try_parse_json(t)))))
+    return F.when(html.contains("ld+json"), F.filter(objects, lambda o: o.isNotNull()))
 
 
 def script_images(html: Column) -> Column:
@@ -354,4 +358,5 @@ def embedded_images(props: Column, size_: Column, html: Column) -> Column:
     return let(F.try_parse_json(props), lambda v: let(F.struct(
         F.try_variant_get(v, "$.product.productImages", "array<string>").alias("images"),
         F.try_variant_get(v, "$.product.variants", "array<struct<name:string,image:string>>").alias("variants"),
-        F.try_variant_get(F.try_parse_json(json_ld(html)), "$.image", "string").alias("ld")), choose))
+        F.get(F.filter(F.transform(json_ld(html), lambda o: F.try_variant_get(o, "$.image", "string")), lambda x: x.isNotNull()),
+              F.lit(0)).alias("ld")), choose))

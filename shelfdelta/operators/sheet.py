@@ -119,7 +119,7 @@ register_source("printify", {
     "All Charges": lambda r: r.dollars("min_shipping_usd", "min_shipping_cents"),
     "Print Position": listed("print_positions"),
     "Optional Main Image": lambda r: X.or_blank(X.main_image(r.col("images", "array<string>"))),
-    "Gallery Images": lambda r: r.joined("images", "|", fixed.GALLERY_LIMIT),
+    "Gallery Images": lambda r: r.joined("images", "|"),
     "Active": lambda r: X.yes_no(r.col("available", "boolean")),
 })
 register_source("commonsku", {

@@ -161,7 +161,8 @@ def embedded_json_pages(pages: DataFrame) -> DataFrame:
     """Pages whose product is a JSON-LD script plus an editor container's JSON."""
     rows = pages.select("url", "html", G.json_ld(F.col("html")).alias("_ld"),
                         G.embedded_props(F.col("html")).alias("_props"), U.size_in_url(F.col("url")).alias("_size"))
-    rows = rows.withColumn("_ld", F.try_parse_json(F.col("_ld"))).withColumn(
+    is_product = lambda o: F.try_variant_get(o, "$['@type']", "string") == "Product"
+    rows = rows.withColumn("_ld", F.get(F.filter("_ld", is_product), F.lit(0))).withColumn(
         "_images", G.embedded_images(F.col("_props"), F.col("_size"), F.col("html")))
     ld = lambda path: F.try_variant_get(F.col("_ld"), path, "string")
     name = X.or_blank(ld("$.name"))

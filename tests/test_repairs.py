@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfdelta.functions import document, html as H, payload as P, text as X
-from shelfdelta.operators import page_parts as G, sheet as S
+from shelfdelta.operators import discovery, page_parts as G, sheet as S
 from shelfdelta.plans import extraction, tracked
-from shelfdelta.sources import csv_files
+from shelfdelta.sources import csv_files, sitemap
 from shelfdelta.sources.tables import Store, latest_sessions, read_or_empty
 from shelfdelta.streaming.writer import TrackedStream
 
@@ -124,3 +124,42 @@ def test_only_a_missing_folder_reads_as_empty(spark, tmp_path):
     assert read_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
     with pytest.raises(Exception):
         read_or_empty(spark, "nosuchscheme://x/y", "a int").count()
+
+
+def test_options_in_options_and_same_tags(spark):
+    page = ('<h3>Step 1 Color</h3><div data-product-option-value-id="1"><div></div>Red</div>'
+            '<div data-product-option-value-id="2" data-price="2"><span data-product-option-value-id="3">Blue</span></div>'
+            '<input data-product-option-value-id=4 data-original-option-value-name="Tan"><p>far</p>'
+            '<li data-product-option-value-id="5">never closed')
+    got = [(o.option_value_id, o.label) for o in one(spark, page, G.options)]
+    assert got[:4] == [("1", "Red"), ("2", "Blue"), ("3", "Blue"), ("", "Tan")]
+
+
+def test_tables_in_tables(spark):
+    page = ("<table><tr><th>Specifications</th></tr><tr><td>Material</td><td>Oak<table><tr><td>a</td><td>b</td></tr></table></td></tr>"
+            "<tr><td>Size</td><td>9</td></tr></table><p>after</p>")
+    assert len(one(spark, page, H.tables_of)) == 2
+    rows = {r.key: r.value for r in one(spark, page, G.spec_rows)}
+    assert rows["size"] == "9" and "material" in rows
+    assert one(spark, '<div class="x"><div>a</div>b</div>c<div>d</div>', lambda c: H.element(c, "div", H.has_class("x"))) == (
+        '<div class="x"><div>a</div>b</div>')
+
+
+def test_links_without_quotes_and_with_angles_in_quotes(spark):
+    pages = spark.createDataFrame([(1, "https://h/", '<a href=/x>1</a><a title="b>c" href="/y">2</a><a name=z>3</a><a href=\'/w\'>4</a>')],
+                                  "page_id long, url string, html string")
+    assert [r.href for r in discovery.links(pages).orderBy("pos").collect()] == ["/x", "/y", "/w"]
+
+
+def test_every_ld_script_and_list(spark):
+    tag = '<script type="application/ld+json">%s</script>'
+    page = tag % '{"@type":"Thing"}' + tag % "no json" + tag % '[{"@type":"Crumb"},{"@type":"Product","sku":" s1 "}]'
+    assert one(spark, page, lambda c: G.sku(c, c)).sku == "s1"
+
+
+def test_a_deep_sitemap_and_a_cycle(spark):
+    index = lambda *n: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in n) + "</sitemapindex>"
+    files = [(f"f{i}", index(f"f{i + 1}", "f0")) for i in range(6)] + [("f6", "<urlset></urlset>"), ("lost", "<urlset></urlset>")]
+    df = spark.createDataFrame(files, "url string, body string")
+    assert {r.url: r.depth for r in sitemap.reachable(df, "f0").collect()} == {f"f{i}": i for i in range(7)}
+    assert sitemap.reachable(df, "f0", 3).count() == 4
