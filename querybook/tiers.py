@@ -179,13 +179,13 @@ def _documents(spark, sf) -> DataFrame:
         F.array(colour(F.col("p_brand"), "napkin"), colour(F.col("p_type"), "imprint")).alias("colors"),
         F.array(F.concat(F.lit("https://img/"), F.col("p_partkey").cast("string"), F.lit(".png")),
                 F.lit("https://img/b.png")).alias("gallery_images"),
-        F.filter("pricing", lambda e: e["shape"] == "F").alias("pricing"))
+        "pricing")
 
 
 @query(f"""WITH {PRICE_SQL},
 f AS (SELECT l_partkey, coalesce(nullif({METHOD_SQL}, ''), 'Standard') AS pm, quantity, cents,
-        row_number() OVER (PARTITION BY l_partkey, method ORDER BY quantity) AS place
-      FROM price_rows WHERE shape = 'F'),
+        row_number() OVER (PARTITION BY l_partkey, method ORDER BY quantity, shape) AS place
+      FROM price_rows),
 v AS (SELECT l_partkey, pm, count(*) AS n, max(CASE WHEN place = 1 THEN CAST(quantity AS VARCHAR) END) AS q1,
         max(CASE WHEN place = 1 THEN {_PRICE_TEXT} END) AS p1,
         max(CASE WHEN place = 3 THEN CAST(quantity AS VARCHAR) END) AS q3,
@@ -216,7 +216,7 @@ def variant_rows_outer(spark, sf) -> DataFrame:
 
 @query(f"""WITH {PRICE_SQL}, n AS (
  SELECT p_partkey, count(DISTINCT method) AS methods, coalesce(max(k), 0) AS widest FROM part LEFT JOIN (
-  SELECT *, count(*) OVER (PARTITION BY l_partkey, method) AS k FROM price_rows WHERE shape = 'F')
+  SELECT *, count(*) OVER (PARTITION BY l_partkey, method) AS k FROM price_rows)
   ON p_partkey = l_partkey GROUP BY 1)
 SELECT CAST(max(widest) AS BIGINT) AS max_tiers, CAST(sum(greatest(methods, 1)) AS BIGINT) AS total_variants,
  count(*) AS products, false AS empty_match, false AS no_tiers FROM n""")
@@ -319,7 +319,7 @@ def product_rows_expanded(spark, sf) -> DataFrame:
 
 @query(f"""WITH {PRICE_SQL},
 f AS (SELECT l_partkey, coalesce(nullif({METHOD_SQL}, ''), 'Standard') AS pm, quantity, cents,
-        row_number() OVER (PARTITION BY l_partkey, method ORDER BY quantity) AS place FROM price_rows WHERE shape = 'F'),
+        row_number() OVER (PARTITION BY l_partkey, method ORDER BY quantity, shape) AS place FROM price_rows),
 v AS (SELECT l_partkey, pm, max(CASE WHEN place = 2 THEN CAST(quantity AS VARCHAR) END) AS q2,
         max(CASE WHEN place = 2 THEN {_PRICE_TEXT} END) AS p2 FROM f GROUP BY 1, 2)
 SELECT p_name AS "Product Name", p_brand AS "Supplier SKU", {URL_SQL} AS "Product URL",
@@ -349,7 +349,7 @@ def preview_rows(spark, sf) -> DataFrame:
 
 @query(f"""WITH {PRICE_SQL}, f AS (SELECT l_partkey, method, min(place) AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY method) AS place FROM (
-   SELECT DISTINCT l_partkey, method FROM price_rows WHERE shape = 'F')) GROUP BY 1, 2)
+   SELECT DISTINCT l_partkey, method FROM price_rows)) GROUP BY 1, 2)
 SELECT p_partkey, coalesce(coalesce(nullif({METHOD_SQL}, ''), 'Standard'), '') AS print_method FROM (
  SELECT p_partkey, arg_max(method, CASE WHEN place <= 2 THEN place END) AS method
  FROM part LEFT JOIN f ON p_partkey = l_partkey GROUP BY p_partkey)""".replace(
