@@ -3,7 +3,10 @@
 Allow and block rules (host, path prefix) judge URLs directly. The share of a host's pages
 that the rules allow (block) seeds trust (distrust). Trust follows links from a host to what
 it links to, as personalised PageRank; distrust goes the other way, from a host to those that
-link to it. A host is blocked where distrust exceeds trust by ``threshold``.
+link to it, both until no host's score is further than ``tolerance`` from the limit. A host is
+blocked where its margin exceeds ``threshold``: distrust less trust, as a share of trust,
+distrust and what its pages without a rule would seed. The margin lies between -1 and 1 whatever
+``damping`` is; without edges it is the share of blocked pages less that of allowed ones.
 
 Edges: absolute and protocol-relative ``href``/``src`` links between hosts, counted, and
 between a host and its parent host where both are in the table (``www.a.b`` and ``a.b``).
@@ -58,24 +61,33 @@ def edges_of(pages: DataFrame) -> DataFrame:
         F.sum("weight").alias("weight"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, cut_every: int = 4) -> DataFrame:
-    """(kind, host, score) after ``rounds`` of ``score = (1 - damping) seed + damping inflow``."""
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, cut_every: int = 4) -> DataFrame:
+    """(kind, host, score) of ``score = (1 - damping) seed + damping inflow``, each within ``tolerance`` of the limit.
+
+    Scores only grow, and what ``cut_every`` rounds add falls by ``damping ** cut_every`` at least, which
+    bounds all that is still to come.
+    """
+    if not 0 <= damping < 1:
+        raise ValueError("scores have a limit for a damping from 0 to below 1")
     both = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), "target", "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("target"), "weight"))
     total = both.groupBy("kind", "host").agg(F.sum("weight").alias("total"))
     steps = staged(both.join(total, ["kind", "host"]).select("kind", "host", "target", (F.col("weight") / F.col("total")).alias("share")), "host-edges")
     seeds = staged(seeds, "host-seeds")
     base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    scores = base
-    for i in range(1, rounds + 1):
-        flow = scores.join(steps, ["kind", "host"]).select("kind", F.col("target").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        scores = base.unionByName(flow).groupBy("kind", "host").agg(F.sum("score").alias("score")).where("score > 1e-9")
-        if i % cut_every == 0 and i < rounds:
-            scores = staged(scores, "host-scores")
-    return scores
-
-
-def judge(pages: DataFrame, *, rules=RULES, damping: float = 0.85, rounds: int = 8, threshold: float = 0.25,
+    mass = lambda df: df.agg(F.sum("score")).first()[0] or 0.0
+    scores, now, falls = base, mass(base), damping ** cut_every
+    while True:
+        for _ in range(cut_every):
+            flow = scores.join(steps, ["kind", "host"]).select("kind", F.col("target").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            scores = base.unionByName(flow).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        scores = staged(scores, "host-scores")
+        before, now = now, mass(scores)
+        if (now - before) * falls <= tolerance * (1 - falls):
+            return scores
+
+
+def judge(pages: DataFrame, *, rules=RULES, damping: float = 0.85, tolerance: float = 1e-4, threshold: float = 0.25,
           id_col: str = "page_id") -> DataFrame:
     """Per page: id, host, path, rule, verdict, and the host's trust and distrust."""
     based = pages.select(F.col(id_col).alias(id_col), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
@@ -85,11 +97,13 @@ def judge(pages: DataFrame, *, rules=RULES, damping: float = 0.85, rounds: int =
         F.avg(F.when(F.col("best.verdict") == "block", 1.0).otherwise(0.0)).alias("distrust"))
     seeds = per_host.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias(
         "kind", "seed")).where("seed > 0")
-    scores = spread(seeds, edges_of(based), damping, rounds)
+    scores = spread(seeds, edges_of(based), damping, tolerance)
     by_host = scores.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("distrust"))
-    of_method = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > threshold, "block").otherwise("allow")
-    return ruled.join(by_host, "host", "left").select(
+    unruled = per_host.select("host", ((1 - F.col("trust") - F.col("distrust")) * (1 - damping)).alias("unruled"))
+    margin = (F.col("distrust") - F.col("trust")) / (F.col("distrust") + F.col("trust") + F.col("unruled"))
+    of_method = F.when(F.coalesce(margin, F.lit(0.0)) > threshold, "block").otherwise("allow")
+    return ruled.join(by_host.join(unruled, "host"), "host", "left").select(
         id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", of_method).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("host_trust"), F.coalesce("distrust", F.lit(0.0)).alias("host_distrust"))

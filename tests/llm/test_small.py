@@ -38,3 +38,27 @@ def test_url_rules(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in link_trust.judge(pages).collect()}
     assert got == {0: ("x.net", "/a", "net/"), 1: ("www.example.net", "/en/x", "example.net/en/"), 2: ("example.com", "/de/1", "example.com/de/"),
                    3: ("example.com", "/de", None), 4: ("", "", None), 5: ("", "", None), 6: ("a.org", "/fr/", "org/fr/")}
+
+
+def test_hosts_without_a_rule_are_blocked_through_the_graph(spark):
+    link = '<a href="http://{}/">x</a>'.format
+    rows = [(1, "http://bad.net/", None), (2, "http://b.com/", link("bad.net")), (3, "http://c.com/", link("b.com")), (4, "http://d.com/", None),
+            (5, "http://e.org/fr/", link("f.com")), (6, "http://f.com/", link("bad.net")), (7, "http://g.com/", link("d.com"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in link_trust.judge(pages).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
+
+
+def test_half_blocked_host_without_edges_is_blocked(spark):
+    urls = [f"http://{h}.example.com/{p}/" for h, paths in (("half", "de fr"), ("fifth", "de a b c d")) for p in paths.split()]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in link_trust.judge(pages).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
+
+
+def test_spread_goes_on_to_the_limit(spark):
+    ring = spark.createDataFrame([(str(i), str((i + 1) % 12), 1.0) for i in range(12)], "source string, target string, weight double")
+    seeds = spark.createDataFrame([("trust", "0", 1.0)], "kind string, host string, seed double")
+    got = {int(r["host"]): r["score"] for r in link_trust.spread(seeds, ring, 0.85, 0.01).collect()}
+    limit = {i: 0.15 * 0.85 ** i / (1 - 0.85 ** 12) for i in range(12)}
+    assert got.keys() == limit.keys() and all(0 <= limit[i] - got[i] < 0.01 for i in limit)
