@@ -63,6 +63,28 @@ def test_merge_gives_the_suffix_order_and_common_prefixes():
             assert common[i] == same and (block[i] == block[i - 1]) == (same == depth)
 
 
+def test_many_random_segments_around_one_gram():
+    rng = np.random.default_rng(4)
+    junk = rng.integers(33, 123, (6_000, 116), dtype=np.uint8)
+    contents = [j[:58].tobytes() + b"the shared line of 24 by" + j[58:].tobytes() for j in junk]
+    # Every third segment repeats 120 bytes of one from the other shard.
+    contents[3_000::3] = [c[10:130] + bytes(rng.integers(33, 123, 20, dtype=np.uint8)) for c in contents[:1_000]]
+    seen, want = {}, []
+    for c in contents:
+        want.append([i for i in range(len(c) - 99) if c[i:i + 100] in seen])
+        seen.update((c[i:i + 100], True) for i in range(len(c) - 99))
+    got = bwt_dedup.repeated_starts(contents, 100, np.arange(len(contents)), np.zeros(len(contents), dtype=np.int64))
+    assert sum(map(len, want)) >= 21_000 and [g.tolist() for g in got] == want
+
+
+def test_shard_order_with_codes_beyond_the_length():
+    rng = np.random.default_rng(5)
+    symbols = np.append(rng.integers(1, 500_000, 400), 0).astype(np.int32)
+    symbols[:100] = np.repeat(symbols[:25], 4) + np.tile([0, 0, 1, 1], 25)
+    order = bwt_dedup.shard_order(symbols, 26)
+    assert np.all(np.diff(symbols[order]) >= 0)
+
+
 @pytest.mark.parametrize("which", ["documents", "odd_documents", "no_documents"])
 def test_jaccard_join(request, which):
     docs = request.getfixturevalue(which)
