@@ -48,6 +48,25 @@ def test_bwt_dedup_of_hot_anchors(spark, documents, monkeypatch):
     assert got(bwt_dedup.deduplicated(documents), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.bytes_removed(pairs(documents))
 
 
+def test_frequent_string_meets_in_a_bounded_group(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    junk = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage = junk(130)
+    rows = [(d, junk(150) + passage + junk(150)) for d in range(120)] + [(200, junk(60) + passage + junk(60) + passage + junk(70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, contents = [], bwt_dedup.contents
+
+    def counted(*args):
+        out = contents(*args)
+        sizes.append(out.groupBy("deal", "content").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(bwt_dedup, "HOT", 20)
+    monkeypatch.setattr(bwt_dedup, "contents", counted)
+    assert got(bwt_dedup.deduplicated(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.bytes_removed(rows)
+    assert len(sizes) == 1 and 1 < sizes[0] <= 16
+
+
 def test_merge_gives_the_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(1)
     for _ in range(20):
