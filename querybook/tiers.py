@@ -28,7 +28,7 @@ _METHOD_TIERS = f"""method_tiers AS (
 SELECT p_partkey, print_method, CAST(place AS BIGINT) AS place, quantity, cents / 100.0 AS unit_price
 FROM part JOIN method_tiers ON p_partkey = l_partkey WHERE place <= 16""")
 def tier_rows(spark, sf) -> DataFrame:
-    groups = priced_parts(spark, sf).select("p_partkey", F.explode(tr.method_groups(F.col("pricing"))).alias("g"))
+    groups = priced_parts(spark, sf).select("p_partkey", F.explode(tr.method_groups(F.col("pricing"), fixed.FIXED_TIERS)).alias("g"))
     tiers = groups.select("p_partkey", F.col("g.group.print_method").alias("print_method"),
                           F.posexplode("g.tiers").alias("i", "t"))
     return tiers.select("p_partkey", "print_method", (F.col("i") + 1).cast("bigint").alias("place"),
@@ -46,7 +46,7 @@ SELECT p_partkey, shape, CAST(min(quantity) AS VARCHAR) AS min_qty,
  coalesce(max(CASE WHEN place = {i} THEN {_FLOAT_TEXT} END), '') AS "Price{i}"''' for i in range(1, 17))}
 FROM part JOIN shape_tiers ON p_partkey = l_partkey GROUP BY p_partkey, shape""")
 def tier_pivot_16(spark, sf) -> DataFrame:
-    groups = priced_parts(spark, sf).select("p_partkey", F.explode(tr.shape_size_groups(F.col("pricing"))).alias("g"))
+    groups = priced_parts(spark, sf).select("p_partkey", F.explode(tr.shape_size_groups(F.col("pricing"), fixed.FIXED_TIERS)).alias("g"))
     cells = groups.select("p_partkey", F.col("g.group.shape").alias("shape"),
                           F.col("g.min_quantity").cast("string").alias("min_qty"),
                           tr.rendered(F.col("g.tiers"), lambda c: X.or_blank(X.float_text(c))).alias("cells"))
@@ -156,7 +156,7 @@ def variant_matrix_capped(spark, sf) -> DataFrame:
     parts = spread(table(spark, sf, "part"), "p_partkey").select(
         "p_partkey", "p_name", regions.scalar().alias("r"), nations.scalar().alias("n")).withColumn("options", options)
     slug = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"))
-    built = parts.select("p_partkey", V.build_variants(F.col("options"), tier, slug, F.lit(None).cast("string")).alias("v"))
+    built = parts.select("p_partkey", V.build_variants(F.col("options"), tier, slug, F.lit(None).cast("string"), fixed.VARIANT_CAP).alias("v"))
     field = lambda f: F.transform("v", lambda x: x[f])
     return built.select(
         "p_partkey", F.size("v").cast("bigint").alias("variants"), F.size("v").cast("bigint").alias("last_place"),
@@ -312,7 +312,7 @@ SELECT p_partkey, CASE WHEN s <> 'customcoasters' THEN CASE s WHEN 'printify' TH
  coalesce(q2, '') AS "QtyBreak2", coalesce(p2, '') AS "Price2", coalesce(q16, '') AS "QtyBreak16" FROM e""")
 def product_rows_expanded(spark, sf) -> DataFrame:
     """The same table with shape and size groups spread over rows."""
-    rows = S.to_sheet(_mixed(spark, sf), expanded=True, keep=["p_partkey"])
+    rows = S.to_sheet(_mixed(spark, sf), expanded=True, keep=["p_partkey"], tier_limit=fixed.FIXED_TIERS)
     return rows.select("p_partkey", *[F.col(f"`{c}`") for c in (
         "Variant SKU", "Variant Type", "Size", "Minimum Order Qty", "QtyBreak2", "Price2", "QtyBreak16")])
 

@@ -144,8 +144,8 @@ def labelled_line(c: Column, label: str, colon_required: bool = True) -> Column:
     return blank_to_null(strip(F.regexp_extract(c, f"(?i){label}{gap}([^\\n]+)", 1)))
 
 
-def dimension_text(c: Column) -> Column:
-    """The first ``A x B unit`` phrase of 4 to 39 characters, or null."""
+def dimension_text(c: Column, longest: int | None = None) -> Column:
+    """The first ``A x B unit`` phrase of 4 characters and more (``longest`` at most, where given), or null."""
     patterns = [
         r"(?i)(\d+\.?\d*\s*(?:x|×)\s*\d+\.?\d*\s*(?:in|inch|cm|mm|ft))",
         r"(?i)(\d+\s*(?:in|inch)\s*(?:x|×)\s*\d+\s*(?:in|inch))",
@@ -153,7 +153,7 @@ def dimension_text(c: Column) -> Column:
 
     def fitting(text: Column, pattern: str) -> Column:
         return let(strip(F.regexp_extract(text, pattern, 1)),
-                   lambda hit: F.when((F.length(hit) > 3) & (F.length(hit) < 40), hit))
+                   lambda hit: F.when((F.length(hit) > 3) & ((F.length(hit) <= longest) if longest else F.lit(True)), hit))
 
     return let(c, lambda text: F.coalesce(*[fitting(text, p) for p in patterns]))
 

@@ -164,17 +164,25 @@ _GROUP = ("array<struct<kind:string,size:string,min_quantity:bigint,"
           "tiers:array<struct<q:string,p:string>>>>")
 
 
-def _row_groups(df: DataFrame, expand: str) -> Column:
+def _rows_of(groups: Column) -> Column:
+    """A row for every ``FIXED_TIERS`` tiers of a group, at least one."""
+    step = fixed.FIXED_TIERS
+    return F.flatten(F.transform(groups, lambda g: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size(g["tiers"]) - 1) / step), F.lit(0)).cast("int")),
+        lambda k: g.withField("tiers", F.slice(g["tiers"], k * step + 1, step)))))
+
+
+def _row_groups(df: DataFrame, expand: str, tier_limit: int | None) -> Column:
     pricing = tr.pricing_of(df)
     shown = lambda ts: tr.rendered(ts, lambda c: X.or_blank(X.float_text(c)),
                                    lambda c: X.or_blank(c.cast("string")))
     if expand == "shape_size":
-        groups = F.transform(tr.shape_size_groups(pricing), lambda g: F.struct(
+        groups = F.transform(tr.shape_size_groups(pricing, tier_limit), lambda g: F.struct(
             g["group"]["shape"].alias("kind"), g["group"]["size"].alias("size"),
             g["min_quantity"].alias("min_quantity"), shown(g["tiers"]).alias("tiers")))
         kind, size = "Default", ""
     else:
-        groups = F.transform(tr.method_groups(pricing), lambda g: F.struct(
+        groups = F.transform(tr.method_groups(pricing, tier_limit), lambda g: F.struct(
             g["group"]["print_method"].alias("kind"), F.lit(None).cast("string").alias("size"),
             g["min_quantity"].alias("min_quantity"), shown(g["tiers"]).alias("tiers")))
         kind, size = "Standard", None
@@ -182,7 +190,7 @@ def _row_groups(df: DataFrame, expand: str) -> Column:
         F.lit(kind).alias("kind"), F.lit(size).cast("string").alias("size"),
         F.lit(None).cast("bigint").alias("min_quantity"),
         F.array().cast("array<struct<q:string,p:string>>").alias("tiers")))
-    return F.when(F.size(groups) > 0, groups.cast(_GROUP)).otherwise(bare.cast(_GROUP))
+    return F.when(F.size(groups) > 0, _rows_of(groups.cast(_GROUP))).otherwise(bare.cast(_GROUP))
 
 
 def _by_source(sources: list[str], source: Column, pick: Callable[[str], Column], default: Column) -> Column:
@@ -193,9 +201,12 @@ def _by_source(sources: list[str], source: Column, pick: Callable[[str], Column]
 
 
 def to_sheet(products: DataFrame, expanded: bool = True, sources: list[str] | None = None,
-             house_label: str = "Catalog SKU", keep: list[str] | None = None) -> DataFrame:
+             house_label: str = "Catalog SKU", keep: list[str] | None = None, tier_limit: int | None = None) -> DataFrame:
     """Products as rows of the fixed sheet.
 
+    A group with more tiers than the sheet has columns goes on in further rows with the
+    same Variant SKU, unless ``tier_limit`` holds it at so many.
+
     One pass: each header is a CASE over the sources it has a builder for, so a
     mixed table is scanned once, not once per source. Naming ``sources`` narrows
     the CASE at plan time. Text conversions use ``try_`` forms; a value that cannot
@@ -221,7 +232,7 @@ def to_sheet(products: DataFrame, expanded: bool = True, sources: list[str] | No
         return products.select(*carried, *[c.alias(h) for h, c in base.items()])
 
     none = F.array(F.lit(None).cast(_GROUP[6:-1])).cast(_GROUP)
-    groups = _by_source(grouping, source, lambda s: _row_groups(products, _GROUPS[s]), none)
+    groups = _by_source(grouping, source, lambda s: _row_groups(products, _GROUPS[s], tier_limit), none)
     wide = products.select(*carried, source.alias("_source"), row.col("product_url").alias("_url"),
                            *[c.alias(h) for h, c in base.items()], F.explode(groups).alias("_g"))
     g = F.col("_g")

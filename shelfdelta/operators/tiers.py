@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfdelta.functions import fixed, keys
+from shelfdelta.functions import keys
 from shelfdelta.functions.binding import let
 from shelfdelta.functions.text import blank_to_null, dashed, or_blank, price_text, quantity_text
 from shelfdelta.functions.urls import slug
@@ -108,15 +108,15 @@ def grouped(entries: Column, *fields: str, limit: int | None = None) -> Column:
     return let(entries, split)
 
 
-def shape_size_groups(pricing: Column) -> Column:
+def shape_size_groups(pricing: Column, limit: int | None = None) -> Column:
     """Groups on (shape, size); a missing shape is ``Default``, a missing size ''."""
     entries = F.transform(pricing, lambda e: F.struct(
         F.coalesce(e["shape"], F.lit("Default")).alias("shape"), or_blank(e["size"]).alias("size"),
         e["quantity"].alias("quantity"), e["unit_price"].alias("unit_price")))
-    return grouped(entries, "shape", "size", limit=fixed.FIXED_TIERS)
+    return grouped(entries, "shape", "size", limit=limit)
 
 
-def method_groups(pricing: Column, limit: int | None = fixed.FIXED_TIERS) -> Column:
+def method_groups(pricing: Column, limit: int | None = None) -> Column:
     """Groups on print method; a missing or empty one is ``Standard``."""
     entries = F.transform(pricing, lambda e: F.struct(
         F.coalesce(blank_to_null(e["print_method"]), F.lit("Standard")).alias("print_method"),

@@ -14,13 +14,23 @@ _COMBO = (f"struct<print_method:{AXIS},napkin:{AXIS},imprint:{AXIS},ply_or_size:
           "total:double,axes:int>")
 
 
-def axis_combinations(options: Column, head: Column, cap: int = fixed.VARIANT_CAP) -> Column:
-    """The product of the axes present, in axis order, held at ``cap``.
-
-    ``options`` is ``map<group, array<option>>``. As soon as the list reaches the
-    cap, the remaining axes are left out. Prefixes that cannot contribute to the
-    first ``cap`` rows are cut before they are multiplied. Each entry carries the
-    SKU text that starts with ``head`` and the sum of the price modifiers.
+def combination_count(options: Column) -> Column:
+    """How many combinations the axes present have, whatever a cap leaves of them."""
+    sizes = [F.size(tr.or_empty(F.try_element_at(options, F.lit(a)), f"array<{OPTION}>")) for a in fixed.VARIANT_AXES]
+    out = F.lit(1).cast("bigint")
+    for size in sizes:
+        out = out * F.greatest(size, F.lit(1))
+    return out
+
+
+def axis_combinations(options: Column, head: Column, cap: int | None = None) -> Column:
+    """The product of the axes present, in axis order, whole or held at ``cap``.
+
+    ``options`` is ``map<group, array<option>>``. As soon as the list reaches a
+    cap, the remaining axes are left out; ``combination_count`` tells how many
+    there are. Prefixes that cannot contribute to the first ``cap`` rows are cut
+    before they are multiplied. Each entry carries the SKU text that starts with
+    ``head`` and the sum of the price modifiers.
     """
     none = F.lit(None).cast(AXIS)
 
@@ -37,9 +47,10 @@ def axis_combinations(options: Column, head: Column, cap: int = fixed.VARIANT_CA
 
     def widen(axis: str, combos: Column) -> Column:
         def multiply(b: Column) -> Column:
-            needed = F.ceil(F.lit(cap) / F.size(b["p"])).cast("int")
-            product = F.flatten(F.transform(F.slice(b["c"], F.lit(1), needed), lambda c: F.transform(
-                b["p"], lambda p: joined(axis, c, p))))
+            prefixes = b["c"] if cap is None else F.slice(b["c"], F.lit(1), F.ceil(F.lit(cap) / F.size(b["p"])).cast("int"))
+            product = F.flatten(F.transform(prefixes, lambda c: F.transform(b["p"], lambda p: joined(axis, c, p))))
+            if cap is None:
+                return F.when(F.size(b["p"]) == 0, b["c"]).otherwise(product.cast(f"array<{_COMBO}>"))
             full = (F.size(b["p"]) == 0) | (F.size(b["c"]) >= cap)
             return F.when(full, b["c"]).otherwise(F.slice(product, 1, cap).cast(f"array<{_COMBO}>"))
         return let(F.struct(combos.alias("c"), picks(axis).alias("p")), multiply)
@@ -52,8 +63,8 @@ def axis_combinations(options: Column, head: Column, cap: int = fixed.VARIANT_CA
 
 
 def build_variants(options: Column, base_tiers: Column, slug: Column, tag: Column,
-                   cap: int = fixed.VARIANT_CAP) -> Column:
-    """``array<variant>`` for a product; one bare variant where it has tiers but no axes."""
+                   cap: int | None = fixed.VARIANT_CAP) -> Column:
+    """``array<variant>`` for a product, all of them with ``cap=None``; one bare variant where it has tiers but no axes."""
     head = F.coalesce(blank_to_null(slug), blank_to_null(tag), F.lit("product"))
 
     def build(tiers: Column) -> Column:

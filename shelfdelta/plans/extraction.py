@@ -77,8 +77,8 @@ def _outcome(rows: DataFrame, problem: Column, product: Column, unreadable: Colu
 
 
 @extraction("customnapkinsnow", "Option-step pages", "https://www.customnapkinsnow.com", ["html", "variants"])
-def option_step_pages(pages: DataFrame, image_host: str = "static.customnapkinsnow.com") -> DataFrame:
-    """Pages with step headings: option axes, a price table, a variant matrix."""
+def option_step_pages(pages: DataFrame, image_host: str = "static.customnapkinsnow.com", cap: int | None = None) -> DataFrame:
+    """Pages with step headings: option axes, a price table, a variant matrix (whole unless ``cap`` is given)."""
     page = F.col("_page")
     # Each intermediate is its own projection, so it is computed once per page.
     rows = pages.select(
@@ -93,7 +93,7 @@ def option_step_pages(pages: DataFrame, image_host: str = "static.customnapkinsn
     rows = rows.withColumn("_base", tr.flagged(F.col("_base")))
     last_segment = X.or_blank(F.try_element_at(U.segments(F.col("url")), F.lit(-1)))
     rows = rows.withColumn("_variants", V.build_variants(
-        F.col("_options"), F.col("_base"), last_segment, F.col("_sku.database_tag")))
+        F.col("_options"), F.col("_base"), last_segment, F.col("_sku.database_tag"), cap))
     options, base, variants = F.col("_options"), F.col("_base"), F.col("_variants")
     colours = V.colours_of(options)
     labels = F.filter(F.transform(colours, lambda c: c["label"]), lambda x: x != "")

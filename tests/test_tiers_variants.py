@@ -4,7 +4,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from shelfdelta.functions import fixed
+from shelfdelta.functions import fixed, text as X
 from shelfdelta.operators import tiers as tr, variants as V
 from shelfdelta.schemas import OPTION, PRODUCT_DOCUMENT, TIER
 
@@ -103,3 +103,32 @@ def test_groups_keep_first_seen_order(spark):
     groups = df.select(tr.shape_size_groups(F.col("p")).alias("g")).first().g
     assert [(g.group.shape, g.group.size) for g in groups] == [("B", "2"), ("B", "1"), ("A", "2"), ("A", "1")]
     assert all([t.quantity for t in g.tiers] == [10, 20, 30] and g.min_quantity == 10 for g in groups)
+
+
+def test_variants_and_tiers_are_whole_unless_limited(spark):
+    df = options(spark, {"print_method": 5, "napkin": 25, "imprint": 5})
+    whole, count = df.select(V.axis_combinations(F.col("o"), F.lit("a")), V.combination_count(F.col("o"))).first()
+    assert len({c.sku for c in whole}) == len(whole) == count == 625
+    assert len(df.select(V.build_variants(F.col("o"), F.col("t"), F.lit("a"), F.lit("t"), None)).first()[0]) == 625
+    price = [(None, None, "m", q, q / 10) for q in range(1, 36)]
+    docs = spark.createDataFrame([(price,)], f"pricing {tr.PRICING}")
+    for groups in (tr.method_groups, tr.shape_size_groups):
+        assert [len(docs.select(groups(F.col("pricing"), *n)).first()[0][0].tiers) for n in ((), (16,))] == [35, 16]
+
+
+def test_sheet_keeps_tiers_beyond_its_columns(spark):
+    from shelfdelta.operators import sheet as S
+
+    price = [(None, None, "m", q, q / 10) for q in range(1, 36)]
+    for name in S._GROUPS:
+        docs = spark.createDataFrame([(name, "http://u", price)], f"source string, product_url string, pricing {tr.PRICING}")
+        rows = S.to_sheet(docs).collect()
+        held = [r[f"QtyBreak{i}"] for r in rows for i in range(1, 17)]
+        assert len(rows) == 3 and len({r["Variant SKU"] for r in rows}) == 1
+        assert sorted(int(q) for q in held if q) == list(range(1, 36))
+        assert S.to_sheet(docs, tier_limit=16).count() == 1
+
+
+def test_long_dimensions_are_kept(spark):
+    size = "1" * 25 + " x " + "2" * 25 + " in"
+    assert spark.range(1).select(X.dimension_text(F.lit(size)), X.dimension_text(F.lit(size), 39)).first()[:] == (size, None)
