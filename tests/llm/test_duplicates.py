@@ -96,6 +96,14 @@ def test_many_random_segments_around_one_gram():
     assert sum(map(len, want)) >= 21_000 and [g.tolist() for g in got] == want
 
 
+def test_repeated_intervals_come_from_common_prefixes(monkeypatch):
+    merge = bwt_dedup.merge
+    monkeypatch.setattr(bwt_dedup, "merge", lambda *a: (*merge(*a)[:2], None))
+    text = bytes(range(97, 123)) * 5
+    got = bwt_dedup.repeated_starts([text[:110], b"-" + text[:110]], 100, np.array([1, 2]), np.zeros(2, dtype=np.int64))
+    assert [g.tolist() for g in got] == [[], list(range(1, 12))]
+
+
 def test_shard_order_with_codes_beyond_the_length():
     rng = np.random.default_rng(5)
     symbols = np.append(rng.integers(1, 500_000, 400), 0).astype(np.int32)
