@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfdelta.llm import (binary_packing, bwt_dedup, ecoc_langid, fingerprints, jaccard_join, link_trust, prefix_bpe, quality_table,
-                            warc_store, window_doubling)
+from shelfdelta.llm import (binary_packing, bwt_dedup, ecoc_langid, filter_audit, fingerprints, jaccard_join, link_trust, prefix_bpe, quality_table,
+                            source_divergence, warc_store, window_doubling)
 from shelfdelta.session import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,67 @@ def op9_link_trust(spark: SparkSession, sf: str) -> DataFrame:
     FROM w LEFT JOIN kept USING (doc_id)""")
 def op10_window_doubling(spark: SparkSession, sf: str) -> DataFrame:
     return window_doubling.deduplicated(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query(r"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+         e AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+         w AS (SELECT part, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, doc_id > first_id AS again FROM d JOIN e USING (t)),
+         good AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+                  FROM labels GROUP BY doc_id),
+         m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                      CASE WHEN len(w) < 50 THEN 1 ELSE 0 END
+                      + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+                      + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 4 ELSE 0 END
+                      + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                      + CASE WHEN again THEN 16 ELSE 0 END AS mask
+               FROM w LEFT JOIN good USING (doc_id)),
+         c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+         f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+         o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+               WHERE length(replace(replace(replace(replace(replace('ABCDE', a.x, ''), b.x, ''), c.x, ''), d.x, ''), e.x, '')) = 0),
+         s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter,
+                      1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+                      list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i::INT, 1)) - 65))) AS earlier
+               FROM o, (SELECT unnest(range(1, 6)) AS step)),
+         r AS (SELECT part, filter_order, step::INT AS step, letter,
+                      coalesce(sum(n) FILTER (mask & (coalesce(earlier, 0)::INT | bit) = 0), 0)::BIGINT AS kept,
+                      coalesce(sum(n) FILTER (mask & coalesce(earlier, 0)::INT = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+                      coalesce(sum(n) FILTER (mask & coalesce(earlier, 0)::INT <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+                      coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                      coalesce(sum(good) FILTER (mask & coalesce(earlier, 0)::INT = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+                      coalesce(sum(toxic) FILTER (mask & coalesce(earlier, 0)::INT = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+               FROM c, s GROUP BY part, filter_order, step, letter)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+    FROM r""")
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query(r"""
+    WITH d AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+         t AS (SELECT row_id, lang, source, unnest(w) AS term FROM d),
+         k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row_id) >= 3),
+         l AS (SELECT lang, count(*) AS v, sum(n) AS n_lang FROM k GROUP BY lang),
+         g AS (SELECT DISTINCT lang, source FROM d),
+         c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+         s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+         p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                      1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(s.total, 0) + l.v) AS p,
+                      1 + 1000000000::HUGEINT * (k.n + 1) // (l.n_lang + l.v) AS q
+               FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN s USING (lang, source)),
+         f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+               FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+         r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+               FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+               LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+               UNION ALL
+               SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value::BIGINT AS value,
+           (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+    FROM r QUALIFY part = 'pair' OR rank <= 200""")
+def op13_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf, "documents"))
