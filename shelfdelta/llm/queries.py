@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfdelta.llm import (binary_packing, bwt_dedup, ecoc_langid, filter_audit, fingerprints, jaccard_join, link_trust, prefix_bpe, quality_table,
-                            source_divergence, warc_store, window_doubling)
+from shelfdelta.llm import (binary_packing, bwt_dedup, ecoc_langid, filter_audit, fingerprints, jaccard_join, link_trust, prefix_bpe, quality_classifier,
+                            quality_table, source_divergence, warc_store, window_doubling)
 from shelfdelta.session import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,6 +144,15 @@ def op10_window_doubling(spark: SparkSession, sf: str) -> DataFrame:
     return window_doubling.deduplicated(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query()
+def op11_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
+    weights = quality_classifier.train(docs, labels, ~held_out)
+    return quality_classifier.predict(docs, weights, name="score").select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query(r"""
     WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
          e AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
