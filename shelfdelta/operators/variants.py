@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from shelfdelta.functions import fixed, keys
 from shelfdelta.functions.binding import let
@@ -93,6 +94,16 @@ def colours_of(options: Column) -> Column:
     return F.concat(part("napkin"), part("imprint")).cast(f"array<{COLOUR}>")
 
 
+def colours_of(df: DataFrame) -> Column:
+    """The ``colors`` list with exactly the fields exports show; an empty list where the table has none."""
+    kind = {f.name: f.dataType for f in df.schema.fields}.get("colors")
+    if kind is None:
+        return F.array().cast(f"array<{COLOUR}>")
+    have, shape = kind.elementType.names, StructType.fromDDL(COLOUR.removeprefix("struct<").removesuffix(">"))
+    pick = lambda c, x: (c[x.name] if x.name in have else F.lit(None)).cast(x.dataType)
+    return tr.or_empty(F.transform("colors", lambda c: F.named_struct(*[e for x in shape for e in (F.lit(x.name), pick(c, x))])), f"array<{COLOUR}>")
+
+
 def colour_labels(colours: Column, group: str) -> Column:
     return F.transform(F.filter(colours, lambda c: c["group"] == group), lambda c: c["label"])
 
@@ -182,7 +193,7 @@ def expand_variants(products: DataFrame, max_tiers: int, keep: list[str] | None
     """
     f = _Fields(products)
     base = f("base_tiers", f"array<{TIER}>")
-    colours = tr.or_empty(f("colors", f"array<{COLOUR}>"), f"array<{COLOUR}>")
+    colours = colours_of(products)
     options = f("options", "map<string,array<struct<label:string,option_value_id:string>>>")
     blob = F.to_json(F.struct(
         colours.alias("colors"),
