@@ -195,15 +195,13 @@ def expand_variants(products: DataFrame, max_tiers: int, keep: list[str] | None
     base = f("base_tiers", f"array<{TIER}>")
     colours = colours_of(products)
     options = f("options", "map<string,array<struct<label:string,option_value_id:string>>>")
-    blob = F.to_json(F.struct(
-        colours.alias("colors"),
-        F.coalesce(options, F.create_map().cast("map<string,array<struct<label:string,option_value_id:string>>>"))
-         .alias("options"),
-        tr.or_empty(base, f"array<{TIER}>").alias("base_tiers"),
-        tr.or_empty(f("gallery_images", "array<string>"), "array<string>").alias("gallery_images"),
-        f("schema_version", "int").alias("schema_version"),
-        f("discovery_source").alias("discovery_source"), f("lastmod").alias("lastmod")),
-        {"ignoreNullFields": "false"})
+    no_options = F.create_map().cast("map<string,array<struct<label:string,option_value_id:string>>>")
+    parts = {
+        "colors": colours, "options": F.coalesce(options, no_options), "base_tiers": tr.or_empty(base, f"array<{TIER}>"),
+        "gallery_images": tr.or_empty(f("gallery_images", "array<string>"), "array<string>"),
+        "schema_version": f("schema_version", "int"), "discovery_source": f("discovery_source"), "lastmod": f("lastmod")}
+    # Names are given outright: aliases of lists that are still unresolved get lost here.
+    blob = F.to_json(F.named_struct(*[e for n, c in parts.items() for e in (F.lit(n), c)]), {"ignoreNullFields": "false"})
     rows = with_variants(products)
     cells = product_cells(f, colours, tr.has_pricing(F.col("_variants"), base))
     wide = rows.select(*(keep or []), base.alias("_base"), blob.alias("Product JSON"),
