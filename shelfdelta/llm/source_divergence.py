@@ -1,7 +1,7 @@
 """Source divergence audit: how the terms of each source differ from its language's others.
 
-Texts are read once. Each task counts its terms and writes one row per language, source and
-term: a 64-bit digest, the term and its counts. From there on only digests are shuffled. The
+Texts are read once. Each task counts its terms and writes one row per language and term: a
+64-bit digest, the term and its counts by source. From there on only digests are shuffled. The
 least and the greatest string of each digest show whether several terms share it; such a digest
 is split by numbering its terms, so results are exact. Text is joined back for kept outputs alone.
 
@@ -24,18 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfdelta.llm.common import arrow_schema, slices, staged, text_or_empty
 
 SCALE = 1_000_000_000
 #: Terms a task holds before it writes them, terms of a slice (about), sources of a tile.
-HELD, SLICE, TILE = 300_000, 16_384, 128
+HELD, SLICE, TILE = 600_000, 16_384, 128
 #: Split terms that may be broadcast; more are joined by a shuffle.
 MOST_SPLIT = 100_000
 _LETTERS = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
-_TERMS = "lang string, source string, digest long, term string, n long, df long"
-_PAIRS = "lang string, a int, b int, value long, seen long"
+_ONE = 1 << 40  # a document in a packed count: occurrences below, documents above
+_AT = "array<struct<source:string,n:bigint,df:bigint>>"
+_TERMS = f"lang string, digest long, term string, at {_AT}"
+_PAIRS = "lang string, source string, item string, value long, seen long"
 
 
 def terms_of(text: str, piece: int = 1 << 20) -> Counter:
@@ -49,44 +52,49 @@ def terms_of(text: str, piece: int = 1 << 20) -> Counter:
     return out
 
 
-def digest_of(term: bytes, bits: int) -> int:
-    """The first ``bits`` bits of the term's BLAKE2b, as a signed number."""
-    return int.from_bytes(hashlib.blake2b(term, digest_size=8).digest(), "big", signed=True) >> (64 - bits)
+def digests(terms: list[bytes], bits: int) -> np.ndarray:
+    """The first ``bits`` bits of each term's BLAKE2b, as signed numbers."""
+    joined = b"".join([hashlib.blake2b(t, digest_size=8).digest() for t in terms])
+    return np.frombuffer(joined, dtype=">i8").astype(np.int64) >> (64 - bits)
 
 
 def counted(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """(lang, source, digest, term, n, df): counts of terms in runs of rows; n occurrences in df rows."""
+    """(lang, digest, term, at) of runs of rows, ``at`` the counts of each source: n occurrences in df rows."""
     out = arrow_schema(_TERMS)
+    entry = out.field("at").type.value_type
 
     def flushed(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), group in held.items():
-            keys = list(group)
-            for at in range(0, len(keys), 50_000):
-                part = keys[at:at + 50_000]
-                n, df = np.array([group[t] for t in part], dtype=np.int64).reshape(-1, 2).T
+        for lang, sources in held.items():
+            place: dict[bytes, int] = {}
+            which = [np.fromiter((place.setdefault(t, len(place)) for t in group), dtype=np.int64, count=len(group)) for group in sources.values()]
+            packed = np.concatenate([np.fromiter(group.values(), dtype=np.int64, count=len(group)) for group in sources.values()])
+            owner = np.repeat(np.arange(len(sources)), [len(g) for g in sources.values()])
+            term = np.concatenate(which)
+            order = np.argsort(term, kind="stable")
+            ends, names, terms = np.append(0, np.cumsum(np.bincount(term, minlength=len(place)))), pa.array(list(sources), pa.string()), list(place)
+            for at in range(0, len(terms), 50_000):
+                part = terms[at:at + 50_000]
+                mine = order[ends[at]:ends[at + len(part)]]
+                rows = pa.StructArray.from_arrays([names.take(pa.array(owner[mine])), pa.array(packed[mine] & (_ONE - 1)), pa.array(packed[mine] >> 40)],
+                                                  fields=list(entry))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()),
-                    pa.array([digest_of(t, bits) for t in part], pa.int64()),
-                    pa.array([t.decode("utf-8", "surrogatepass") for t in part], pa.string()), pa.array(n), pa.array(df)], schema=out)
+                    pa.array([lang] * len(part), pa.string()), pa.array(digests(part, bits)),
+                    pa.array([t.decode("utf-8", "surrogatepass") for t in part], pa.string()),
+                    pa.ListArray.from_arrays(pa.array((ends[at:at + len(part) + 1] - ends[at]).astype(np.int32)), rows, type=out.field("at").type)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+        held, size, rows = {}, 0, 0
         for batch in batches:
             for part in slices(batch):
                 for lang, source, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    group = held.setdefault((lang, source), {})
-                    size -= len(group)
+                    group = held.setdefault(lang, {}).setdefault(source, {})
+                    size, have = size - len(group), group.get
                     for term, n in terms_of(text).items():
-                        have = group.get(term)
-                        if have is None:
-                            group[term] = [n, 1]
-                        else:
-                            have[0] += n
-                            have[1] += 1
-                    size += len(group)
-                    if size > HELD:
+                        group[term] = have(term, 0) + n + _ONE
+                    size, rows = size + len(group), rows + 1
+                    if size > HELD or rows == 1 << 20:  # so many rows fit the packed count
                         yield from flushed(held)
-                        held, size = {}, 0
+                        held, size, rows = {}, 0, 0
         yield from flushed(held)
 
     return docs.select("lang", "source", "text").mapInArrow(run, _TERMS)
@@ -96,17 +104,29 @@ def split(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Terms by (digest, sub) without their text, and the text of each (digest, sub)."""
     known = staged(terms.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "divergence-terms")
     single = known.where("low = high").select("digest", F.lit(0).alias("sub"), F.col("low").alias("term"))
-    plain = terms.select("lang", "source", "digest", F.lit(0).alias("sub"), "n", "df")
+    plain = terms.select("lang", "digest", F.lit(0).alias("sub"), "at")
     clashing = known.where("low < high").select("digest")
     if clashing.isEmpty():
         return plain, single
     several = terms.join(clashing, "digest").groupBy("digest", "term").agg(F.lit(1).alias("one"))
     numbered = staged(several.select("digest", "term", F.row_number().over(Window.partitionBy("digest").orderBy("term")).alias("sub")), "divergence-split")
     handed = F.broadcast(numbered) if numbered.count() <= MOST_SPLIT else numbered
-    keyed = terms.join(handed, ["digest", "term"], "left").select("lang", "source", "digest", F.coalesce("sub", F.lit(0)).alias("sub"), "n", "df")
+    keyed = terms.join(handed, ["digest", "term"], "left").select("lang", "digest", F.coalesce("sub", F.lit(0)).alias("sub"), "at")
     return keyed, single.unionByName(numbered)
 
 
+def kept_terms(terms: DataFrame, least_documents: int) -> DataFrame:
+    """(lang, digest, sub, n_lang, at): the terms of enough documents with each source's count.
+
+    One shuffle by term; a term has one row per run of rows that has it, and these are added up as they come.
+    """
+    met = terms.repartition("lang", "digest", "sub").select("lang", "digest", "sub", F.inline("at"))
+    by_source = met.groupBy("lang", "digest", "sub", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return by_source.groupBy("lang", "digest", "sub").agg(
+        F.sum("n").alias("n_lang"), F.sum("df").alias("df"), F.collect_list(F.struct("source", "n")).alias("at")).where(
+        F.col("df") >= least_documents).drop("df")
+
+
 def share(n: Column, total: Column, v: Column) -> Column:
     """1 + floor(10**9 * (n + 1) / (total + v)) in exact arithmetic; null for v = 0."""
     whole = F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(19,0)")
@@ -117,67 +137,70 @@ def _divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def pair_sums(entries: pa.Table, zeros: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sources, which of them are in the first tile, and the sums of f over the terms of ``entries``.
+def exact_share(n: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """1 + floor(10**9 * (n + 1) / whole); in Python numbers where the product exceeds 64 bits."""
+    if n.max(initial=0) < 2**63 // SCALE - 1:
+        return 1 + SCALE * (n + 1) // whole
+    return np.array([1 + SCALE * (int(a) + 1) // int(b) for a, b in zip(n, whole, strict=True)], dtype=np.int64)
+
 
-    ``entries`` has per term the list ``at`` of (sid, p); ``zeros`` has the p of an absent term for
-    every source of both tiles. Entry [i, j] of the sums has p of source i and q of source j.
+def pair_sums(entries: pa.Table, sources: pa.Table) -> np.ndarray:
+    """Entry [i, j]: the sum of f over the terms of ``entries``, p of source i against q of source j.
+
+    ``entries`` has per term the list ``at`` of (source, n); ``sources`` has each source's name, its
+    count ``whole`` of kept terms plus V, and the share ``p0`` of a term it lacks.
     """
-    sid, first = zeros["sid"].to_numpy(), zeros["first"].to_numpy(zero_copy_only=False)
-    order = np.argsort(sid)
-    sid, base, first = sid[order], zeros["p0"].to_numpy()[order], first[order]
-    sums = np.zeros((len(sid), len(sid)), dtype=np.int64)
+    names, whole, base = sources["source"].combine_chunks(), sources["whole"].to_numpy(), sources["p0"].to_numpy()
+    sums = np.zeros((len(base), len(base)), dtype=np.int64)
     for batch in entries.select(["at"]).to_batches(max_chunksize=4096):
         lists = batch.column(0)
         flat = lists.flatten()
         p = np.tile(base, (len(lists), 1))
         row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        p[row, np.searchsorted(sid, flat.field("sid").to_numpy())] = flat.field("p").to_numpy()
-        for i in range(len(sid)):
+        at = pc.index_in(flat.field("source"), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+        p[row, at] = exact_share(flat.field("n").to_numpy(), whole[at])
+        for i in range(len(base)):
             gap = p[:, i:i + 1] - p
             sums[i] += (gap * gap // p).sum(axis=0)
-    return sid, first, sums
+    return sums
 
 
-def _pair_rows(key: tuple, entries: pa.Table, zeros: pa.Table) -> pa.Table:
+def _pair_rows(key: tuple, entries: pa.Table, sources: pa.Table) -> pa.Table:
     lang, low, high = key[0].as_py(), key[1].as_py(), key[2].as_py()
-    sid, first, sums = pair_sums(entries, zeros)
+    sums, tile, names = pair_sums(entries, sources), sources["tile"].to_numpy(), sources["source"].combine_chunks()
     # Inside a tile all pairs; between two tiles those that have one source in each.
-    wanted = ~np.eye(len(sid), dtype=bool) if low == high else first[:, None] != first[None, :]
+    wanted = ~np.eye(len(tile), dtype=bool) if low == high else tile[:, None] != tile[None, :]
     a, b = np.nonzero(wanted & (entries.num_rows > 0))
     return pa.Table.from_arrays([
-        pa.array([lang] * len(a), pa.string()), pa.array(sid[a], pa.int32()), pa.array(sid[b], pa.int32()), pa.array(sums[a, b]),
-        pa.array(np.full(len(a), entries.num_rows, dtype=np.int64))], names=["lang", "a", "b", "value", "seen"])
+        pa.array([lang] * len(a), pa.string()), names.take(pa.array(a)), names.take(pa.array(b)), pa.array(sums[a, b]),
+        pa.array(np.full(len(a), entries.num_rows, dtype=np.int64))], names=["lang", "source", "item", "value", "seen"])
 
 
-def pairs(vectors: DataFrame, groups: DataFrame) -> DataFrame:
+def pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value): every source against each other one of its language.
 
-    ``vectors`` has per kept term (lang, digest, sub, at), ``at`` its (sid, p) of the sources that have
-    it; ``groups`` has lang, source, sid, p0, V, n_sources, n_slices. Terms that neither tile has are not sent:
-    they all add the same f of the two absent shares.
+    ``kept`` is that of ``kept_terms``; ``groups`` has lang, source, whole, p0, v, n_tiles, n_slices. Sources
+    fall into tiles by hash, about ``TILE`` each, terms into slices. Terms that neither tile has are not sent: they
+    all add the same f of the two absent shares.
     """
-    langs = groups.groupBy("lang").agg(F.first("n_slices").alias("n_slices"), F.first("n_sources").alias("n_sources"))
-    tiles = F.expr(f"cast((n_sources - 1) div {TILE} as int)")
-    both = F.expr(f"""array_distinct(flatten(transform(array_distinct(transform(at, x -> x.sid div {TILE})),
-        t -> transform(sequence(0L, tiles), u -> struct(least(t, u) as low, greatest(t, u) as high)))))""")
-    sent = vectors.join(langs, "lang").withColumn("tiles", tiles.cast("long")).withColumn("tile", F.explode(both)).select(
-        "lang", F.col("tile.low").cast("int").alias("low"), F.col("tile.high").cast("int").alias("high"),
-        F.pmod(F.xxhash64("digest", "sub"), F.col("n_slices")).alias("slice"),
-        F.expr(f"filter(at, x -> x.sid div {TILE} in (tile.low, tile.high))").alias("at"))
-    mine = F.col("sid") / TILE
-    zeros = groups.where("V > 0").withColumn("tiles", tiles).withColumn("mine", mine.cast("int")).select(
-        "lang", "sid", "p0", "mine", "n_slices", F.explode(F.sequence(F.lit(0), "tiles")).alias("other")).select(
-        "lang", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "sid", "p0",
-        (F.col("mine") <= F.col("other")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slices") - 1)).alias("slice"))
+    langs = groups.groupBy("lang").agg(F.first("n_slices").alias("n_slices"), F.first("n_tiles").alias("n_tiles"))
+    both = F.expr("""array_distinct(flatten(transform(array_distinct(transform(at, x -> pmod(xxhash64(x.source), n_tiles))),
+        t -> transform(sequence(0L, n_tiles - 1), u -> struct(least(t, u) as low, greatest(t, u) as high)))))""")
+    sent = kept.join(langs, "lang").withColumn("tile", F.explode(both)).select(
+        "lang", F.col("tile.low").alias("low"), F.col("tile.high").alias("high"), F.pmod(F.xxhash64("digest", "sub"), F.col("n_slices")).alias("slice"),
+        F.expr("CASE WHEN n_tiles = 1 THEN at ELSE filter(at, x -> pmod(xxhash64(x.source), n_tiles) in (tile.low, tile.high)) END").alias("at"))
+    sources = groups.where("v > 0").withColumn("tile", F.expr("pmod(xxhash64(source), n_tiles)")).withColumn(
+        "other", F.explode(F.expr("sequence(0L, n_tiles - 1)"))).select(
+        "lang", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "source", "whole", "p0", "tile",
+        F.explode(F.expr("sequence(0L, n_slices - 1)")).alias("slice"))
     keys = ["lang", "low", "high", "slice"]
-    found = sent.groupBy(*keys).cogroup(zeros.groupBy(*keys)).applyInArrow(_pair_rows, _PAIRS).groupBy("lang", "a", "b").agg(
+    found = sent.groupBy(*keys).cogroup(sources.groupBy(*keys)).applyInArrow(_pair_rows, _PAIRS).groupBy("lang", "source", "item").agg(
         F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     # The contract asks for every pair of sources of a language: this many rows are the result.
-    one = groups.select("lang", "source", F.col("sid").alias("a"), F.col("p0").alias("pa"), "V")
-    two = groups.select("lang", F.col("source").alias("item"), F.col("sid").alias("b"), F.col("p0").alias("pb"))
-    rows = one.join(two, "lang").where("a <> b").join(found, ["lang", "a", "b"], "left")
-    unseen = (F.col("V") - F.coalesce("seen", F.lit(0))) * F.coalesce(_divergence(F.col("pa"), F.col("pb")), F.lit(0))
+    one = groups.select("lang", "source", F.col("p0").alias("pa"), "v")
+    two = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("pb"))
+    rows = one.join(two, "lang").where("source <> item").join(found, ["lang", "source", "item"], "left")
+    unseen = (F.col("v") - F.coalesce("seen", F.lit(0))) * F.coalesce(_divergence(F.col("pa"), F.col("pb")), F.lit(0))
     return rows.select("lang", "source", "item", (F.coalesce("value", F.lit(0)) + unseen).alias("value"))
 
 
@@ -201,24 +224,19 @@ def divergence(docs: DataFrame, *, least_documents: int = 3, top: int = 200, bit
     """lang, source, part (``pair`` or ``term``), item, value, rank."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], text_or_empty().alias("text"))
     terms, texts = split(staged(counted(rows, bits), "divergence-counts"))
-    by_source = terms.groupBy("lang", "source", "digest", "sub").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-    kept = staged(by_source.groupBy("lang", "digest", "sub").agg(
-        F.sum("n").alias("n_lang"), F.sum("df").alias("df"), F.collect_list(F.struct("source", "n")).alias("at")).where(
-        F.col("df") >= least_documents), "divergence-kept")
-    sizes = kept.select("lang", F.explode("at").alias("x")).groupBy("lang", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("total"))
-    langs = kept.groupBy("lang").agg(F.count("*").alias("V"), F.sum("n_lang").alias("total_lang"))
-    in_lang = Window.partitionBy("lang")
-    groups = rows.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "V", "total_lang"])
+    kept = staged(kept_terms(terms, least_documents), "divergence-kept")
+    entries = kept.select("lang", "digest", "sub", "n_lang", F.inline("at"))
+    sizes = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))
+    groups = rows.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "v", "total_lang"])
     groups = staged(groups.select(
-        "*", (F.row_number().over(in_lang.orderBy("source")) - 1).alias("sid"), F.count("*").over(in_lang).alias("n_sources"),
-        share(F.lit(0).cast("long"), F.col("total"), F.col("V")).alias("p0"), F.greatest(F.ceil(F.col("V") / SLICE), F.lit(1)).alias("n_slices")), "divergence-groups")
-    shares = kept.select("lang", "digest", "sub", "n_lang", F.explode("at").alias("x")).select(
-        "lang", "digest", "sub", "n_lang", F.col("x.source").alias("source"), F.col("x.n").alias("n")).join(
-        groups.select("lang", "source", "sid", "total", "V", "total_lang"), ["lang", "source"])
-    shares = staged(shares.select("lang", "source", "digest", "sub", "sid", share(F.col("n"), F.col("total"), F.col("V")).alias("p"),
-                                  share(F.col("n_lang"), F.col("total_lang"), F.col("V")).alias("q")), "divergence-shares")
-    vectors = shares.groupBy("lang", "digest", "sub").agg(F.collect_list(F.struct("sid", "p")).alias("at"))
+        "*", (F.col("total") + F.col("v")).alias("whole"), share(F.lit(0).cast("long"), F.col("total"), F.col("v")).alias("p0"),
+        F.ceil(F.count("*").over(Window.partitionBy("lang")) / TILE).alias("n_tiles"),
+        F.greatest(F.ceil(F.col("v") / SLICE), F.lit(1)).alias("n_slices")), "divergence-groups")
+    shares = entries.join(groups.select("lang", "source", "total", "v", "total_lang"), ["lang", "source"]).select(
+        "lang", "source", "digest", "sub", share(F.col("n"), F.col("total"), F.col("v")).alias("p"),
+        share(F.col("n_lang"), F.col("total_lang"), F.col("v")).alias("q"))
     scored = shares.where("p > q").select("lang", "source", "digest", "sub", _divergence(F.col("p"), F.col("q")).alias("value"))
-    out = pairs(vectors, groups).withColumn("part", F.lit("pair")).unionByName(top_terms(scored, texts, top).withColumn("part", F.lit("term")))
+    out = pairs(kept, groups).withColumn("part", F.lit("pair")).unionByName(top_terms(scored, texts, top).withColumn("part", F.lit("term")))
     place = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     return out.select("lang", "source", "part", "item", "value", F.row_number().over(place).alias("rank"))
