@@ -29,6 +29,12 @@ def without(payload: Column, fields: list[str] | None = None) -> Column:
     return F.map_filter(payload, lambda k, v: ~k.isin(hidden))
 
 
+def stamps(payload: Column, fields: list[str] | None = None) -> Column:
+    """The storage-owned fields that ``without`` drops."""
+    hidden = fields if fields is not None else fixed.STORAGE_FIELDS + fixed.RUN_STAMP_FIELDS
+    return F.map_filter(payload, lambda k, v: k.isin(hidden))
+
+
 def key_text(key: Column) -> Column:
     """A field name as JSON text; only names that need it are escaped."""
     return F.when(key.rlike(r'["\\\x00-\x1f]'), quoted(key)).otherwise(F.concat(F.lit('"'), key, F.lit('"')))

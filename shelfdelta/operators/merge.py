@@ -55,6 +55,57 @@ def apply_run(state: DataFrame, batch: DataFrame, run_ts: Column, task_id: str |
         seen.alias("active"))
 
 
+def decide(index: DataFrame, batch: DataFrame, run_ts: Column, number: int, task_id: str | None = None,
+           partial: bool = False, hidden: list[str] | None = None) -> DataFrame:
+    """What a run does with every key, out of keys, hashes and stamps alone.
+
+    ``index`` has the rows of ``schemas.INDEX``, ``batch`` one row per key with source, data_hash and
+    stamps; ``number`` is that of the run's commit. Gives the new index rows with change_type,
+    both hashes, stamps and payload numbers, active and revived. No payload is looked at.
+    """
+    o, n = index.alias("o"), batch.alias("n")
+    old_key, new_key = F.col(f"o.{KEY}"), F.col(f"n.{KEY}")
+    seen = new_key.isNotNull()
+    kind = change_type(old_key, new_key, F.col("o.data_hash"), F.col("n.data_hash"), F.col("o.deleted_at").isNull() & F.lit(not partial))
+    dropped = ~seen & F.col("o.deleted_at").isNull() & F.lit(not partial)
+    task, commit = F.lit(task_id).cast("string"), F.lit(number).cast("bigint")
+    fresh = seen & ~F.col("o.data_hash").eqNullSafe(F.col("n.data_hash"))
+    return o.join(n, old_key == new_key, "full_outer").select(
+        F.coalesce("n.source", "o.source").alias("source"), F.coalesce(new_key, old_key).alias(KEY),
+        F.coalesce("n.data_hash", "o.data_hash").alias("data_hash"),
+        # Stamps that this run does not hide go over into the payload that it writes.
+        P.merge(F.when(fresh, P.stamps(F.col("o.stamps"), hidden)).otherwise(F.col("o.stamps")), F.col("n.stamps")).alias("stamps"),
+        F.coalesce(F.col("o.created_at"), run_ts).alias("created_at"),
+        F.when(seen, run_ts).otherwise(F.col("o.updated_at")).alias("updated_at"),
+        F.when(dropped, run_ts).when(~seen, F.col("o.deleted_at")).alias("deleted_at"),
+        F.when(dropped, task).otherwise(F.col("o.deleted_by_task")).alias("deleted_by_task"),
+        F.when(seen, F.coalesce(task, F.col("o.last_task_id"))).otherwise(F.col("o.last_task_id")).alias("last_task_id"),
+        (F.coalesce("o.scrape_count", F.lit(0)) + seen.cast("bigint")).cast("bigint").alias("scrape_count"),
+        F.when(fresh | old_key.isNull(), commit).otherwise(F.col("o.written")).alias("written"),
+        F.when(seen, commit).otherwise(F.col("o.seen_in")).alias("seen_in"),
+        kind.alias("change_type"), F.col("o.data_hash").alias("old_hash"), F.col("n.data_hash").alias("new_hash"),
+        F.col("o.stamps").alias("old_stamps"), F.col("n.stamps").alias("new_stamps"), F.col("o.written").alias("old_written"),
+        (seen & F.col("o.deleted_at").isNotNull()).alias("revived"), seen.alias("active"))
+
+
+def fetch(decided: DataFrame, batch: DataFrame, stored: DataFrame, hidden: list[str] | None = None) -> DataFrame:
+    """The changed keys of a run with ``old_payload``, ``new_payload`` and the stored ``payload``.
+
+    Payloads join on the keys that need them alone: the batch's for added and updated keys, by key and
+    hash (copies of a hash differ in stamps only), the stored ones for updated and deleted keys.
+    """
+    changed = decided.filter(F.col("change_type").isin("added", "updated", "deleted"))
+    wanted = changed.filter(F.col("change_type") != "deleted").select(KEY, F.col("new_hash").alias("data_hash"))
+    new = batch.join(wanted, [KEY, "data_hash"], "left_semi").groupBy(KEY).agg(F.any_value("payload").alias("new_body"))
+    kept = changed.filter(F.col("change_type") != "added").select(KEY, F.col("old_written").alias("written"))
+    old = stored.join(kept, [KEY, "written"], "left_semi").select(KEY, F.col("payload").alias("old_body"))
+    rows = changed.join(new, KEY, "left").join(old, KEY, "left")
+    return rows.select(
+        *changed.columns,
+        P.merge(P.merge(F.col("old_body"), P.without(F.col("old_stamps"), hidden)), F.col("new_body")).alias("payload"),
+        P.merge(F.col("old_body"), F.col("old_stamps")).alias("old_payload"), P.merge(F.col("new_body"), F.col("new_stamps")).alias("new_payload"))
+
+
 def new_state(applied: DataFrame) -> DataFrame:
     return applied.select(*STATE_COLUMNS)
 

@@ -94,7 +94,7 @@ def colours_of(options: Column) -> Column:
     return F.concat(part("napkin"), part("imprint")).cast(f"array<{COLOUR}>")
 
 
-def colours_of(df: DataFrame) -> Column:
+def stored_colours(df: DataFrame) -> Column:
     """The ``colors`` list with exactly the fields exports show; an empty list where the table has none."""
     kind = {f.name: f.dataType for f in df.schema.fields}.get("colors")
     if kind is None:
@@ -193,7 +193,7 @@ def expand_variants(products: DataFrame, max_tiers: int, keep: list[str] | None
     """
     f = _Fields(products)
     base = f("base_tiers", f"array<{TIER}>")
-    colours = colours_of(products)
+    colours = stored_colours(products)
     options = f("options", "map<string,array<struct<label:string,option_value_id:string>>>")
     no_options = F.create_map().cast("map<string,array<struct<label:string,option_value_id:string>>>")
     parts = {

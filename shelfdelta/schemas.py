@@ -15,6 +15,14 @@ CATALOG = """source string, product_key string, payload map<string,string>, data
  created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz,
  deleted_by_task string, last_task_id string, scrape_count bigint"""
 
+# A stored row without its payload. ``stamps`` holds the payload fields that no hash covers, ``written`` and
+# ``seen_in`` the numbers of the commits that wrote the payload and that last saw the key.
+INDEX = """source string, product_key string, data_hash string, stamps map<string,string>,
+ created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz,
+ deleted_by_task string, last_task_id string, scrape_count bigint, written bigint, seen_in bigint"""
+
+BODY = "product_key string, written bigint, payload map<string,string>"
+
 CHANGES = """source string, task_id string, session_id string, change_type string,
  product_key string, product_id string, product_name string,
  new_data map<string,string>, old_data map<string,string>,

@@ -54,8 +54,7 @@ class TrackedStream:
         if self._done:
             raise RuntimeError("finalize called twice")
         staged = read_or_empty(self.store.spark, f"{self.folder}/rows", _STAGED, recursiveFileLookup="true")
-        latest = D.latest_per_key(staged, D.KEY, ["batch_id", "place"]).drop("batch_id", "place")
-        counters = tracked.commit(self.store, self.source, latest, self.run_id, self.run_ts, self.task_id,
-                                  self.partial, self.hidden)
+        counters = tracked.commit(self.store, self.source, staged, self.run_id, self.run_ts, self.task_id,
+                                  self.partial, self.hidden, order=["batch_id", "place"])
         self._done = True
         return counters
