@@ -5,6 +5,10 @@ has each distinct payload once, under its SHA-256; ``records`` has the exact hea
 each record and the SHA-256 of its payload. ``restore`` joins both and verifies each payload
 against its digest, so the original record is ``header || payload || CRLF CRLF``.
 
+Both tables are bucketed and sorted by digest, so payloads are shuffled once, copies collapsed
+before that, and the join moves nothing. Payloads of more than ``_hot_from`` records (10,000 digests at
+most) have a pair of tables of their own without buckets, whose join AQE can split.
+
 Defined results: a null payload is empty; a null url gives an empty WARC-Target-URI; of equal
 payloads of at least ``least_bytes`` the record with the largest id is the response and the
 others revisit it, so repeated rows of that id are all responses; smaller payloads are all
@@ -14,8 +18,12 @@ are left out. A payload that does not match its digest fails the read (``verify`
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shelfdelta.session import cut_lineage
+
 _CRLF = "\r\n"
 _HEX32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
@@ -39,8 +47,9 @@ def ingest(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
     heads = rows.select("record_id", "url", "sha256", F.length("payload").cast("long").alias("payload_bytes"),
                         base32_of_hex(F.sha1("payload")).alias("sha1"))
     # max() skips nulls: a group without any id has a null original and only responses.
-    originals = heads.groupBy("sha256").agg(F.max("record_id").alias("original"))
-    joined = heads.join(originals, "sha256")
+    originals = heads.groupBy("sha256").agg(F.max("record_id").alias("original"), F.count("*").alias("n"))
+    hot = cut_lineage(originals.where(F.col("n") > _hot_from(pages.count())), "warc-hot")
+    n_hot, n_buckets = hot.count(), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     revisit = (F.col("payload_bytes") >= least_bytes) & F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("record_id"))
     header = F.concat(
         F.lit("WARC/1.1" + _CRLF + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
@@ -49,15 +58,38 @@ def ingest(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
         F.when(revisit, F.concat(F.lit(_CRLF + "WARC-Refers-To: "), record_urn(F.col("original")))).otherwise(F.lit("")),
         F.lit(_CRLF + "WARC-Payload-Digest: sha1:"), F.col("sha1"),
         F.lit(_CRLF + "Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_CRLF + _CRLF))
-    joined.select("record_id", F.encode(header, "UTF-8").alias("header"), "sha256").write.parquet(f"{path}/records")
-    # A payload is taken from one row of its group, so only as many texts move as are stored, once. Rows
-    # that repeat an id with its payload fall together on the join's own partitioning.
-    keeper = heads.groupBy("sha256").agg(F.max("record_id").alias("record_id"))
-    stored = rows.select("record_id", "sha256", "payload").join(
-        keeper.where("record_id is not null"), ["record_id", "sha256"], "left_semi").dropDuplicates(["record_id", "sha256"])
-    without_id = rows.where("record_id is null").join(
-        keeper.where("record_id is null").select("sha256"), "sha256", "left_semi").dropDuplicates(["sha256"])
-    stored.select("sha256", "payload").unionByName(without_id.select("sha256", "payload")).write.parquet(f"{path}/payloads")
+
+    def records(of: DataFrame, known: DataFrame) -> DataFrame:
+        return of.join(known, "sha256").select("record_id", F.encode(header, "UTF-8").alias("header"), "sha256")
+
+    def payloads(of: DataFrame) -> DataFrame:
+        return of.groupBy("sha256").agg(F.first("payload").alias("payload"))
+
+    few = F.broadcast(hot.select("sha256"))
+    cold = (lambda df: df.join(few, "sha256", "left_anti")) if n_hot else (lambda df: df)
+    for name, df in (("records", records(cold(heads), originals)), ("payloads", payloads(cold(rows)))):
+        # As many buckets as shuffle partitions: each task has its buckets to itself.
+        df.write.bucketBy(n_buckets, "sha256").sortBy("sha256").option("path", f"{path}/{name}").saveAsTable(_table(path, name))
+    if n_hot:
+        records(heads, F.broadcast(hot)).write.parquet(f"{path}/hot-records")
+        payloads(rows.join(few, "sha256", "left_semi")).write.parquet(f"{path}/hot-payloads")
+    pages.sparkSession.createDataFrame([(n_buckets, n_hot, rows.schema["record_id"].dataType.simpleString())], "n_buckets int, n_hot long, id_type string").write.parquet(f"{path}/layout")
+
+
+def _hot_from(rows: int) -> int:
+    """Records of one payload from which it counts as hot; no more than 10,000 digests can have as many."""
+    return max(1_000, rows // 10_000)
+
+
+def _table(path: str, name: str) -> str:
+    return f"warc_{hashlib.sha1(path.encode()).hexdigest()[:16]}_{name}"
+
+
+def _bucketed(spark: SparkSession, path: str, name: str, columns: str, n_buckets: int) -> DataFrame:
+    """An archive's folder as a table that knows its buckets."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {_table(path, name)} ({columns}) USING parquet CLUSTERED BY (sha256) SORTED BY (sha256) "
+              f"INTO {n_buckets} BUCKETS LOCATION '{path}/{name}'")
+    return spark.table(_table(path, name))
 
 
 def verify(payload: Column, sha256: Column) -> Column:
@@ -68,10 +100,19 @@ def verify(payload: Column, sha256: Column) -> Column:
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
     """Every archived record: record_id, header, payload (both exact bytes)."""
-    payloads = spark.read.parquet(f"{path}/payloads").select("sha256", verify(F.col("payload"), F.col("sha256")).alias("payload"))
-    return spark.read.parquet(f"{path}/records").join(payloads, "sha256", "left").select(
-        "record_id", "header", F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(
-            F.raise_error(F.concat(F.lit("payload missing or damaged: "), F.col("sha256"))).cast("binary")).alias("payload"))
+    layout = spark.read.parquet(f"{path}/layout").first()
+
+    def joined(records: DataFrame, payloads: DataFrame) -> DataFrame:
+        checked = payloads.select("sha256", verify(F.col("payload"), F.col("sha256")).alias("payload"))
+        return records.join(checked, "sha256", "left").select(
+            "record_id", "header", F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(
+                F.raise_error(F.concat(F.lit("payload missing or damaged: "), F.col("sha256"))).cast("binary")).alias("payload"))
+
+    out = joined(_bucketed(spark, path, "records", f"record_id {layout['id_type']}, header binary, sha256 string", layout["n_buckets"]),
+                 _bucketed(spark, path, "payloads", "sha256 string, payload binary", layout["n_buckets"]))
+    if layout["n_hot"]:
+        out = out.unionByName(joined(spark.read.parquet(f"{path}/hot-records"), spark.read.parquet(f"{path}/hot-payloads")))
+    return out
 
 
 def record_bytes() -> Column:

@@ -16,6 +16,34 @@ def test_archive_restores_odd_pages(spark):
         (0, "only", "response"), (0, "x", "revisit"), (1, "x", "revisit"), (2, "x", "response"), (2, "x", "response"), (3, "", "revisit"), (4, "", "response")]
 
 
+def test_hot_payloads_and_joins_without_an_exchange(spark, monkeypatch):
+    rows = [(i, f"http://h/{i}", "hot" if i % 3 else f"page {i}") for i in range(60)] + [(None, "n", "hot"), (0, "again", "page 0")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(warc_store, "_hot_from", lambda n: 10)
+    shown = []
+    for hot in (True, False):
+        if not hot:
+            monkeypatch.setattr(warc_store, "_hot_from", lambda n: 1000)
+        path = staging_path(spark, "warc-test")
+        warc_store.ingest(pages, path)
+        back = warc_store.restore(spark, path)
+        if not hot:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            plan = warc_store.restore(spark, path)._jdf.queryExecution().executedPlan().toString()
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        shown.append(sorted((r[0] if r[0] is not None else -1, bytes(r[1]), r[2]) for r in back.select("record_id", "header", F.decode("payload", "UTF-8")).collect()))
+        assert spark.read.parquet(*[f"{path}/{n}" for n in (("payloads", "hot-payloads") if hot else ("payloads",))]).count() == 21
+    assert shown[0] == shown[1] and [r[2] for r in shown[0]] == [h for _, h in sorted(((i if i is not None else -1), h) for i, _, h in rows)]
+    assert sum(b"WARC-Type: response" in r[1] for r in shown[0]) == 22
+
+
+def test_empty_archive(spark):
+    path = staging_path(spark, "warc-test")
+    warc_store.ingest(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc_store.restore(spark, path).count() == 0
+
+
 @pytest.mark.parametrize("which", ["documents", "odd_documents", "no_documents"])
 def test_fingerprints_pair_neighbours(request, which):
     docs = request.getfixturevalue(which)
