@@ -68,6 +68,28 @@ class RollingHash:
         return mix((sums[k:] - sums[:n]) * self._down[:n])
 
 
+class WordHash:
+    """Hashes of words: a sum of pseudo-random numbers, one for each byte value at each place.
+
+    Unlike a polynomial modulo a power of two, no pattern of bytes makes two words collide by
+    itself: any two different words do so with a chance of 2**-64.
+    """
+
+    def __init__(self, seed: int):
+        self._seed = np.uint64(np.random.default_rng(seed).integers(2**62, 2**63)) | np.uint64(1)
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        if not len(size):
+            return np.empty(0, dtype=np.uint64)
+        # The bytes of all words in a row, each with its place in its word.
+        begin = np.cumsum(size) - size
+        place = np.arange(int(size.sum()), dtype=np.uint64) - np.repeat(begin.astype(np.uint64), size)
+        at = place + np.repeat(starts.astype(np.uint64), size)
+        number = mix(((place << np.uint64(8)) | data[at.view(np.int64)]) * np.uint64(0x9E3779B97F4A7C15) + self._seed)
+        return mix(np.add.reduceat(number, begin) + size.astype(np.uint64))
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (in bytes) of the words of a UTF-8 byte array."""
     edge = np.ones(len(data) + 2, dtype=bool)
@@ -76,20 +98,21 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flips[::2], flips[1::2]
 
 
-def word_hashes(text: bytes, hasher: RollingHash) -> np.ndarray:
+def word_hashes(text: bytes, hasher: RollingHash | WordHash) -> np.ndarray:
     data = np.frombuffer(text, dtype=np.uint8)
     starts, ends = word_spans(data)
-    return hasher.spans(hasher.prefix(data), starts, ends)
+    return hasher.spans(data, starts, ends) if isinstance(hasher, WordHash) else hasher.spans(hasher.prefix(data), starts, ends)
 
 
-def gram_hashes(words: np.ndarray, n: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Hash of each window of ``n`` words; of all words together where there are fewer."""
+def gram_hashes(words: np.ndarray, n: int, multiplier: int = 0x9E3779B97F4A7C15, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each window of ``n`` words, or of those that start ``at``; of all words together where there are fewer."""
     if len(words) == 0:
         return words
     n = min(n, len(words))
-    count, out = len(words) - n + 1, np.zeros(len(words) - n + 1, dtype=np.uint64)
+    count = len(words) - n + 1
+    out = np.zeros(count if at is None else len(at), dtype=np.uint64)
     for j in range(n):
-        out = (out + words[j:j + count]) * np.uint64(multiplier)
+        out = (out + (words[j:j + count] if at is None else words[at + j])) * np.uint64(multiplier)
         out ^= out >> np.uint64(29)
     return mix(out)
 

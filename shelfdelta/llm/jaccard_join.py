@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfdelta.llm.common import RollingHash, gram_hashes, list_array, map_rows, mix, signed, staged, text_or_empty, word_hashes
+from shelfdelta.llm.common import WordHash, gram_hashes, list_array, map_rows, mix, signed, staged, text_or_empty, word_hashes
 
 THRESHOLD, GRAM, RECALL, BLOCK, COLUMNS = 0.8, 5, 0.995, 512, 4096
-_WORDS = RollingHash(51)
+_WORDS = WordHash(51)
 
 
 def bands_for(threshold: float, recall: float, most: int = 16) -> tuple[int, int]:

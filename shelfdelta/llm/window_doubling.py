@@ -22,30 +22,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shelfdelta.llm.anchors import shared, text_classes, window_minima
-from shelfdelta.llm.common import RollingHash, gram_hashes, map_rows, signed, staged, text_or_empty, word_spans
+from shelfdelta.llm.common import WordHash, gram_hashes, map_rows, signed, staged, text_or_empty, word_hashes, word_spans
 
-_WORDS, _CHECK = RollingHash(101), RollingHash(202)
+_WORDS, _CHECK = WordHash(101), WordHash(202)
 
 
 def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def _anchor_minima(data: np.ndarray, words: int, first: int) -> np.ndarray:
-    starts, ends = word_spans(data)
-    if len(starts) < words:
+def _anchor_minima(hashes: np.ndarray, words: int, first: int) -> np.ndarray:
+    if len(hashes) < words:
         return np.empty(0, dtype=np.uint64)
-    grams = gram_hashes(_WORDS.spans(_WORDS.prefix(data), starts, ends), first)
-    return window_minima(grams, words - first + 1)
+    return window_minima(gram_hashes(hashes, first), words - first + 1)
+
+
+def _first_keys(hashes: np.ndarray, words: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The first hash of each window of ``words`` words, or of those that start ``at``."""
+    if len(hashes) < words:
+        return np.empty(0, dtype=np.int64)
+    return signed(gram_hashes(hashes, words, 0xD6E8FEB86659FD93, at))
 
 
-def _window_keys(data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _second_keys(data: np.ndarray, words: int, at: np.ndarray) -> np.ndarray:
+    """An independent hash of the windows that start ``at``; it looks at the bytes of their words alone."""
     starts, ends = word_spans(data)
-    if len(starts) < words:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
-    one = gram_hashes(_WORDS.spans(_WORDS.prefix(data), starts, ends), words, 0xD6E8FEB86659FD93)
-    two = gram_hashes(_CHECK.spans(_CHECK.prefix(data), starts, ends), words)
-    return signed(one), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    used = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.add.at(used, at, 1)
+    np.add.at(used, at + words, -1)
+    inside = np.flatnonzero(np.cumsum(used[:-1]) > 0)
+    hashes = np.zeros(len(starts), dtype=np.uint64)
+    hashes[inside] = _CHECK.spans(data, starts[inside], ends[inside])
+    return (gram_hashes(hashes, words, at=at) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def candidates(docs: DataFrame, words: int) -> DataFrame:
@@ -55,7 +63,7 @@ def candidates(docs: DataFrame, words: int) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> list:
         where, anchor, again = [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
-            values = np.unique(_anchor_minima(np.frombuffer(_bytes(text), dtype=np.uint8), words, first))
+            values = np.unique(_anchor_minima(word_hashes(_bytes(text), _WORDS), words, first))
             anchor.append(signed(values))
             where.append(np.full(len(values), i))
         where = pa.array(np.concatenate(where) if where else [], pa.int64())
@@ -73,16 +81,18 @@ def windows(docs: DataFrame, alive: DataFrame, words: int, once: bool = False) -
         where, at, one, two = [], [], [], []
         living = batch.column(2)
         for i, text in enumerate(batch.column(1).to_pylist()):
-            data = np.frombuffer(_bytes(text), dtype=np.uint8)
-            keep = np.flatnonzero(np.isin(signed(_anchor_minima(data, words, half)), living[i].values.to_numpy()))
+            data = _bytes(text)
+            hashes = word_hashes(data, _WORDS)
+            keep = np.flatnonzero(np.isin(signed(_anchor_minima(hashes, words, half)), living[i].values.to_numpy()))
             if len(keep):
-                a, b = _window_keys(data, words)
+                a = _first_keys(hashes, words, keep)
                 if once:
-                    keep = keep[np.unique(a[keep], return_index=True)[1]]
+                    a, firsts = np.unique(a, return_index=True)
+                    keep = keep[firsts]
                 where.append(np.full(len(keep), i))
                 at.append(keep)
-                one.append(a[keep])
-                two.append(b[keep])
+                one.append(a)
+                two.append(_second_keys(np.frombuffer(data, dtype=np.uint8), words, keep))
         if not where:
             return [[], [], [], []]
         return [batch.column(0).take(pa.array(np.concatenate(where))), np.concatenate(at), np.concatenate(one), np.concatenate(two)]
@@ -117,12 +127,11 @@ def repeated_passages(docs: DataFrame, words: int = 13) -> DataFrame:
         def rows(batch: pa.RecordBatch, n: int = length) -> list:
             where, at, one, two = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                a, b = _window_keys(np.frombuffer(_bytes(text), dtype=np.uint8), n)
-                keep = np.sort(batch.column(2)[i].values.to_numpy())
+                data, keep = _bytes(text), np.sort(batch.column(2)[i].values.to_numpy())
                 where.append(np.full(len(keep), i))
                 at.append(keep)
-                one.append(a[keep])
-                two.append(b[keep])
+                one.append(_first_keys(word_hashes(data, _WORDS), n, keep))
+                two.append(_second_keys(np.frombuffer(data, dtype=np.uint8), n, keep))
             if not where:
                 return [[], [], [], []]
             return [batch.column(0).take(pa.array(np.concatenate(where))), np.concatenate(at), np.concatenate(one), np.concatenate(two)]
@@ -163,7 +172,7 @@ def deduplicated(docs: DataFrame, *, words: int = 13, key: str = "doc_id", text:
                 if at[0] < 0:
                     covered[:] = True
                 else:
-                    keys, _ = _window_keys(np.frombuffer(data, dtype=np.uint8), words)
+                    keys = _first_keys(_WORDS.spans(np.frombuffer(data, dtype=np.uint8), starts, ends), words)
                     at = np.flatnonzero(np.isin(keys, keys[at[at + words <= n]]))  # all places of each such window
                     change = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(change, at, 1)

@@ -27,6 +27,23 @@ def test_window_doubling(request, which):
     assert got(out, "n_words", "n_removed", "kept_sha256") == brute.words_removed(pairs(unique(docs)))
 
 
+def patterned(length):
+    """Two words of one length, each the 0110 pattern that sums modulo powers of two cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(length)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("length", [32, 256, 1024, 4096])
+def test_patterned_words_are_told_apart(spark, length):
+    one, two = patterned(length)
+    rest = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([w] + rest[:k])) for i, (w, k) in enumerate((w, k) for k in (2, 12) for w in (one, two))] + [(9, " ".join([one] + rest))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(window_doubling.deduplicated(docs), "n_words", "n_removed", "kept_sha256") == brute.words_removed(rows)
+    assert got(jaccard_join.near_duplicates(docs), "class_id", "links") == brute.near_classes(rows)
+    assert got(bwt_dedup.deduplicated(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.bytes_removed(rows)
+
+
 def test_repeated_passages_go_on_doubling(spark):
     line = " ".join(f"v{i}" for i in range(60))
     docs = spark.createDataFrame([(1, line), (2, "a b " + line + " c"), (3, " ".join(f"u{i}" for i in range(90)))], "doc_id long, text string")
