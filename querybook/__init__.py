@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from querybook import catalog, changes, extraction, ingest, lifecycle, stored, streams, tiers  # noqa: F401
+    from querybook import catalog, changes, exports, extraction, ingest, lifecycle, stored, streams, tiers  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from querybook import query
 from querybook.derived import (METHOD_SQL, PRICE_SQL, SLUG_SQL, URL_SQL, price_rows, priced_parts, spread, table)
 from shelfdelta.functions import fixed, keys, text as X, urls as U
-from shelfdelta.operators import sheet as S, tiers as tr, variants as V
+from shelfdelta.operators import combinations as C, sheet as S, tiers as tr, variants as V
 from shelfdelta.plans import export
 from shelfdelta.schemas import TIER, VARIANT
 from shelfdelta.session import staging_path
@@ -357,7 +357,32 @@ SELECT p_partkey, coalesce(coalesce(nullif({METHOD_SQL}, ''), 'Standard'), '') A
     f"CASE WHEN method IS NULL THEN '' ELSE coalesce(nullif({METHOD_SQL}, ''), 'Standard') END"))
 def preview_variant(spark, sf) -> DataFrame:
     """Each product's second variant row, or its last where it has fewer."""
-    rows = V.with_variants(_documents(spark, sf))
-    at = F.least(F.lit(1), F.size("_variants") - 1)
-    pick = F.when(F.size("_variants") > 0, F.get("_variants", at))
-    return rows.select("p_partkey", X.or_blank(pick["print_method"]["label"]).alias("print_method"))
+    rows = V.expand_variants(_documents(spark, sf), 1, ["p_partkey"], only=1)
+    return rows.select("p_partkey", F.col("`Print Method`").alias("print_method"))
+
+
+@query(f"""WITH {_AXES}, three AS (
+  SELECT pm.l AS p, nc.l AS n, ic.l AS c, row_number() OVER (ORDER BY pm.i, nc.i, ic.i) AS k FROM pm, nc, ic),
+skus AS (SELECT p_partkey, k, replace(replace({SLUG_SQL} || '|print_method:' || p || '|napkin:' || n
+  || '|imprint:' || c, ' ', '-'), '/', '-') AS sku, n FROM part, three)
+SELECT p_partkey, count(*) AS variants, min(left(sha1(sku), 16)) AS first_key, min(sku) AS first_sku, max(sku) AS last_sku,
+ max(CASE WHEN k = 137 THEN sku END) AS sku_137, CAST(round(sum(0.25 * (length(n) - 7)), 2) AS DOUBLE) AS modifiers FROM skus GROUP BY p_partkey""")
+def variant_rows_numbered(spark, sf) -> DataFrame:
+    """The whole matrix of 5 x 25 x 5 as numbered rows, with no list of them, summed up by part."""
+    regions = table(spark, sf, "region").agg(F.array_sort(F.collect_list("r_name")))
+    nations = table(spark, sf, "nation").agg(F.array_sort(F.collect_list("n_name")))
+    option = lambda label, extra: F.struct(
+        label.alias("label"), F.lit("1").alias("option_value_id"), F.lit("1").alias("option_id"),
+        extra.alias("price_modifier"), F.lit(None).cast("string").alias("swatch_image_url"), F.lit("").alias("step_label"))
+    zero = F.lit(0.0)
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", regions.scalar().alias("r"), nations.scalar().alias("n")).withColumn(
+        "options", F.create_map(
+            F.lit("print_method"), F.transform("r", lambda x: option(x, zero)),
+            F.lit("napkin"), F.transform("n", lambda x: option(x, 0.25 * (F.length(x) - 7))),
+            F.lit("imprint"), F.transform(F.reverse("r"), lambda x: option(F.concat(F.lit("ink "), x), zero))))
+    slug = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"))
+    rows = C.variant_rows(parts, ["p_partkey"], F.col("options"), F.lit(None).cast(f"array<{TIER}>"), slug, F.lit(None).cast("string"))
+    v = F.col("variant")
+    return rows.groupBy("p_partkey").agg(
+        F.count("*").alias("variants"), F.min(v["variant_key"]).alias("first_key"), F.min(v["sku"]).alias("first_sku"), F.max(v["sku"]).alias("last_sku"),
+        F.max(F.when(F.col("ordinal") == 136, v["sku"])).alias("sku_137"), F.round(F.sum(v["price_modifier_total"]), 2).alias("modifiers"))

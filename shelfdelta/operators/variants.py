@@ -184,12 +184,13 @@ def variant_cells(v: Column) -> dict[str, Column]:
     }
 
 
-def expand_variants(products: DataFrame, max_tiers: int, keep: list[str] | None = None) -> DataFrame:
+def expand_variants(products: DataFrame, max_tiers: int, keep: list[str] | None = None, only: int | None = None) -> DataFrame:
     """One row per variant (one bare row for products without any), ``max_tiers``
     tier pairs, and two JSON columns that hold the full structure.
 
     A pure row expansion: the scan is exploded in place, nothing is shuffled.
-    ``keep`` names input columns to carry along in front.
+    ``keep`` names input columns to carry along in front. ``only`` previews one row of each
+    product: the row numbered so, from 0, or its last.
     """
     f = _Fields(products)
     base = f("base_tiers", f"array<{TIER}>")
@@ -204,9 +205,12 @@ def expand_variants(products: DataFrame, max_tiers: int, keep: list[str] | None
     blob = F.to_json(F.named_struct(*[e for n, c in parts.items() for e in (F.lit(n), c)]), {"ignoreNullFields": "false"})
     rows = with_variants(products)
     cells = product_cells(f, colours, tr.has_pricing(F.col("_variants"), base))
+    shown = F.col("_variants")
+    if only is not None:
+        shown = F.slice(shown, F.greatest(F.least(F.lit(only + 1), F.size(shown)), F.lit(1)), F.lit(1))
     wide = rows.select(*(keep or []), base.alias("_base"), blob.alias("Product JSON"),
                        *[or_blank(c).alias(n) for n, c in cells.items()],
-                       F.posexplode_outer("_variants").alias("_ordinal", "_v"))
+                       F.posexplode_outer(shown).alias("_ordinal", "_v"))
     v = F.col("_v")
     # The effective tier list is a column of its own so that it is computed once
     # per row, not once per cell.

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from shelfdelta.functions import document, fixed, predicates as W
-from shelfdelta.operators import diff as D, sheet as S, variants as V
+from shelfdelta.operators import diff as D, quality as Q, sheet as S, variants as V
 from shelfdelta.sources import csv_files, envelope
 
 DYNAMIC_SOURCE = "customnapkinsnow"
@@ -90,3 +90,31 @@ def column_list(products: DataFrame, source: str | None = None,
     if (source or "").strip().lower() != DYNAMIC_SOURCE:
         return fixed.sheet_columns(house_label)
     return fixed.dynamic_columns(V.export_size(selected(products, source)).first()["max_tiers"])
+
+
+def checked_sheet(documents: DataFrame, source: str, json: str = "doc", keep: list[str] | None = None, house_label: str = "Catalog SKU") -> DataFrame:
+    """JSON product texts as sheet rows, with ``problems`` and ``outcome`` (``good`` or ``bad``) behind them."""
+    # Carried columns get names that no document field has.
+    own = {f"_kept_{k}": k for k in keep or []}
+    rows = documents.select(*[F.col(k).alias(n) for n, k in own.items()], Q.document_problems(F.col(json)).alias("problems"),
+                            document.product(F.col(json)).alias("p"))
+    typed = rows.select(*own, "problems", "p.*").withColumn("source", F.lit(source))
+    sheet = S.to_sheet(typed, False, [source], house_label, [*own, "problems"]).withColumnsRenamed(own)
+    return sheet.withColumn("outcome", F.when(F.size("problems") > 0, "bad").otherwise("good"))
+
+
+def write_by_outcome(rows: DataFrame, path: str) -> dict:
+    """All rows in one write, ``outcome=good`` and ``outcome=bad`` apart; returns how many went where.
+
+    The counts are observed while the rows are written: no second job.
+    """
+    seen = Observation()
+    bad = F.col("outcome") == "bad"
+    rows.observe(seen, F.count("*").alias("rows"), F.count_if(bad).alias("bad"), F.coalesce(F.sum(F.size("problems")), F.lit(0)).alias("problems")).write.mode(
+        "overwrite").partitionBy("outcome").parquet(path)
+    return {**seen.get, "good": seen.get["rows"] - seen.get["bad"]}
+
+
+def error_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per problem of the bad rows that ``write_by_outcome`` wrote."""
+    return rows.filter(F.col("outcome") == "bad").select(*keep, F.inline("problems"))

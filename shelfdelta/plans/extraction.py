@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfdelta.functions import fixed, html as H, urls as U
 from shelfdelta.functions import text as X
-from shelfdelta.operators import page_parts as G, tiers as tr, variants as V
+from shelfdelta.operators import combinations as C, page_parts as G, tiers as tr, variants as V
 from shelfdelta.schemas import REGISTRY
 
 Job = Callable[[DataFrame], DataFrame]
@@ -76,9 +76,12 @@ def _outcome(rows: DataFrame, problem: Column, product: Column, unreadable: Colu
         bad.alias("reason"), F.when(bad.isNull(), product).alias("product"))
 
 
-@extraction("customnapkinsnow", "Option-step pages", "https://www.customnapkinsnow.com", ["html", "variants"])
-def option_step_pages(pages: DataFrame, image_host: str = "static.customnapkinsnow.com", cap: int | None = None) -> DataFrame:
-    """Pages with step headings: option axes, a price table, a variant matrix (whole unless ``cap`` is given)."""
+def _last_segment() -> Column:
+    return X.or_blank(F.try_element_at(U.segments(F.col("url")), F.lit(-1)))
+
+
+def _option_step_parts(pages: DataFrame, image_host: str) -> DataFrame:
+    """Axes, prices, numbers and images of option-step pages."""
     page = F.col("_page")
     # Each intermediate is its own projection, so it is computed once per page.
     rows = pages.select(
@@ -90,10 +93,22 @@ def option_step_pages(pages: DataFrame, image_host: str = "static.customnapkinsn
         "_base", G.base_tiers(page)).withColumn("_sku", G.sku(F.col("html"), page)).withColumn(
         "_images", G.first_list(G.script_images(F.col("html")), G.lazy_images(page, image_host),
                                 G.cdn_images(F.col("html"), image_host)))
-    rows = rows.withColumn("_base", tr.flagged(F.col("_base")))
-    last_segment = X.or_blank(F.try_element_at(U.segments(F.col("url")), F.lit(-1)))
+    return rows.withColumn("_base", tr.flagged(F.col("_base")))
+
+
+def option_step_variants(pages: DataFrame, image_host: str = "static.customnapkinsnow.com", cap: int | None = None) -> DataFrame:
+    """The variants of option-step pages as rows (url, ordinal, variant), however many a page has."""
+    rows = _option_step_parts(pages, image_host).filter(F.col("html").isNotNull() & G.valid_title(F.col("_page")))
+    return C.variant_rows(rows, ["url"], F.col("_options"), F.col("_base"), _last_segment(), F.col("_sku.database_tag"), cap)
+
+
+@extraction("customnapkinsnow", "Option-step pages", "https://www.customnapkinsnow.com", ["html", "variants"])
+def option_step_pages(pages: DataFrame, image_host: str = "static.customnapkinsnow.com", cap: int | None = None) -> DataFrame:
+    """Pages with step headings: option axes, a price table, a variant matrix (whole unless ``cap`` is given)."""
+    page = F.col("_page")
+    rows = _option_step_parts(pages, image_host)
     rows = rows.withColumn("_variants", V.build_variants(
-        F.col("_options"), F.col("_base"), last_segment, F.col("_sku.database_tag"), cap))
+        F.col("_options"), F.col("_base"), _last_segment(), F.col("_sku.database_tag"), cap))
     options, base, variants = F.col("_options"), F.col("_base"), F.col("_variants")
     colours = V.colours_of(options)
     labels = F.filter(F.transform(colours, lambda c: c["label"]), lambda x: x != "")

@@ -55,3 +55,16 @@ def test_result_envelopes_to_rows(spark):
     assert export.result_rows(df, "Other").count() == 1
     kept = E.explode_products(df, E.storage_products(F.col("data"))).collect()
     assert sorted(r.doc for r in kept) == ['{"name":"A","sku":"a"}', '{"name":"D","sku":"d"}', '{"sku":"b","title":"B"}', '{"sku":"e"}']
+
+
+def test_rows_in_are_rows_out_and_every_problem_is_named(spark, tmp_path):
+    docs = ['{"product_id":"a","price_cents":"12","base_tiers":[{"quantity":5,"unit_price":1}]}', '{"product_id":"b","price_cents":" ","available":null}',
+            '{"product_id":"c","price_cents":"1,5","base_tiers":[{"quantity":null,"unit_price":-1}],"images":"x"}', "[1]", "broken", None]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, doc string")
+    counts = export.write_by_outcome(export.checked_sheet(rows, "printify", keep=["id"]), str(tmp_path / "out"))
+    assert counts == {"rows": 6, "bad": 4, "problems": 7, "good": 2}
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 6 and {r.id for r in back.filter("outcome = 'good'").collect()} == {0, 1}
+    assert sorted((r.id, r.column, r.reason) for r in export.error_rows(back, ["id"]).collect()) == [
+        (2, "base_tiers", "price"), (2, "base_tiers", "quantity"), (2, "images", "other shape"), (2, "price_cents", "no bigint"),
+        (3, "document", "no JSON object"), (4, "document", "no JSON object"), (5, "document", "no JSON object")]
