@@ -8,7 +8,7 @@ travel in the first shuffle: about two in ``width + 1`` grams are elected.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -46,8 +46,8 @@ def elected(hashes: np.ndarray, minima: np.ndarray, width: int) -> tuple[np.ndar
     return values, count > 1
 
 
-def shared(anchors: DataFrame) -> DataFrame:
-    """Per doc_id, the array ``alive`` of its anchors that a different text has too.
+def shared(anchors: DataFrame, entry: Column | str = "anchor") -> DataFrame:
+    """Per doc_id, the array ``alive`` of its anchors (of ``entry`` for each) that a different text has too.
 
     ``anchors`` has doc_id, text_key (equal for equal texts), anchor, and ``again`` where the anchor
     is elected at several positions of the text itself, which makes it alive alone. Counting combines on the map
@@ -57,7 +57,7 @@ def shared(anchors: DataFrame) -> DataFrame:
     other = F.when(F.col("again"), F.col("text_key").bitwiseXOR(F.lit(1))).otherwise(F.col("text_key"))
     alive = anchors.groupBy("anchor").agg(F.min(F.least("text_key", other)).alias("least"), F.max(F.greatest("text_key", other)).alias("most")).where(
         "least < most").select("anchor")
-    return anchors.select("doc_id", "anchor").join(alive, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("alive"))
+    return anchors.select("doc_id", "anchor", "again").join(alive, "anchor").groupBy("doc_id").agg(F.collect_list(entry).alias("alive"))
 
 
 MOST_BITS = 1 << 24
