@@ -84,8 +84,8 @@ def repeated_words(words: Column, n: int = 3) -> Column:
     return F.when(F.size(words) > n, of_words(words)).otherwise(F.lit(0).cast("long"))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one struct column ``_measure``."""
+def measured(docs: DataFrame, text: str = "text", name: str = "_measure") -> DataFrame:
+    """``docs`` with one struct column ``name``."""
     body = text_or_empty(text)
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
 
@@ -109,14 +109,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
                         share("n_symbols", "n_words").alias("symbols_per_word"), share("n_stop_words", "n_words").alias("stop_word_ratio"),
                         share("n_dup_lines", "n_lines").alias("dup_line_ratio"), share("n_repeat_words", "n_words").alias("repeat_word_ratio"))
 
-    return docs.withColumn("_measure", let(words_of(body), lambda w: let(lines, lambda x: counts(w, x))))
+    return docs.withColumn(name, let(words_of(body), lambda w: let(lines, lambda x: counts(w, x))))
 
 
-def passes(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The table as one predicate over ``_measure``."""
+def passes(rules: tuple[Rule, ...] = RULES, name: str = "_measure") -> Column:
+    """The table as one predicate over the measures in ``name``."""
     out = F.lit(True)
     for rule in rules:
-        value = F.col("_measure")[rule.measure]
+        value = F.col(name)[rule.measure]
         if rule.low is not None:
             out = out & (value >= F.lit(rule.low))
         if rule.high is not None:
@@ -124,11 +124,14 @@ def passes(rules: tuple[Rule, ...] = RULES) -> Column:
     return out
 
 
-def base_failed() -> Column:
-    m = F.col("_measure")
+def base_failed(name: str = "_measure") -> Column:
+    m = F.col(name)
     return (m["n_words"] < 50) | (F.lit(100) * m["n_repeat_words"] > F.lit(50) * m["n_words"])
 
 
 def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that pass the base rule and the table, with their own columns."""
-    return measured(docs, text).where(~base_failed() & passes(rules)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = "_measure"
+    while name in docs.columns:
+        name += "_"
+    return measured(docs, text, name).where(~base_failed(name) & passes(rules, name)).select(*[F.col(f"`{c}`") for c in docs.columns])

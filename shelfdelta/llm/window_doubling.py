@@ -143,7 +143,8 @@ def repeated_passages(docs: DataFrame, words: int = 13) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, *, words: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_text (null where nothing was removed), kept_sha256.
+    """Per row: doc_id, n_words, n_removed, kept_text and source_sha256 (the text's; both null where nothing was
+    removed), kept_sha256.
 
     A word goes if a window of ``words`` words over it also starts in a document with a smaller
     id, judged on the input.
@@ -160,7 +161,7 @@ def deduplicated(docs: DataFrame, *, words: int = 13, key: str = "doc_id", text:
     cut = known.join(gone, "doc_id", "left").unionByName(docs.where("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>")))
 
     def rows(batch: pa.RecordBatch) -> list:
-        total, removed, kept, digest = [], [], [], []
+        total, removed, kept, source, digest = [], [], [], [], []
         for i, body in enumerate(batch.column(1).to_pylist()):
             data = _bytes(body)
             starts, ends = word_spans(np.frombuffer(data, dtype=np.uint8))
@@ -183,7 +184,8 @@ def deduplicated(docs: DataFrame, *, words: int = 13, key: str = "doc_id", text:
             total.append(n)
             removed.append(n - len(stay))
             kept.append(out.decode("utf-8", "surrogatepass") if len(stay) < n else None)
+            source.append(hashlib.sha256(data).hexdigest() if len(stay) < n else None)
             digest.append(hashlib.sha256(out).hexdigest())
-        return [batch.column(0), total, removed, kept, digest]
+        return [batch.column(0), total, removed, kept, source, digest]
 
-    return map_rows(cut.select("doc_id", "text", "starts"), rows, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return map_rows(cut.select("doc_id", "text", "starts"), rows, "doc_id long, n_words long, n_removed long, kept_text string, source_sha256 string, kept_sha256 string")
