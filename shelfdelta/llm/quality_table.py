@@ -37,13 +37,16 @@ class Rule:
     high: float | None = None
 
 
+#: One or two repeated lines of a short text tell nothing: below this the ratio of repeated lines is 0.
+LEAST_DUP_LINES = 3
+
 #: Length, symbol, stop-word and line ratios.
 RULES = (
     Rule("n_words", 50, None),
     Rule("mean_word_chars", 2.0, 25.0),
     Rule("symbols_per_word", None, 0.1),
     Rule("stop_word_ratio", 0.02, None),
-    Rule("dup_line_ratio", None, 0.3),
+    Rule("dup_line_ratio", None, 0.3),  # from LEAST_DUP_LINES repeated lines on
     Rule("repeat_word_ratio", None, 0.5),
 )
 
@@ -107,7 +110,7 @@ def measured(docs: DataFrame, text: str = "text", name: str = "_measure") -> Dat
         names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
         return F.struct(*[m[c].alias(c) for c in names], share("word_chars", "n_words").alias("mean_word_chars"),
                         share("n_symbols", "n_words").alias("symbols_per_word"), share("n_stop_words", "n_words").alias("stop_word_ratio"),
-                        share("n_dup_lines", "n_lines").alias("dup_line_ratio"), share("n_repeat_words", "n_words").alias("repeat_word_ratio"))
+                        F.when(m["n_dup_lines"] >= LEAST_DUP_LINES, share("n_dup_lines", "n_lines")).otherwise(F.lit(0.0)).alias("dup_line_ratio"), share("n_repeat_words", "n_words").alias("repeat_word_ratio"))
 
     return docs.withColumn(name, let(words_of(body), lambda w: let(lines, lambda x: counts(w, x))))
 

@@ -96,7 +96,7 @@ _STOPS_SQL = ", ".join(f"'{w}'" for w in quality_table.STOP_WORDS)
     SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
            n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
            NOT base_failed AND n_words >= 50 AND word_chars / n_words BETWEEN 2.0 AND 25.0 AND n_symbols / n_words <= 0.1
-               AND n_stop / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.3 AND n_repeat_words / n_words <= 0.5 AS kept
+               AND n_stop / n_words >= 0.02 AND (n_dup_lines < 3 OR n_dup_lines / n_lines <= 0.3) AND n_repeat_words / n_words <= 0.5 AS kept
     FROM f""")
 def op5_quality_table(spark: SparkSession, sf: str) -> DataFrame:
     m = F.col("_measure")
