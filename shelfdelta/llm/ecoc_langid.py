@@ -3,7 +3,12 @@
 Every language gets a codeword. For each bit one binary classifier over hashed byte 3-grams
 tells languages whose codeword has the bit from the others. A text's bit margins are decoded
 to the codeword of least exponential loss, each bit weighted by how well its classifier does
-on that language; the gap to the second codeword flags ambiguity.
+on that language.
+
+How far a text's evidence agrees with a codeword is measured against what training texts of that
+language show on average: 1 is typical, 0 is no evidence. The score is the mean of that and of its
+lead over the second language, held to 0 to 1. Texts with too small a lead (mixed languages) or too little
+agreement (unseen scripts, gibberish) are flagged ambiguous.
 
 ``train`` counts grams of a bounded sample of labelled rows (about ``per_language`` of each
 language, by document hash) in Spark; the driver sees one count per language and gram bucket.
@@ -27,6 +32,7 @@ from shelfdelta.llm.common import map_rows
 
 BUCKET_BITS = 15
 _BUCKETS = 1 << BUCKET_BITS
+_FIXED = 1_000_000  # whole numbers add up alike in any order
 # Bytes that are no part of a letter become blanks, so junk between words carries nothing.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -37,6 +43,7 @@ class Model:
     codes: np.ndarray       # languages x bits, -1 or 1
     weights: np.ndarray     # buckets x bits
     trust: np.ndarray       # languages x bits, rows sum to 1
+    typical: np.ndarray     # mean agreement of a language's own training texts
 
 
 def codewords(n: int) -> np.ndarray:
@@ -68,23 +75,28 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (text.isalpha() or any(map(str.isalpha, text)))
 
 
-def margins(model: Model, text: str) -> np.ndarray:
-    """One value from -1 to 1 per bit."""
+def evidence(model: Model, text: str) -> np.ndarray:
+    """The mean weight of the text's grams, one value per bit."""
     at = grams(text)
     if len(at) > 200_000:
-        mean = np.bincount(at, minlength=_BUCKETS) @ model.weights / len(at)
-    else:
-        mean = model.weights[at].mean(axis=0)
-    return np.tanh(8 * mean)
+        return np.bincount(at, minlength=_BUCKETS) @ model.weights / len(at)
+    return model.weights[at].mean(axis=0)
+
+
+def decode(model: Model, mean: np.ndarray) -> tuple[int, float, float, float]:
+    """The nearest codeword, the score, the agreement with it and its lead over the next."""
+    loss = (model.trust * np.exp(-model.codes * np.tanh(8 * mean))).sum(axis=1)
+    best = int(np.argmin(loss))
+    if len(loss) == 1:
+        return best, 1.0, 1.0, 1.0
+    agreement = agreements(model, mean) / model.typical
+    lead = float(agreement[best] - np.delete(agreement, best).max())
+    return best, float(np.clip((agreement[best] + lead) / 2, 0, 1)), float(agreement[best]), lead
 
 
-def decode(model: Model, margin: np.ndarray) -> tuple[int, float, float]:
-    """Nearest codeword, its share of the likelihood, and the gap to the second."""
-    loss = (model.trust * np.exp(-model.codes * margin)).sum(axis=1)
-    order = np.argsort(loss, kind="stable")
-    share = np.exp(-8 * (loss - loss.min()))
-    gap = float(loss[order[1]] - loss[order[0]]) if len(order) > 1 else 1.0
-    return int(order[0]), float(share[order[0]] / share.sum()), gap
+def agreements(model: Model, mean: np.ndarray) -> np.ndarray:
+    """Per language how far the evidence goes its codeword's way."""
+    return model.codes @ mean / model.codes.shape[1]
 
 
 def train(docs: DataFrame, usable: Column | None = None, *, per_language: int = 2000, text: str = "text",
@@ -94,7 +106,7 @@ def train(docs: DataFrame, usable: Column | None = None, *, per_language: int =
     sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.ones((0, 1)), np.zeros((_BUCKETS, 1)), np.ones((0, 1)))
+        return Model([], np.ones((0, 1)), np.zeros((_BUCKETS, 1)), np.ones((0, 1)), np.ones(0))
     number = {name: i for i, name in enumerate(languages)}
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, per_language / sizes[name]))])
     roll = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -120,25 +132,28 @@ def train(docs: DataFrame, usable: Column | None = None, *, per_language: int =
         ones, zeros = freq[codes[:, b] > 0], freq[codes[:, b] < 0]
         if len(zeros):
             weights[:, b] = np.log(ones.mean(axis=0)) - np.log(zeros.mean(axis=0))
-    model = Model(languages, codes, weights, np.full(codes.shape, 1 / codes.shape[1]))
+    model = Model(languages, codes, weights, np.full(codes.shape, 1 / codes.shape[1]), np.ones(len(languages)))
 
     def right(batch: pa.RecordBatch) -> list:
-        hits, seen = np.zeros(codes.shape, dtype=np.int64), np.zeros(len(languages), dtype=np.int64)
+        hits, seen, agreed = np.zeros(codes.shape, dtype=np.int64), np.zeros(len(languages), dtype=np.int64), np.zeros(len(languages), dtype=np.int64)
         for body, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if has_letter(body):
-                i = number[name]
-                hits[i] += margins(model, body) * codes[i] > 0
+                i, mean = number[name], evidence(model, body)
+                hits[i] += mean * codes[i] > 0
                 seen[i] += 1
+                agreed[i] += round(float(agreements(model, mean)[i]) * _FIXED)
         which, bit = np.indices(codes.shape).reshape(2, -1)
-        return [which, bit, hits.ravel(), seen[which]]
+        return [which, bit, hits.ravel(), seen[which], agreed[which]]
 
-    for r in map_rows(sample, right, "which long, bit long, hits long, seen long").groupBy("which", "bit").agg(F.sum("hits"), F.sum("seen")).collect():
+    told = map_rows(sample, right, "which long, bit long, hits long, seen long, agreed long").groupBy("which", "bit")
+    for r in told.agg(F.sum("hits"), F.sum("seen"), F.sum("agreed")).collect():
         model.trust[r[0], r[1]] = (r[2] + 1) / (r[3] + 2)
+        model.typical[r[0]] = max(r[4] / _FIXED / max(r[3], 1), 1e-6)
     model.trust /= model.trust.sum(axis=1, keepdims=True)
     return model
 
 
-def predict(docs: DataFrame, model: Model, *, text: str = "text", least_gap: float = 0.05) -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, text: str = "text", least_lead: float = 0.35, least_agreement: float = 0.3) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_ambiguous."""
     handed = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets x bits
     taken = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_ambiguous")]
@@ -149,8 +164,8 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", least_gap: flo
         m, out = handed.value, ([], [], [])
         for body in batch.column(at).to_pylist():
             if m.languages and has_letter(body):
-                best, score, gap = decode(m, margins(m, body))
-                found = (m.languages[best], score, gap < least_gap)
+                best, score, agreement, lead = decode(m, evidence(m, body))
+                found = (m.languages[best], round(score, 6), lead < least_lead or agreement < least_agreement)
             else:
                 found = ("und", 0.0, True)
             for column, value in zip(out, found, strict=True):

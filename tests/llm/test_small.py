@@ -1,5 +1,7 @@
 """Archive, fingerprints, quality, language and URL verdicts on small and odd inputs."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,47 @@ def test_quality_and_language_keep_rows(request, documents, which):
     assert {r["lang_pred"] for r in out.where("text is null or doc_id in (2, 6)").collect()} <= {"und"}
 
 
+@pytest.fixture(scope="module")
+def language_model(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return docs, held_out, ecoc_langid.train(docs, ~held_out)
+
+
+def test_held_out_languages_with_scores(language_model):
+    docs, held_out, model = language_model
+    rows = ecoc_langid.predict(docs.where(held_out), model).collect()
+    told = [r for r in rows if r["text"] and ecoc_langid.has_letter(r["text"])]
+    assert len(told) > 200 and sum(r["lang_pred"] == r["lang"] for r in told) >= 0.99 * len(told)
+    assert sum(not r["lang_ambiguous"] for r in told) >= 0.98 * len(told)
+    assert sorted(r["lang_score"] for r in told)[len(told) // 2] > 0.9 and len({r["lang_score"] for r in told}) > 50
+
+
+def test_mixed_unseen_and_gibberish_are_flagged(spark, language_model):
+    docs, _, model = language_model
+    some = {r["lang"]: r["text"][:800] for r in docs.where("length(text) > 1500 and text not like '%###%' and text not like '%|%'").collect()}
+    texts = [some["en"] + " " + some["fr"], some["de"] + " " + some["es"], "zzz qqq xxx kkk", "这是一个中文句子，没有其他语言。", "Привет мир как дела", some["en"], some["es"]]
+    got = ecoc_langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()
+    assert [r["lang_ambiguous"] for r in got] == [True] * 5 + [False] * 2
+    assert max(r["lang_score"] for r in got[:5]) < 0.6 < 0.8 < min(r["lang_score"] for r in got[5:])
+    assert [r["lang_pred"] for r in got[5:]] == ["en", "es"]
+
+
+def test_decoding_as_written_out(language_model):
+    _, _, model = language_model
+    bits = range(model.codes.shape[1])
+    for text in ("the house is on the hill", "la casa es de los dos", "ein Haus auf dem Berg und", "x"):
+        at = ecoc_langid.grams(text)
+        mean = [sum(model.weights[g][b] for g in at) / len(at) for b in bits]
+        losses, agreed = [], []
+        for i in range(len(model.languages)):
+            losses.append(sum(model.trust[i][b] * math.exp(-model.codes[i][b] * math.tanh(8 * mean[b])) for b in bits))
+            agreed.append(sum(model.codes[i][b] * mean[b] for b in bits) / len(bits) / model.typical[i])
+        best = losses.index(min(losses))
+        lead = agreed[best] - max(a for i, a in enumerate(agreed) if i != best)
+        assert ecoc_langid.decode(model, ecoc_langid.evidence(model, text)) == pytest.approx((best, min(1, max(0, (agreed[best] + lead) / 2)), agreed[best], lead))
+
+
 def test_url_rules(spark):
     urls = ["http://X.Net/a", "https://www.example.net/en/x?q", "http://example.com/de/1", "http://example.com/de", None, "no url", "http://a.org/fr/#x"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
