@@ -51,8 +51,8 @@ def tracked_writer_stream(spark, sf) -> DataFrame:
     return logged.unionByName(counted)
 
 
-def status_stream(spark, sf) -> DataFrame:
-    """Status messages as JSON, some broken, through the log into the task view."""
+def _status_messages(spark, sf) -> DataFrame:
+    """A stream of status messages as JSON, some broken."""
     rows = stream(spark, sf, "events")
     kind = F.col("event_type")
     status = (F.when(kind == "view", "queued").when(kind == "click", "started").when(kind == "purchase", "running")
@@ -62,8 +62,13 @@ def status_stream(spark, sf) -> DataFrame:
         F.when(kind == "purchase", F.floor("value").cast("bigint")).alias("duration_ms"),
         F.when(kind == "error", F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error")))
     broken = F.struct(F.lit("not json").alias("body"))
-    sent = rows.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.inline(F.when(
+    return rows.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.inline(F.when(
         kind == "view", F.array(F.struct(body.alias("body")), broken)).otherwise(F.array(F.struct(body.alias("body"))))))
+
+
+def status_stream(spark, sf) -> DataFrame:
+    """Status messages through the log into the task view."""
+    sent = _status_messages(spark, sf)
     folder = staging_path(spark, "status")
     ST.start_log(sent, folder, "body").awaitTermination()
     log = ST.logged(spark, folder)
@@ -73,8 +78,18 @@ def status_stream(spark, sf) -> DataFrame:
     return out.select("id", "status", "duration_ms", "error_message", bad.scalar().alias("quarantined"))
 
 
-query(SQL["status_apply_guarded"].replace(
-    "SELECT t.id,", "SELECT t.id, (SELECT count(*) FROM events WHERE event_type = 'view') AS quarantined,"))(status_stream)
+def status_folded_stream(spark, sf) -> DataFrame:
+    """The same messages kept as folds by task, merged in levels."""
+    folder = staging_path(spark, "status")
+    ST.start_folds(_status_messages(spark, sf), folder, order=[F.col("seq")]).awaitTermination()
+    out = ST.folded_view(tasks(spark, sf), folder)
+    bad = spark.read.parquet(f"{folder}/quarantine").agg(F.count("*"))
+    return out.select("id", "status", "duration_ms", "error_message", bad.scalar().alias("quarantined"))
+
+
+for _stream in (status_stream, status_folded_stream):
+    query(SQL["status_apply_guarded"].replace(
+        "SELECT t.id,", "SELECT t.id, (SELECT count(*) FROM events WHERE event_type = 'view') AS quarantined,"))(_stream)
 
 
 @query()

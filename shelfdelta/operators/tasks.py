@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shelfdelta.functions import fixed, status as S
 from shelfdelta.functions import predicates as W
@@ -80,7 +80,37 @@ def folded_messages(messages: DataFrame, order: str = "seq", per_salt: int = 2_0
 
 def apply_messages(tasks: DataFrame, messages: DataFrame, order: str = "seq") -> DataFrame:
     """Tasks after a set of status messages; ended tasks stay as they are."""
-    fold = folded_messages(messages, order)
+    return apply_fold(tasks, folded_messages(messages, order))
+
+
+#: What ``message_folds`` gives: a batch's messages up to the first terminal one, by task.
+FOLD = ("task_id string, ended boolean, applied bigint, status string, queued_at timestamp_ntz, started_at timestamp_ntz, completed_at timestamp_ntz, "
+        "duration_ms bigint, retries_attempted int, celery_task_id string, error string")
+
+
+def message_folds(messages: DataFrame, order: str = "seq", per_salt: int = 2_000_000) -> DataFrame:
+    """(task_id, ended, applied, last values): folds that ``chained_folds`` can go on with."""
+    fold = folded_messages(messages, order, per_salt).withColumn("ended", F.coalesce(S.is_terminal(F.col("status")), F.lit(False)))
+    fields = T.StructType.fromDDL(FOLD).fields
+    return fold.select(*[(F.col(f.name) if f.name in fold.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def chained_folds(parts: DataFrame) -> DataFrame:
+    """Folds in the order of ``_slot`` as one per task: what comes after an ended one has no effect.
+
+    A task has one fold per block that is read, so a list is bounded by the number of blocks.
+    """
+    names = [f.name for f in T.StructType.fromDDL(FOLD).fields if f.name not in ("task_id", "ended", "applied")]
+    lists = parts.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("_slot", "ended", "applied", *names))).alias("_ps"))
+    first_end = F.array_position(F.transform("_ps", lambda p: p["ended"]), True)
+    live = lists.select("task_id", F.when(first_end > 0, F.slice("_ps", F.lit(1), first_end.cast("int"))).otherwise(F.col("_ps")).alias("_ps"))
+    last = lambda n: F.try_element_at(F.filter(F.transform("_ps", lambda p: p[n]), lambda v: v.isNotNull()), F.lit(-1)).alias(n)
+    return live.select("task_id", F.exists("_ps", lambda p: p["ended"]).alias("ended"),
+                       F.aggregate("_ps", F.lit(0).cast("bigint"), lambda a, p: a + p["applied"]).alias("applied"), *[last(n) for n in names])
+
+
+def apply_fold(tasks: DataFrame, fold: DataFrame) -> DataFrame:
+    """Tasks after messages folded by task; ended tasks stay as they are."""
     news = fold.select(F.col("task_id").alias("_task"), F.col("status").alias("_status"),
                        *[F.col(m).alias(f"_{m}") for m in _COPIED.values()])
     joined = tasks.join(news, tasks["id"] == F.col("_task"), "left")

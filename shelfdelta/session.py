@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,3 +66,33 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder of any file system Spark reads; none where it does not exist."""
+    where, files = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders."""
+    for path in paths:
+        where, files = _at(spark, path)
+        files.delete(where, True)
+
+
+def sweep_staging(spark: SparkSession, hours: float) -> int:
+    """Delete staged tables that nothing has touched for ``hours``; returns how many. Choose more than any job runs."""
+    root, count = f"{shared_dir(spark)}/shelfdelta", 0
+    where, files = _at(spark, root)
+    limit = time.time() * 1000 - hours * 3_600_000
+    for status in files.listStatus(where) if files.exists(where) else []:
+        if status.getModificationTime() < limit:
+            files.delete(status.getPath(), True)
+            count += 1
+    return count

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from shelfdelta import schemas
 from shelfdelta.functions import document, payload as P
+from shelfdelta.session import children, remove
 from shelfdelta.sources import buckets
 
 COLLECTIONS = {
@@ -177,6 +178,27 @@ class Store:
             self._commit(old, "compacted", committed_at, files)
         return len(due)
 
+    def oldest(self, source: str) -> int:
+        """The first commit that no sweep has given up."""
+        swept = read_or_empty(self.spark, self.path("swept"), "source string, oldest bigint").filter(F.col("source") == source)
+        return swept.agg(F.coalesce(F.max("oldest"), F.lit(0)).alias("n")).first()["n"]
+
+    def sweep(self, source: str, keep: int = 5) -> int:
+        """Delete the files that none of the last ``keep`` commits refers to, and what runs without a commit left;
+        returns how many folders. Readers of a kept commit are left alone, older commits can be read no more."""
+        last = self.sequence(source)
+        first = max(last - keep + 1, 1)
+        live = {p for n in range(first, last + 1) for m in [self.manifest(source, n)] for p in m.index_paths() + m.body_paths()}
+        self.spark.createDataFrame([(source, first)], "source string, oldest bigint").write.mode("append").parquet(self.path("swept"))
+        root, gone = f"{self.path('catalog')}/source={source}", []
+        for commit in children(self.spark, root):
+            # A run in progress writes the number after the last one.
+            if commit.startswith("commit=") and int(commit[7:].split("-")[0]) <= last:
+                found = {f"{root}/{commit}/{kind}/{b}" for kind in ("index", "bodies") for b in children(self.spark, f"{root}/{commit}/{kind}") if "=" in b}
+                gone += [f"{root}/{commit}"] if not found & live else sorted(found - live)
+        remove(self.spark, gone)
+        return len(gone)
+
     # -- snapshots -------------------------------------------------------------
 
     def mark_snapshot(self, run_id: str, kind: str, source: str, sequence: int, at: Column) -> None:
@@ -192,7 +214,10 @@ class Store:
         marks = read_or_empty(self.spark, self.path("snapshot_marks"), COLLECTIONS["snapshot_marks"])
         for name, value in (("run_id", run_id), ("snapshot_type", kind)):
             rows, marks = (df.filter(F.col(name) == value) if value else df for df in (rows, marks))
+        oldest = {s: self.oldest(s) for s in {m["source"] for m in marks.select("source").distinct().collect()}}
         for m in marks.collect():
+            if m["sequence"] and m["sequence"] < oldest[m["source"]]:
+                continue  # given up by a sweep
             keys = self.index([self.manifest(m["source"], m["sequence"])])
             if m["snapshot_type"] == "post_scrape":
                 keys = keys.filter(F.col("seen_in") == m["sequence"])

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from shelfdelta.functions import fixed
 from shelfdelta.operators import tasks as K
 from shelfdelta.sources import messages as MS
+from shelfdelta.streaming.levels import Levels
 
 
 def start_log(raw: DataFrame, folder: str, body: str = "body", message_id: str | None = None,
@@ -49,11 +50,37 @@ def task_view(tasks: DataFrame, log: DataFrame, order: list[Column] | None = Non
     return K.apply_messages(tasks, log.withColumn("_seq", arrival), "_seq")
 
 
+def _status_levels(spark, folder: str) -> Levels:
+    return Levels(spark, f"{folder}/status-folds", K.FOLD, K.chained_folds)
+
+
+def start_folds(raw: DataFrame, folder: str, body: str = "body", order: list[Column] | None = None, available_now: bool = True) -> StreamingQuery:
+    """As ``start_log``, but of readable messages each batch keeps a fold by task, merged in levels; unreadable ones
+    go to the quarantine. Inside a batch messages follow ``order`` (their arrival), batches follow each other."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        rows = MS.parsed(batch, body).withColumn("place", F.monotonically_increasing_id())
+        rows.filter(F.col("problem").isNotNull()).write.mode("overwrite").parquet(f"{folder}/quarantine/batch={batch_id}")
+        good = rows.filter(F.col("problem").isNull()).withColumn("_seq", F.struct(*(order or [F.col("place")])))
+        _status_levels(batch.sparkSession, folder).add(K.message_folds(good, "_seq"), batch_id)
+
+    writer = raw.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def folded_view(tasks: DataFrame, folder: str) -> DataFrame:
+    """The tasks as the folded batches leave them."""
+    return K.apply_fold(tasks, _status_levels(tasks.sparkSession, folder).read())
+
+
+def _lifecycle_levels(spark, folder: str) -> Levels:
+    return Levels(spark, f"{folder}/folds", "task_id string, _f array<string>, _n bigint", lambda parts: K.chained(parts, "task_id"))
+
+
 def start_lifecycle(messages: DataFrame, folder: str, order: str = "seq", available_now: bool = True) -> StreamingQuery:
-    """Strict lifecycle of a stream of (task_id, status, ``order``): every micro-batch appends, per task,
-    its messages composed into one fold. No task's messages meet in one place, and a repeated batch replaces itself."""
+    """Strict lifecycle of a stream of (task_id, status, ``order``): every micro-batch adds, per task,
+    its messages composed into one fold, and folds are merged in levels. A repeated batch replaces itself."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        K.lifecycle_parts(batch, order).write.mode("overwrite").parquet(f"{folder}/folds/batch={batch_id}")
+        _lifecycle_levels(batch.sparkSession, folder).add(K.lifecycle_parts(batch, order), batch_id)
 
     writer = messages.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -61,8 +88,7 @@ def start_lifecycle(messages: DataFrame, folder: str, order: str = "seq", availa
 
 def lifecycle_view(spark, folder: str) -> DataFrame:
     """(task_id, status, messages) as the batches so far leave every task."""
-    folds = spark.read.option("basePath", f"{folder}/folds").parquet(f"{folder}/folds")
-    return K.ended(K.chained(folds.withColumnRenamed("batch", "_slot"), "task_id"))
+    return K.ended(_lifecycle_levels(spark, folder).read())
 
 
 def progress_tail(lines: DataFrame, keep: int = fixed.PROGRESS_LINES) -> DataFrame:

@@ -161,3 +161,28 @@ def test_copies_of_a_key_and_a_hidden_field(spark, tmp_path):
     tracked.run(store, "s", docs(spark, [{"product_id": "a", "v": 2, "seen": 5}]), "r4", ts(4), hidden=["seen"])
     tracked.run(store, "s", docs(spark, [{"product_id": "a", "v": 3}]), "r5", ts(5), hidden=[])
     assert {k: store.catalog("s").first().payload[k] for k in ("v", "seen")} == {"v": "3", "seen": "5"}
+
+
+def test_sweep_keeps_the_last_commits_and_their_readers(spark, tmp_path):
+    store = Store(spark, str(tmp_path), n_buckets=4)
+    tracked.run(store, "s", docs(spark, [{"product_id": str(i), "v": 0} for i in range(40)]), "r1", ts(1))
+    for n in range(2, 6):
+        tracked.run(store, "s", docs(spark, [{"product_id": "3", "v": n}]), f"r{n}", ts(n), partial=True)
+    state, files = sorted(store.catalog("s").collect()), files_below(store.path("catalog"))
+    reader = store._joined([store.manifest("s", 4)])  # of the commit before the last
+    os.makedirs(f"{store.path('catalog')}/source=s/commit=3-died/index/bucket=0")
+    assert store.sweep("s", keep=2) > 0 and store.sweep("s", keep=2) == 0
+    assert len(files_below(store.path("catalog"))) < len(files) and not os.path.exists(f"{store.path('catalog')}/source=s/commit=3-died")
+    assert sorted(store.catalog("s").collect()) == state
+    assert {r.product_key: r.payload["v"] for r in reader.collect()}["s:3"] == "4"
+    kept = {(r.run_id, r.snapshot_type) for r in store.read("snapshots").collect()}
+    assert kept == {("r4", "post_scrape"), ("r5", "pre_scrape"), ("r5", "post_scrape")}
+    assert tracked.run(store, "s", docs(spark, [{"product_id": "3", "v": 5}]), "r6", ts(6), partial=True)["changes"]["unchanged"] == 1
+
+
+def test_old_staging_goes(spark):
+    from shelfdelta.session import cut_lineage, shared_dir, sweep_staging
+
+    cut_lineage(spark.range(3), "sweep-me").count()
+    names = lambda: [n for n in os.listdir(f"{shared_dir(spark)}/shelfdelta") if n.startswith("sweep-me")]
+    assert sweep_staging(spark, 24) == 0 and names()
