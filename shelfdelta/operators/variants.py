@@ -64,8 +64,8 @@ def axis_combinations(options: Column, head: Column, cap: int | None = None) ->
 
 
 def build_variants(options: Column, base_tiers: Column, slug: Column, tag: Column,
-                   cap: int | None = fixed.VARIANT_CAP) -> Column:
-    """``array<variant>`` for a product, all of them with ``cap=None``; one bare variant where it has tiers but no axes."""
+                   cap: int | None = None) -> Column:
+    """``array<variant>`` for a product, all of them or the first ``cap``; one bare variant where it has tiers but no axes."""
     head = F.coalesce(blank_to_null(slug), blank_to_null(tag), F.lit("product"))
 
     def build(tiers: Column) -> Column:

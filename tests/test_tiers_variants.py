@@ -75,7 +75,7 @@ def test_variant_matrix_equals_nested_loops(spark):
             n = sizes.get(axis, 0)
             if n and len(want) < 500:
                 want = [c + (f"{axis}:{axis} {i}",) for c in want for i in range(n)][:500]
-        df = options(spark, sizes).select(V.build_variants(F.col("o"), F.col("t"), F.lit("a b"), F.lit(None).cast("string")).alias("v"))
+        df = options(spark, sizes).select(V.build_variants(F.col("o"), F.col("t"), F.lit("a b"), F.lit(None).cast("string"), 500).alias("v"))
         got = [v.sku for v in df.first().v]
         assert got == ["|".join(("a b",) + c).replace(" ", "-").replace("/", "-") for c in want]
     bare = options(spark, {}).select(V.build_variants(F.col("o"), F.array().cast(f"array<{TIER}>"), F.lit("s"), F.lit("t")).alias("v"))
