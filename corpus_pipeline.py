@@ -22,11 +22,15 @@ def _back(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
+#: A text of two languages is no bad text: only one whose two best languages are nearly even goes.
+LEAST_LEAD = 0.1
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts whose language is told with confidence; goes by the text alone."""
+    """Keeps texts whose language is told; goes by the text alone."""
     model = ecoc_langid.train(docs)
     own, names = _own(docs)
-    judged = ecoc_langid.predict(own, model, text=names["text"])
+    judged = ecoc_langid.predict(own, model, text=names["text"], least_lead=LEAST_LEAD)
     return _back(judged.where("lang_pred <> 'und' and not lang_ambiguous"), names)
 
 
