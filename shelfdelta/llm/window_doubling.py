@@ -19,9 +19,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from shelfdelta.llm.anchors import shared, text_classes, window_minima
+from shelfdelta.llm.anchors import text_classes, window_minima
 from shelfdelta.llm.common import WordHash, gram_hashes, map_rows, signed, staged, text_or_empty, word_hashes, word_spans
 
 _WORDS, _CHECK = WordHash(101), WordHash(202)
@@ -70,7 +70,10 @@ def candidates(docs: DataFrame, words: int) -> DataFrame:
         return [batch.column(0).take(where), batch.column(1).take(where), np.concatenate(anchor) if anchor else []]
 
     found = map_rows(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), rows, "doc_id long, text_key long, anchor long")
-    return shared(found.withColumn("again", F.lit(False)))
+    # Anchors are made and shuffled once; a window over equal anchors spills and holds no group in memory.
+    equal = Window.partitionBy("anchor")
+    seen = found.withColumn("least", F.min("text_key").over(equal)).withColumn("most", F.max("text_key").over(equal))
+    return seen.where("least < most").groupBy("doc_id").agg(F.collect_list("anchor").alias("alive"))
 
 
 def windows(docs: DataFrame, alive: DataFrame, words: int, once: bool = False) -> DataFrame:
@@ -101,16 +104,16 @@ def windows(docs: DataFrame, alive: DataFrame, words: int, once: bool = False) -
 
 
 def later_windows(found: DataFrame) -> DataFrame:
-    """(doc_id, at) of windows that a smaller doc_id has."""
-    firsts = found.groupBy("one", "two").agg(F.min("doc_id").alias("first_id"))
-    return found.join(firsts, ["one", "two"]).where("doc_id > first_id").select("doc_id", "at")
+    """(doc_id, at) of windows that a smaller doc_id has. Rows are made and shuffled once; equal windows spill."""
+    first = F.min("doc_id").over(Window.partitionBy("one", "two"))
+    return found.withColumn("first_id", first).where("doc_id > first_id").select("doc_id", "at")
 
 
 def shared_windows(found: DataFrame) -> DataFrame:
     """(doc_id, at) of windows that two documents have."""
-    firsts = found.groupBy("one", "two").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where(
-        "first_id < last_id").select("one", "two")
-    return found.join(firsts, ["one", "two"]).select("doc_id", "at")
+    equal = Window.partitionBy("one", "two")
+    seen = found.withColumn("first_id", F.min("doc_id").over(equal)).withColumn("last_id", F.max("doc_id").over(equal))
+    return seen.where("first_id < last_id").select("doc_id", "at")
 
 
 def repeated_passages(docs: DataFrame, words: int = 13) -> DataFrame:
