@@ -10,6 +10,7 @@ from querybook.lifecycle import tasks
 from shelfdelta.session import staging_path
 from shelfdelta.sources.tables import Store
 from shelfdelta.streaming import status as ST
+from shelfdelta.streaming.retry import RetryTable
 from shelfdelta.streaming.writer import TrackedStream
 
 
@@ -106,3 +107,23 @@ def lifecycle_stream(spark, sf) -> DataFrame:
 
 
 SQL["lifecycle_stream"] = SQL["lifecycle_fold"]
+
+
+# Deliveries of every seventh event fail twice, those of every eleventh always.
+@query("""SELECT CASE WHEN event_id % 11 = 0 THEN 'dead' ELSE 'delivered' END AS outcome,
+ CASE WHEN event_id % 11 = 0 THEN 4 WHEN event_id % 7 = 0 THEN 3 ELSE 1 END AS attempts,
+ CASE WHEN event_id % 11 = 0 THEN 'refused' WHEN event_id % 7 = 0 THEN 'busy' END AS last_error,
+ count(*) AS messages, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY ALL""")
+def retry_stream(spark, sf) -> DataFrame:
+    """Every event through a sink that fails for some: delivered or dead, after how many attempts."""
+    sent = stream(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("task_id"))
+
+    def sink(due: DataFrame) -> DataFrame:
+        return due.withColumn("error", F.when(F.col("seq") % 11 == 0, "refused").when((F.col("seq") % 7 == 0) & (F.col("attempts") < 2), "busy"))
+
+    table = RetryTable(spark, staging_path(spark, "retry"), "seq bigint, task_id string", sink, attempts=4, wait_seconds=0)
+    table.start(sent).awaitTermination()
+    while table.redeliver():
+        pass
+    ended = table.delivered().withColumn("outcome", F.lit("delivered")).unionByName(table.dead().withColumn("outcome", F.lit("dead")))
+    return ended.groupBy("outcome", "attempts", "last_error").agg(F.count("*").alias("messages"), F.sum("seq").alias("ids"))
