@@ -19,6 +19,7 @@ partition of the input.
 from __future__ import annotations
 
 import json
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -54,6 +55,10 @@ def byte_ranks(tokenizer) -> dict[bytes, int] | None:
     return {bytes(letters[c] for c in word): i for word, i in vocab.items() if i < 256 or i in joined}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @lru_cache(maxsize=4)
 def _remembered(path: str, pattern: str) -> Remembered:
     """Encoder of a tokenizer file. Where ids alone decide its merges, tiktoken encodes with its vocabulary, else the file's own library."""
@@ -64,9 +69,9 @@ def _remembered(path: str, pattern: str) -> Remembered:
     tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
     ranks = byte_ranks(tokenizer)
     if ranks is None:
-        return Remembered(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], regex.compile(pattern))
+        return Remembered(lambda pieces: [_packed(e.ids) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], regex.compile(pattern))
     quick = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return Remembered(lambda pieces: list(map(quick.encode_ordinary, pieces)), regex.compile(pattern))
+    return Remembered(lambda pieces: [_packed(quick.encode_ordinary(p)) for p in pieces], regex.compile(pattern))
 
 
 def pack(docs: DataFrame, path: str, pattern: str, *, longest: int = 1024, end_id: int = 0, key: str = "doc_id",

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers as known
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -44,6 +45,48 @@ def test_the_tokenizer_file_gives_the_same_ids(documents, library):
     assert binary_packing.byte_ranks(tokenizer) == {w: r for w, r in prefix_bpe.load_ranks(RANKS).items()}
 
 
+def test_few_lookups_and_searches(library):
+    """What a new word costs: about three lookups a byte behind the prefix it shares, and no search of its own."""
+    class Counting(dict):
+        gets = 0
+
+        def get(self, *of):
+            Counting.gets += 1
+            return dict.get(self, *of)
+
+    class Searches:
+        count, pattern = 0, regex.compile(known.PATTERN)
+
+        def findall(self, text):
+            Searches.count += 1
+            return self.pattern.findall(text)
+
+    bpe = prefix_bpe.PrefixBpe(Counting(prefix_bpe.load_ranks(RANKS)))
+    stems = [a + b + c for a in ("thnde", "ielic", "quetr", "oserr") for b in ("heit", "cion", "rass", "ment") for c in ("zach", "ende", "iser", "olle")]
+    words = [f" {a}{b}" for a, b in zip(stems, stems[1:])]
+    Counting.gets = 0
+    found = bpe.encode_many({w.encode() for w in words})
+    assert Counting.gets < 6 * sum(map(len, words))
+    assert [np.frombuffer(found[w.encode()], dtype="<u4").tolist() for w in words] == list(map(library.encode_ordinary, words))
+    pieces = [*words, *(w + ",it's" for w in words), "first", "\n", " ", "\t\t", " 's", "'s"]
+    assert prefix_bpe.pre_tokens(pieces, Searches()) == [Searches.pattern.findall(p) for p in pieces]
+    assert Searches.count <= 6
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=2, max_size=5), unique=True, max_size=40), st.lists(st.binary(max_size=300), max_size=8))
+def test_any_vocabulary_follows_the_rule(more, words):
+    letters = [bytes([i]) for i in range(256)]
+    ranks = {w: i for i, w in enumerate([*letters, *(bytes(97 + b % 3 for b in w) for w in more)])}
+    words = {bytes(97 + b % 3 for b in w) for w in words}
+    bpe = prefix_bpe.PrefixBpe(ranks)
+    for word, rank in ranks.items():
+        parts = bpe.merged(word, rank)
+        assert bpe._halves[rank] == (tuple(ranks[p] for p in parts) if len(parts) == 2 else (rank, rank))
+    found = bpe.encode_many(words)
+    assert {w: np.frombuffer(b, dtype="<u4").tolist() for w, b in found.items()} == {w: bpe.encode(w) for w in words}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=30), st.binary(max_size=10), st.binary(max_size=200), st.integers(0, 30))
 def test_tables_of_appends_and_edits(bpe, data, more, tail, at):
