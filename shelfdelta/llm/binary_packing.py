@@ -6,7 +6,7 @@ so no sequence crosses documents and none needs padding; batches are drawn from
 equal length (``bucket`` is the power).
 
 Tokens are those of a tokenizer file and each document ends with ``end_id``. Ids of pieces of
-text between blanks and line feeds are remembered per Python worker within a bound, since the
+text between blanks and line feeds are remembered per task within a bound, since the
 tokenizer never merges across them. New pieces go through tiktoken with the file's vocabulary
 where the file is checked to be plain byte-level BPE with merges in the order of ids (the same
 ids, some ten times faster on rare words), else through the file's own library.
@@ -97,6 +97,6 @@ def pack(docs: DataFrame, path: str, pattern: str, *, longest: int = 1024, end_i
         return [batch.column(0).take(pa.array(who, pa.int64())), start, length, ids, total]
 
     pieces = map_rows(docs.select(key, text_or_empty(text).alias("text")), rows,
-                      f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long")
+                      f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long", done=lambda: _remembered(path, pattern).forget())
     return pieces.select("*", F.log2("length").cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"),
                          F.lit(0).cast("long").alias("offset"))

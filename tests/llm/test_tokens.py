@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as known
 import pytest
 import regex
@@ -121,3 +122,13 @@ def test_pack(request, library, which):
         want.setdefault(d["doc_id"], []).append(np.array(library.encode_ordinary(d["text"] or "") + [0], dtype="<u4").tobytes())
     assert {k: sorted(v) for k, v in whole.items()} == {k: sorted(v) for k, v in want.items()}
     assert binary_packing.piece_lengths(2048 + 5) == [1024, 1024, 4, 1]
+
+
+def test_workers_keep_no_pieces_between_tasks(documents):
+    assert binary_packing.pack(documents, JSON, known.PATTERN).count() > 0
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(binary_packing._remembered(JSON, known.PATTERN)._known)]})
+
+    assert {r["n"] for r in documents.repartition(8).mapInArrow(held, "n long").collect()} == {0}
