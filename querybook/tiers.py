@@ -375,13 +375,13 @@ def variant_rows_numbered(spark, sf) -> DataFrame:
         label.alias("label"), F.lit("1").alias("option_value_id"), F.lit("1").alias("option_id"),
         extra.alias("price_modifier"), F.lit(None).cast("string").alias("swatch_image_url"), F.lit("").alias("step_label"))
     zero = F.lit(0.0)
-    parts = table(spark, sf, "part").select("p_partkey", "p_name", regions.scalar().alias("r"), nations.scalar().alias("n")).withColumn(
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", "p_name", regions.scalar().alias("r"), nations.scalar().alias("n")).withColumn(
         "options", F.create_map(
             F.lit("print_method"), F.transform("r", lambda x: option(x, zero)),
             F.lit("napkin"), F.transform("n", lambda x: option(x, 0.25 * (F.length(x) - 7))),
             F.lit("imprint"), F.transform(F.reverse("r"), lambda x: option(F.concat(F.lit("ink "), x), zero))))
     slug = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"))
-    rows = C.variant_rows(parts, ["p_partkey"], F.col("options"), F.lit(None).cast(f"array<{TIER}>"), slug, F.lit(None).cast("string"))
+    rows = C.variant_rows(parts, ["p_partkey"], F.col("options"), F.lit(None).cast(f"array<{TIER}>"), slug, F.lit(None).cast("string"), ordered=["p_partkey"])
     v = F.col("variant")
     return rows.groupBy("p_partkey").agg(
         F.count("*").alias("variants"), F.min(v["variant_key"]).alias("first_key"), F.min(v["sku"]).alias("first_sku"), F.max(v["sku"]).alias("last_sku"),

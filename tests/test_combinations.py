@@ -1,5 +1,8 @@
 """Numbered combinations against the list that the documents hold."""
 
+import hashlib
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +56,33 @@ def test_pages_give_the_variants_of_their_documents(spark, sf):
     listed = extraction.run_site(pages, "customnapkinsnow").filter("outcome = 'scraped'").select("url", F.posexplode("product.variants").alias("ordinal", "variant"))
     rows = extraction.option_step_variants(pages)
     assert sorted((r.url, r.ordinal, r.variant) for r in rows.collect()) == sorted((r.url, r.ordinal, r.variant) for r in listed.collect())
+
+
+def test_ordered_rows_are_the_same_rows(spark):
+    docs, args = frame(spark, SIZES), (F.col("options"), F.col("tiers"), F.col("slug"), F.col("tag"))
+    got = C.variant_rows(docs.repartition(2), ["id"], *args, block=3, ordered=["id"])
+    want = C.variant_rows(docs, ["id"], *args)
+    assert sorted((r.id, r.ordinal, r.variant) for r in got.collect()) == sorted((r.id, r.ordinal, r.variant) for r in want.collect())
+
+
+def test_variants_are_dealt_out_and_summed_up_unsorted(spark, tmp_path):
+    from querybook import tiers
+
+    regions, nations = ["B C", "A"], ["LONGER/NAME", "N", "M"]
+    spark.createDataFrame([(r,) for r in regions], "r_name string").coalesce(1).write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([(n,) for n in nations], "n_name string").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    parts = [(1, "red ball"), (2, "x/y"), (2, "other"), (3, "red ball")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    summed = tiers.variant_rows_numbered(spark, str(tmp_path))
+    plan = summed._jdf.queryExecution().executedPlan().toString().splitlines()
+    partial = next(i for i, line in enumerate(plan) if "partial_min" in line)
+    join = next(i for i, line in enumerate(plan) if "BroadcastNestedLoopJoin" in line)
+    assert partial < join and not any("Sort [" in line for line in plan[partial:join])
+    assert any("REPARTITION_BY_NUM" in line for line in plan[join:])
+    want = {}
+    for key, name in parts:
+        for r, n, c in itertools.product(sorted(regions), sorted(nations), sorted(regions, reverse=True)):
+            sku = f"{name.replace(' ', '-')}-{key}|print_method:{r}|napkin:{n}|imprint:ink {c}".replace(" ", "-").replace("/", "-")
+            want.setdefault(key, []).append((sku, hashlib.sha1(sku.encode()).hexdigest()[:16], 0.25 * (len(n) - 7)))
+    assert {r.p_partkey: (r.variants, r.first_key, r.first_sku, r.last_sku, r.sku_137, r.modifiers) for r in summed.collect()} == {
+        k: (len(v), min(x[1] for x in v), min(v)[0], max(v)[0], None, sum(x[2] for x in v)) for k, v in want.items()}
