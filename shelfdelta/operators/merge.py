@@ -99,7 +99,8 @@ def fetch(decided: DataFrame, batch: DataFrame, stored: DataFrame, hidden: list[
     new = batch.join(wanted, [KEY, "data_hash"], "left_semi").groupBy(KEY).agg(F.any_value("payload").alias("new_body"))
     kept = changed.filter(F.col("change_type") != "added").select(KEY, F.col("old_written").alias("written"))
     old = stored.join(kept, [KEY, "written"], "left_semi").select(KEY, F.col("payload").alias("old_body"))
-    rows = changed.join(new, KEY, "left").join(old, KEY, "left")
+    # Payloads grow out of small files: the size the planner expects of them says nothing, so they are merged, never broadcast.
+    rows = changed.join(new.hint("merge"), KEY, "left").join(old.hint("merge"), KEY, "left")
     return rows.select(
         *changed.columns,
         P.merge(P.merge(F.col("old_body"), P.without(F.col("old_stamps"), hidden)), F.col("new_body")).alias("payload"),

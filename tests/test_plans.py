@@ -7,7 +7,8 @@ import __spark_entry__ as entry_point
 from querybook.derived import batch, state, table
 from shelfdelta.functions import predicates as W
 from shelfdelta.operators import diff as D, discovery as DI, merge as M
-from shelfdelta.plans import export
+from shelfdelta.plans import export, tracked
+from shelfdelta.session import cut_lineage
 
 QUERIES = entry_point.queries()
 
@@ -64,3 +65,19 @@ def test_one_scan_for_a_mixed_sheet(spark, sf):
     rows = export.S.to_sheet(_mixed(spark, sf))
     assert plan(rows).count("Scan parquet") == plan(_mixed(spark, sf)).count("Scan parquet")
     assert table(spark, sf, "part").count() <= rows.count()
+
+
+def test_payloads_of_a_run_are_not_broadcast(spark):
+    at, doc = F.lit("2024-01-01").cast("timestamp_ntz"), '{"product_id": "a", "name": "%s"}'
+    keyed = lambda name, n: D.keyed(spark.range(n).select(F.lit(doc % name).alias("doc")), "shop")
+    old, batch = keyed("old", 1), keyed("new", 1)
+    index = M.decide(tracked.winners(keyed("none", 0)).select("*", *[F.lit(None).cast(t).alias(c) for c, t in (
+        ("created_at", "timestamp_ntz"), ("updated_at", "timestamp_ntz"), ("deleted_at", "timestamp_ntz"), ("deleted_by_task", "string"),
+        ("last_task_id", "string"), ("scrape_count", "bigint"), ("written", "bigint"), ("seen_in", "bigint"))]), tracked.winners(old), at, 1)
+    decided = cut_lineage(M.decide(index, tracked.winners(batch), at, 2), "decided")
+    stored = old.select(D.KEY, F.lit(1).cast("bigint").alias("written"), "payload")
+    rows = M.fetch(decided, batch, stored)
+    joins = [line for line in plan(rows).splitlines() if "Join [" in line and "LeftOuter" in line]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
+    row = rows.first()
+    assert (row["change_type"], row["old_payload"]["name"], row["new_payload"]["name"]) == ("updated", '"old"', '"new"')
